@@ -6,7 +6,7 @@ import importlib
 
 from tabloom.catalog import registry
 
-AREAS = ("profiling",)
+AREAS = ("profiling", "cleaning", "series")
 
 
 def load():

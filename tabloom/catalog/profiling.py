@@ -133,9 +133,7 @@ def corr_sql(source: str, cols: list[str], wrap: str, diagonal_one: bool) -> str
             va, vb = wrap.format(c=a), wrap.format(c=b)
             r = "1.0::DOUBLE" if diagonal_one and a == b else f"round(coalesce(CASE WHEN isnan(corr({va}, {vb})) THEN 0 ELSE corr({va}, {vb}) END, 0), 4)"
             parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {r} AS r FROM t")
-    return f"WITH t AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS constant FROM ({source})) " + "\nUNION ALL ".join(
-        p + (" LIMIT 1" if False else "") for p in parts
-    )
+    return f"WITH t AS MATERIALIZED (SELECT *, 1.0::DOUBLE AS constant FROM ({source})) " + "\nUNION ALL ".join(parts)
 
 
 @query("corr_matrix", corr_sql(LINE_GAPS_SQL, [*LINE_NUMERIC, "constant"], "{c}", False))

@@ -100,8 +100,10 @@ class Ordered:
         series = [col(c) for c in self.partition_by]
         return ([F.col("_block")] if self.blocked else []) + series
 
-    def window(self) -> WindowSpec:
+    def window(self, backward: bool = False) -> WindowSpec:
         order = [F.col("_rn")] if self.blocked else [col(c) for c in self.order_by]
+        if backward:
+            order = [c.desc() for c in order]
         groups = self._groups()
         return Window.partitionBy(*groups).orderBy(*order) if groups else Window.orderBy(*order)
 
@@ -124,16 +126,14 @@ class Ordered:
         return self
 
     def fill(self, source: str, out: str, forward: bool = True) -> Ordered:
-        """Nearest earlier (or later) non-null value of the same series."""
+        """Nearest earlier (or later) non-null value of the same series.
+
+        Looking ahead is looking back in reversed order: a frame that grows from the start is
+        updated row by row, one that runs to the end would be summed up anew for each row.
+        """
         value = col(source)
-        if forward:
-            local = F.last(value, ignorenulls=True).over(
-                self.window().rowsBetween(Window.unboundedPreceding, 0)
-            )
-        else:
-            local = F.first(value, ignorenulls=True).over(
-                self.window().rowsBetween(0, Window.unboundedFollowing)
-            )
+        grown = self.window(backward=not forward).rowsBetween(Window.unboundedPreceding, 0)
+        local = F.last(value, ignorenulls=True).over(grown)
         if not self.blocked:
             self._set(self.df.withColumn(out, local))
             return self
@@ -141,11 +141,9 @@ class Ordered:
         edge = F.max_by(value, at) if forward else F.min_by(value, at)
         edges = self.df.groupBy(*self._groups()).agg(edge.alias("_edge"))
         # One row per block and series: n / block_rows rows at most per series.
-        along = Window.partitionBy(*[col(c) for c in self.partition_by]).orderBy("_block")
-        if forward:
-            carried = F.last("_edge", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-        else:
-            carried = F.first("_edge", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+        place = F.col("_block") if forward else F.col("_block").desc()
+        along = Window.partitionBy(*[col(c) for c in self.partition_by]).orderBy(place)
+        carried = F.last("_edge", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
         carry = edges.withColumn("_carry", carried).drop("_edge")
         joined = self._join_blocks(carry, ["_block", *self.partition_by])
         self._set(joined.withColumn(out, F.coalesce(local, F.col("_carry"))).drop("_carry"))
