@@ -6,7 +6,7 @@ import importlib
 
 from tabloom.catalog import registry
 
-AREAS = ("profiling", "cleaning", "series", "encoding", "selecting", "evaluating")
+AREAS = ("profiling", "cleaning", "series", "encoding", "selecting", "evaluating", "modelling")
 
 
 def load():
