@@ -6,7 +6,10 @@ import importlib
 
 from tabloom.catalog import registry
 
-AREAS = ("profiling", "cleaning", "series", "encoding", "selecting", "evaluating", "modelling")
+AREAS = (
+    "reading", "profiling", "ranking", "cleaning", "series", "encoding", "selecting", "evaluating", "modelling", "forecasting",
+    "auditing",
+)
 
 
 def load():

@@ -235,17 +235,17 @@ def score_report(spark, sf_dir):
     return R.score_summary(scored, model="linear")
 
 
-@query(
-    "score_summary",
-    """SELECT 'plain' AS model, round(avg(p), 4) AS mean, round(stddev_samp(p), 4) AS std, round(min(p), 4) AS min,
-      round(max(p), 4) AS max, count(p)::BIGINT AS count FROM (SELECT l_quantity * 1900.0 + 5000.0 AS p FROM lineitem)""",
-)
+SUMMARY_SQL = """SELECT 'plain' AS model, round(avg(p), 4) AS mean, round(stddev_samp(p), 4) AS std, round(min(p), 4) AS min,
+  round(max(p), 4) AS max, count(p)::BIGINT AS count FROM (SELECT l_quantity * 1900.0 + 5000.0 AS p FROM lineitem)"""
+
+
+@query("score_summary", SUMMARY_SQL)
 def score_summary(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 1900.0 + 5000.0).alias("prediction"))
     return R.score_summary(li, model="plain")
 
 
-@query("report_csv_sink")
+@query("report_csv_sink", f"SELECT model, mean, std, min, max FROM ({SUMMARY_SQL})")
 def report_csv_sink(spark, sf_dir):
     """Summary written as CSV and read back."""
     path = scratch_path(spark, "report")
