@@ -197,7 +197,16 @@ def target_meta_score(spark, sf_dir):
 
 @query(
     "target_by_keyword",
-    """SELECT 'o_totalprice' AS target, (SELECT count(*) FROM orders)::BIGINT AS n_rows""",
+    "WITH c AS (SELECT unnest(["
+    + ", ".join(f"'{c}'" for c in ORDERS)
+    + "]) AS name, generate_subscripts(["
+    + ", ".join(f"'{c}'" for c in ORDERS)
+    + "], 1) AS pos), k AS (SELECT unnest(["
+    + ", ".join(f"'{w}'" for w in names.META_TARGET_WORDS)
+    + "]) AS word, generate_subscripts(["
+    + ", ".join(f"'{w}'" for w in names.META_TARGET_WORDS)
+    + "], 1) AS place) SELECT coalesce((SELECT name FROM c, k WHERE contains(lower(name), word) ORDER BY place, pos LIMIT 1),"
+    " (SELECT name FROM c ORDER BY pos DESC LIMIT 1)) AS target, (SELECT count(*) FROM orders)::BIGINT AS n_rows",
 )
 def target_by_keyword(spark, sf_dir):
     p = profile(table(spark, sf_dir, "orders"), distinct=False)

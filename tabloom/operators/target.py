@@ -7,6 +7,7 @@ the profile (one row per column). Only the model-based signal trains anything.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassifier
@@ -22,7 +23,6 @@ from tabloom.operators import evaluate as V
 from tabloom.operators.ordered import BLOCK_ROWS, WINDOW_LIMIT, Ordered
 from tabloom.operators.profile import correlation_table, profile
 from tabloom.operators.select import mutual_information
-from tabloom.session import shared_dir
 
 GATE = 0.3
 MAX_CLASSES = 100
@@ -218,24 +218,27 @@ def dependency(df: DataFrame, target: str, task: str, cheap: float) -> tuple[flo
     used = [f"i_{v}" if v in texts_in else v for v in frame.columns if v[0] in "tx" and v[1:].isdigit()]
     ready = VectorAssembler(inputCols=used, outputCol="_v", handleInvalid="keep").transform(frame)
     ready = ready.select("_v", "_label", "_fold").persist(StorageLevel.MEMORY_AND_DISK)
-    shared_dir(df.sparkSession)
     try:
         if classes and ready.select("_label").distinct().limit(2).count() < 2:
             return 0.0, False, None
         common = {"featuresCol": "_v", "labelCol": "_label", "maxDepth": 4, "seed": 42, "maxBins": MAX_CATEGORIES + 28}
-        scores = []
-        for held in range(FOLDS):
-            train, test = ready.where(F.col("_fold") != held), ready.where(F.col("_fold") == held)
+
+        def held_out(fold: int) -> float | None:
+            train, test = ready.where(F.col("_fold") != fold), ready.where(F.col("_fold") == fold)
             if not train.limit(1).count() or not test.limit(1).count():
-                continue
+                return None
             if classes:
                 model = RandomForestClassifier(numTrees=20, **common).fit(train)
                 hits = model.transform(test).agg(F.avg((F.col("prediction") == F.col("_label")).cast("double")))
-                scores.append(hits.first()[0])
-            else:
-                model = GBTRegressor(maxIter=20, stepSize=0.2, **common).fit(train)
-                found = V.regression_metrics(model.transform(test), "_label", "prediction", 15).first()["r2"]
-                scores.append(max(0.0, found))
+                return hits.first()[0]
+            # Twenty rounds are a short lineage: no checkpoints in between.
+            model = GBTRegressor(maxIter=20, stepSize=0.2, checkpointInterval=-1, **common).fit(train)
+            found = V.regression_metrics(model.transform(test), "_label", "prediction", 15).first()["r2"]
+            return max(0.0, found)
+
+        # The folds do not depend on each other, so their jobs share the cluster.
+        with ThreadPoolExecutor(FOLDS) as pool:
+            scores = [s for s in pool.map(held_out, range(FOLDS)) if s is not None]
         return (round(sum(scores) / len(scores), 4) if scores else 0.0), False, None
     finally:
         ready.unpersist()
@@ -248,6 +251,7 @@ def rank_targets(
     with_models: bool = True,
     keywords: Sequence[str] = names.TARGET_WORDS,
     approx: bool = False,
+    parallelism: int = 4,
 ) -> DataFrame:
     """All columns by weighted score, with the signals, a task hint and the confidence tier.
 
@@ -262,13 +266,16 @@ def rank_targets(
     signals = signals.withColumn("task_hint", hint)
     # One row per column from here on.
     known = signals.collect()
-    scores = []
-    for row in known:
+
+    def model_signal(row) -> tuple:
         cheap = max(row["name_match"], row["cardinality"])
-        if with_models:
-            scores.append((row["name"], *dependency(df, row["name"], row["task_hint"], cheap)))
-        else:
-            scores.append((row["name"], 0.0, True, "off"))
+        return (row["name"], *dependency(df, row["name"], row["task_hint"], cheap))
+
+    if with_models:
+        with ThreadPoolExecutor(parallelism) as pool:
+            scores = list(pool.map(model_signal, known))
+    else:
+        scores = [(row["name"], 0.0, True, "off") for row in known]
     trained = spark.createDataFrame(
         scores, "name string, dependency double, dependency_skipped boolean, dependency_reason string"
     )

@@ -89,7 +89,7 @@ def main():
             frame = run(spark, sf_dir)
             if name in oracles:
                 problems = differences(frame, con, oracles[name])
-                note = "ok" if not problems else "; ".join(problems)
+                note = f"ok {frame.count()} rows" if not problems else "; ".join(problems)
             else:
                 problems, note = [], f"rows only: {len(frame.collect())}"
         except Exception as error:  # report and go on
