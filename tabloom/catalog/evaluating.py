@@ -71,19 +71,15 @@ def task_type_rule(spark, sf_dir):
 
 def bootstrap_sql(source: str, key: str, top: str, bottom: str, task: str) -> str:
     marks = V.poisson_marks()
-    lanes = "\nUNION ALL ".join(
-        f"""SELECT block * 8 + {lane} AS rep, sum(w{lane} * t) AS t, sum(w{lane} * b) AS b FROM lanes GROUP BY block"""
-        for lane in range(8)
-    )
-    weights = ", ".join(
-        "(" + " + ".join(f"(substr(d, {1 + 4 * lane}, 4) >= '{m}')::INTEGER" for m in marks) + f") AS w{lane}"
-        for lane in range(8)
-    )
+    weight = "CASE " + " ".join(f"WHEN x < {m} THEN {i}" for i, m in enumerate(marks)) + f" ELSE {len(marks)} END"
     accuracy = "t / b * 100" if task == "classification" else "greatest(0, least(100, 100 - t / b * 100))"
-    return f"""WITH src AS ({source}), rows AS (SELECT {key} AS k, {top} AS t, {bottom} AS b FROM src),
-    spread AS (SELECT t, b, block, md5(k || '#' || CAST(block AS VARCHAR)) AS d FROM rows, range(25) r(block)),
-    lanes AS MATERIALIZED (SELECT t, b, block, {weights} FROM spread), reps AS ({lanes}),
-    a AS (SELECT {accuracy} AS a FROM reps)
+    return f"""WITH src AS ({source}), h AS (SELECT {top} AS t, {bottom} AS b, md5({key}) AS d FROM src),
+    rows AS MATERIALIZED (SELECT t, b, CAST('0x' || substr(d, 1, 8) AS BIGINT) % {V.PRIME} AS u,
+      CAST('0x' || substr(d, 9, 8) AS BIGINT) % {V.PRIME} AS v FROM h),
+    ms AS (SELECT unnest({V.multipliers(200)}::BIGINT[]) AS m),
+    spread AS (SELECT m, t, b, (u * m + v) % {V.PRIME} AS x FROM rows, ms),
+    w AS (SELECT m, t, b, {weight} AS w FROM spread),
+    reps AS (SELECT m, sum(w * t) AS t, sum(w * b) AS b FROM w GROUP BY m), a AS (SELECT {accuracy} AS a FROM reps)
     SELECT round(max(a), 2) AS ci_best, round(min(a), 2) AS ci_worst, round(avg(a), 2) AS ci_average,
       round(quantile_cont(a, 0.025), 2) AS ci_lower, round(quantile_cont(a, 0.975), 2) AS ci_upper FROM a"""
 

@@ -12,8 +12,9 @@ FEATS = [c for c in LINE_NUMERIC if c != TARGET]
 
 # Lineitem with a twin of the target and products of features.
 WIDE_SQL = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
-  l_extendedprice * (1 - l_discount) AS net, l_quantity * 2.0 + l_tax AS twin FROM lineitem"""
-WIDE_FEATS = [*FEATS, "net", "twin"]
+  l_extendedprice * (1 - l_discount) AS net, l_quantity * 2.0 + l_tax AS twin,
+  l_extendedprice + l_discount * 600000.0 AS mix FROM lineitem"""
+WIDE_FEATS = [*FEATS, "net", "twin", "mix"]
 
 
 def wide(spark, sf_dir):
@@ -22,6 +23,7 @@ def wide(spark, sf_dir):
         {
             "net": F.col("l_extendedprice") * (1 - F.col("l_discount")),
             "twin": F.col("l_quantity") * 2.0 + F.col("l_tax"),
+            "mix": F.col("l_extendedprice") + F.col("l_discount") * 600000.0,
         }
     )
 
@@ -142,6 +144,7 @@ def selection_report(spark, sf_dir):
 def _keep_sql(rule):
     cols = [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "net", "twin",
+        "mix",
     ]
     fill = "coalesce({c}, 0)" if rule == "a" else "{c}"
     y = "coalesce(l_extendedprice, 0)" if rule == "a" else "l_extendedprice"

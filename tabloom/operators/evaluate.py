@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import as_number, col, finite, safe_ratio
-from tabloom.functions.hashing import key_text
+from tabloom.functions.hashing import hex_number, key_text
 from tabloom.operators.quantiles import quantiles
 
 REPLICATES = 200
-_LANES = 8
+PRIME = 2**31 - 1
 
 
 def regression_aggregates(y: Column, pred: Column, when: Column | None = None) -> dict[str, Column]:
@@ -89,15 +90,29 @@ def task_type(df: DataFrame, y: str, goal: str = "regression", time_based: bool
     return df.agg(F.when(F.lit(goal == "classification") | few, "classification").otherwise(other).alias("task_type"))
 
 
-def poisson_marks(levels: int = 8, digits: int = 4) -> list[str]:
-    """Hexadecimal cut points of a Poisson(1) draw from ``digits`` uniform hexadecimal digits."""
+def poisson_marks(levels: int = 8, prime: int = PRIME) -> list[int]:
+    """Cut points that turn a uniform number below ``prime`` into a Poisson(1) draw."""
     marks, total = [], 0.0
     for k in range(levels):
         total += math.exp(-1) / math.factorial(k)
-        marks.append(f"{math.floor(total * 16**digits):0{digits}x}")
+        marks.append(math.floor(total * prime))
     return marks
 
 
+def multipliers(n: int, prime: int = PRIME) -> list[int]:
+    """One distinct multiplier per resample."""
+    return random.Random(42).sample(range(1, prime), n)
+
+
+def poisson(uniform: Column) -> Column:
+    """0 for the lowest part of the range, 1 for the next, and so on; small counts are tested first."""
+    marks = poisson_marks()
+    weight = F.when(uniform < marks[0], 0)
+    for count, mark in enumerate(marks[1:], start=1):
+        weight = weight.when(uniform < mark, count)
+    return weight.otherwise(len(marks))
+
+
 def bootstrap(
     df: DataFrame,
     key: Sequence[str],
@@ -109,37 +124,29 @@ def bootstrap(
 ) -> DataFrame:
     """Accuracy with best, worst, mean and percentile bounds over n resamples.
 
-    Resampling with replacement as Poisson(1) weights drawn from a digest of the row key: one
-    digest serves eight resamples, rows are never moved, and each task sends one row per eight
-    resamples to the shuffle.
+    Resampling with replacement as Poisson(1) weights. One digest of the row key gives two
+    numbers u and v below a prime; resample r draws from (u * m_r + v) mod prime, which is
+    independent between rows and pairwise independent between resamples. Rows are never
+    moved: each task sends one row per resample to the shuffle.
     """
     top, bottom = _accuracy_terms(df, y, pred, task)
-    blocks = math.ceil(n / _LANES)
-    rows = df.select(key_text(key).alias("k"), top.alias("t"), bottom.alias("b")).where(F.col("t").isNotNull())
-    spread = rows.select(
-        "t", "b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "k"
-    ).withColumn("d", F.md5(F.concat("k", F.lit("#"), F.col("block").cast("string"))))
-    marks = poisson_marks()
-    sums = []
-    for lane in range(_LANES):
-        draw = F.substring("d", 1 + 4 * lane, 4)
-        weight = F.lit(0)
-        for mark in marks:
-            weight = weight + (draw >= mark).cast("int")
-        sums.append(F.struct(F.sum(weight * F.col("t")).alias("t"), F.sum(weight * F.col("b")).alias("b")))
-    lanes = spread.groupBy("block").agg(F.array(*sums).alias("lanes"))
-    replicas = lanes.select("block", F.posexplode("lanes").alias("lane", "s"))
-    replicas = replicas.where(F.col("block") * _LANES + F.col("lane") < n)
-    scored = replicas.select(_accuracy(F.col("s.t"), F.col("s.b"), task).alias("a"))
+    digest = F.md5(key_text(key))
+    rows = df.select(
+        (hex_number(digest, 1, 8) % PRIME).alias("u"), (hex_number(digest, 9, 8) % PRIME).alias("v"),
+        top.alias("t"), bottom.alias("b"),
+    ).where(F.col("t").isNotNull())
+    spread = rows.select("t", "b", "u", "v", F.explode(F.array(*[F.lit(m) for m in multipliers(n)])).alias("m"))
+    weighted = spread.select("m", "t", "b", poisson((F.col("u") * F.col("m") + F.col("v")) % PRIME).alias("w"))
+    sums = weighted.groupBy("m").agg(F.sum(F.col("w") * F.col("t")).alias("t"), F.sum(F.col("w") * F.col("b")).alias("b"))
+    scored = sums.select(_accuracy(F.col("t"), F.col("b"), task).alias("a"))
     tail = (1 - level) / 2
-    bounds = scored.agg(
+    return scored.agg(
         F.round(F.max("a"), 2).alias("ci_best"),
         F.round(F.min("a"), 2).alias("ci_worst"),
         F.round(F.avg("a"), 2).alias("ci_average"),
         F.round(F.percentile("a", F.lit(tail)), 2).alias("ci_lower"),
         F.round(F.percentile("a", F.lit(1 - tail)), 2).alias("ci_upper"),
     )
-    return bounds
 
 
 def band(metrics: DataFrame, r2: str = "r2") -> DataFrame:

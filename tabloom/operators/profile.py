@@ -21,7 +21,6 @@ from tabloom.functions.columns import (
     is_numeric,
     nan_to_null,
     numeric_columns,
-    safe_ratio,
     string_columns,
 )
 from tabloom.functions.dates import as_timestamp
@@ -241,7 +240,6 @@ def correlation_table(df: DataFrame, cols: Sequence[str], nulls: str = "pairwise
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     found: list[tuple[str, str, float]] = []
     moments: dict[tuple[int, int], float] = {}
-    gaps: list[tuple[int, int]] = []
     for start in range(0, len(pairs), 400):
         chunk = pairs[start : start + 400]
         aggs = []
@@ -250,22 +248,33 @@ def correlation_table(df: DataFrame, cols: Sequence[str], nulls: str = "pairwise
             if a in dense and b in dense:
                 aggs.append(F.sum(centred[a] * centred[b]).alias(f"s_{i}_{j}"))
             else:
-                ca, cb = centred[a], centred[b]
-                r = safe_ratio(F.regr_sxy(ca, cb), F.sqrt(F.regr_sxx(ca, cb) * F.regr_syy(ca, cb)))
-                aggs.append(r.alias(f"r_{i}_{j}"))
+                both = F.col(a).isNotNull() & F.col(b).isNotNull()
+                ca, cb = F.when(both, centred[a]), F.when(both, centred[b])
+                for part, term in (("x", ca), ("y", cb), ("xx", ca * ca), ("yy", cb * cb), ("xy", ca * cb)):
+                    aggs.append(F.sum(term).alias(f"{part}_{i}_{j}"))
+                aggs.append(F.count(ca).alias(f"n_{i}_{j}"))
         row = frame.agg(*aggs).first()
         for i, j in chunk:
             if xs[i] in dense and xs[j] in dense:
                 moments[i, j] = row[f"s_{i}_{j}"] or 0.0
             else:
-                gaps.append((i, j))
-                found.append((cols[i], cols[j], _plain(row[f"r_{i}_{j}"])))
+                n, x, y, xx, yy, xy = (row[f"{p}_{i}_{j}"] or 0.0 for p in ("n", "x", "y", "xx", "yy", "xy"))
+                found.append((cols[i], cols[j], _pearson(n, x, y, xx, yy, xy)))
     for i, j in moments:
-        scale = (moments[i, i] * moments[j, j]) ** 0.5
-        found.append((cols[i], cols[j], _plain(moments[i, j] / scale) if scale > 0 else 0.0))
+        found.append((cols[i], cols[j], _pearson(1, 0.0, 0.0, moments[i, i], moments[j, j], moments[i, j])))
     return found
 
 
+def _pearson(n: float, x: float, y: float, xx: float, yy: float, xy: float) -> float:
+    """r from sums; a spread that is only rounding noise counts as none."""
+    if not n:
+        return 0.0
+    sx, sy = xx - x * x / n, yy - y * y / n
+    if sx <= 1e-12 * xx or sy <= 1e-12 * yy:
+        return 0.0
+    return (xy - x * y / n) / (sx * sy) ** 0.5
+
+
 def _plain(value: float | None) -> float:
     return float(value) if value is not None and value == value else 0.0
 
@@ -301,11 +310,18 @@ def target_correlations(df: DataFrame, feats: Sequence[str], target: str, nulls:
     y = F.col(xs[-1]) - F.lit(means[xs[-1]]).cast("double")
     aggs = []
     for x in xs[:-1]:
-        v = F.col(x) - F.lit(means[x]).cast("double")
-        r = safe_ratio(F.regr_sxy(y, v), F.sqrt(F.regr_sxx(y, v) * F.regr_syy(y, v)))
-        aggs.append(r.alias(x))
+        both = F.col(x).isNotNull() & F.col(xs[-1]).isNotNull()
+        v, w = F.when(both, F.col(x) - F.lit(means[x]).cast("double")), F.when(both, y)
+        for part, term in (("x", v), ("y", w), ("xx", v * v), ("yy", w * w), ("xy", v * w)):
+            aggs.append(F.sum(term).alias(f"{part}_{x}"))
+        aggs.append(F.count(v).alias(f"n_{x}"))
+    if not aggs:
+        return {}
     row = frame.agg(*aggs).first()
-    return {f: _plain(row[x]) for f, x in zip(feats, xs[:-1], strict=True)}
+    return {
+        f: _pearson(*(row[f"{p}_{x}"] or 0.0 for p in ("n", "x", "y", "xx", "yy", "xy")))
+        for f, x in zip(feats, xs[:-1], strict=True)
+    }
 
 
 def top_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:

@@ -125,21 +125,48 @@ def quantiles(
     """Linearly interpolated quantiles of several numeric columns."""
     frame = df.select(*[v.cast("double").alias(n) for n, v in columns.items()])
     sizes = frame.agg(*[F.count(col(n)).alias(n) for n in columns]).first()
+    places = {n: [(sizes[n] - 1) * p for p in probs] for n in columns if sizes[n]}
+    wanted = {n: sorted({r for h in hs for r in (math.floor(h), math.ceil(h))}) for n, hs in places.items()}
+    found = _ranked({n: r for n, r in wanted.items() if sizes[n] <= limit}, frame)
+    for name, ranks in wanted.items():
+        if sizes[name] > limit:
+            found[name] = dict(zip(ranks, order_statistics(frame, col(name), ranks, limit), strict=True))
     answer: dict[str, list[float | None]] = {}
-    direct = [n for n in columns if sizes[n] <= limit]
-    if direct:
-        row = frame.agg(*[F.percentile(col(n), F.array(*map(F.lit, probs))).alias(n) for n in direct]).first()
-        answer.update({n: list(row[n]) if row[n] is not None else [None] * len(probs) for n in direct})
     for name in columns:
-        if name in answer:
+        if name not in places:
+            answer[name] = [None] * len(probs)
             continue
-        places = [(sizes[name] - 1) * p for p in probs]
-        ranks = sorted({r for h in places for r in (math.floor(h), math.ceil(h))})
-        at = dict(zip(ranks, order_statistics(frame, col(name), ranks, limit), strict=True))
+        at = found[name]
         answer[name] = [
-            at[math.floor(h)] + (h - math.floor(h)) * (at[math.ceil(h)] - at[math.floor(h)]) for h in places
+            at[math.floor(h)] + (h - math.floor(h)) * (at[math.ceil(h)] - at[math.floor(h)]) for h in places[name]
         ]
-    return {n: answer[n] for n in columns}
+    return answer
+
+
+def _ranked(wanted: dict[str, list[int]], frame: DataFrame) -> dict[str, dict[int, float]]:
+    """Values at ranks of columns that fit one task each: counts per distinct value, added up in
+    value order. Only the values at the ranks reach the driver."""
+    if not wanted:
+        return {}
+    index = {n: i for i, n in enumerate(wanted)}
+    counts = (
+        frame.select(F.posexplode(F.array(*[col(n) for n in index])).alias("c", "v"))
+        .where(F.col("v").isNotNull())
+        .groupBy("c", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    upto = F.sum("n").over(Window.partitionBy("c").orderBy("v"))
+    spans = counts.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
+    # One row per column and rank.
+    asked = frame.sparkSession.createDataFrame(
+        [(i, r) for n, i in index.items() for r in wanted[n]], "at int, rank bigint"
+    )
+    hit = (F.col("c") == F.col("at")) & (F.col("from") <= F.col("rank")) & (F.col("upto") > F.col("rank"))
+    found: dict[str, dict[int, float]] = {n: {} for n in index}
+    names = list(index)
+    for row in spans.join(F.broadcast(asked), hit).select("c", "rank", "v").collect():
+        found[names[row["c"]]][row["rank"]] = row["v"]
+    return found
 
 
 def grouped_median(
@@ -204,18 +231,46 @@ def grouped_median(
     )
 
 
-def key_at_rank(
-    df: DataFrame, order_by: Sequence[str], rank: int, limit: int = DIRECT_LIMIT
-) -> tuple:
-    """The order key (a tuple) of the row at a 0-based rank; order keys are numeric or time-like
-    and non-null, the last one unique within the others."""
-    place, left, key = df, rank, []
-    for name in order_by:
-        value = order_statistics(place, col(name), [left], limit)[0]
-        key.append(value)
-        left -= place.where(col(name) < F.lit(value)).count()
-        place = place.where(col(name) == F.lit(value))
-    return tuple(key)
+def keys_at_ranks(
+    df: DataFrame, order_by: Sequence[str], ranks: Sequence[int], limit: int = DIRECT_LIMIT
+) -> list[tuple]:
+    """The order keys of the rows at 0-based ranks; order keys are numeric or time-like and
+    non-null, and together unique.
+
+    The first column is selected for all ranks at once; rows that tie with a selected value are
+    ranked by the remaining columns.
+    """
+    first, rest = order_by[0], list(order_by[1:])
+    slim = df.select(*[col(c) for c in order_by])
+    values = order_statistics(slim, col(first), ranks, limit)
+    if not rest:
+        return [(v,) for v in values]
+    picked = sorted(set(values))
+    facts = slim.agg(
+        *[F.count_if(col(first) < F.lit(v)).alias(f"b{i}") for i, v in enumerate(picked)],
+        *[F.count_if(col(first) == F.lit(v)).alias(f"s{i}") for i, v in enumerate(picked)],
+    ).first()
+    below = {v: facts[f"b{i}"] for i, v in enumerate(picked)}
+    left = {r: r - below[v] for r, v in zip(ranks, values, strict=True)}
+    big = {v for i, v in enumerate(picked) if facts[f"s{i}"] > limit}
+    keys: dict[int, tuple] = {}
+    for v in big:
+        mine = [r for r, w in zip(ranks, values, strict=True) if w == v]
+        tied = slim.where(col(first) == F.lit(v))
+        tails = keys_at_ranks(tied, rest, [left[r] for r in mine], limit)
+        keys.update({r: (v, *tail) for r, tail in zip(mine, tails, strict=True)})
+    small = [(r, v) for r, v in zip(ranks, values, strict=True) if v not in big]
+    if small:
+        place = F.row_number().over(Window.partitionBy(col(first)).orderBy(*[col(c) for c in rest])) - 1
+        tied = slim.where(col(first).isin([v for _, v in small])).withColumn("_place", place)
+        hit = F.lit(False)
+        for r, v in small:
+            hit = hit | ((col(first) == F.lit(v)) & (F.col("_place") == left[r]))
+        rows = {(row[first], row["_place"]): row for row in tied.where(hit).collect()}
+        for r, v in small:
+            row = rows[v, left[r]]
+            keys[r] = (v, *[row[c] for c in rest])
+    return [keys[r] for r in ranks]
 
 
 def after_key(order_by: Sequence[str], key: tuple) -> Column:

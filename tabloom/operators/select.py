@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import names
@@ -62,17 +63,29 @@ class Binning:
     """Cut points of numeric columns; other columns use their values."""
 
     cuts: dict[str, list[float]]
-
-    def of(self, df: DataFrame, name: str, zero: bool) -> Column:
-        if name not in self.cuts:
-            return as_text(df, name)
-        value = as_number(df, name)
-        if zero:
-            value = F.coalesce(value, F.lit(0.0))
-        place = F.lit(0)
-        for cut in self.cuts[name]:
-            place = place + (value > F.lit(cut)).cast("int")
-        return place.cast("string")
+    zero: bool
+
+    def add(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
+        """Add a bin number per numeric column under the given name, null for gaps.
+
+        A value belongs to the bin whose upper cut it does not exceed, so the bins are closed
+        on the right: negated values fall into negated, left-closed bins.
+        """
+        endless = [float("-inf"), float("inf")]
+        values, inputs, outputs, splits = {}, [], [], []
+        for name, out in columns.items():
+            value = as_number(df, name)
+            values[f"_m{out}"] = -(F.coalesce(value, F.lit(0.0)) if self.zero else value)
+            inputs.append(f"_m{out}")
+            outputs.append(f"_b{out}")
+            splits.append([endless[0], *sorted(-c for c in self.cuts[name]), endless[1]])
+        if not inputs:
+            return df
+        made = Bucketizer(inputCols=inputs, outputCols=outputs, splitsArray=splits, handleInvalid="keep").transform(
+            df.withColumns(values)
+        )
+        bins = {out: F.when(F.col(f"_m{out}").isNotNull(), F.col(f"_b{out}").cast("int")) for out in columns.values()}
+        return made.withColumns(bins).drop(*inputs, *outputs)
 
 
 def learn_bins(df: DataFrame, cols: Sequence[str], bins: int, zero: bool) -> Binning:
@@ -83,7 +96,36 @@ def learn_bins(df: DataFrame, cols: Sequence[str], bins: int, zero: bool) -> Bin
         values = {c: F.coalesce(v, F.lit(0.0)) for c, v in values.items()}
     probs = [i / bins for i in range(1, bins)]
     found = quantiles(df, values, probs) if numeric else {}
-    return Binning({c: sorted({x for x in cuts if x is not None}) for c, cuts in found.items()})
+    return Binning({c: sorted({x for x in cuts if x is not None}) for c, cuts in found.items()}, zero)
+
+
+def _joint_counts(df: DataFrame, feats: Sequence[str], target: str, binning: Binning) -> DataFrame:
+    """(feature number, a, b, n): how often two bins or values meet."""
+    places = {f: i for i, f in enumerate(feats)}
+    numeric = {f: f"_x{i}" for f, i in places.items() if f in binning.cuts}
+    texts = {f: f"_x{i}" for f, i in places.items() if f not in binning.cuts}
+    chosen = {**numeric, **({target: "_y"} if target in binning.cuts else {})}
+    slim = df.select(*[col(c) for c in dict.fromkeys([*feats, target])])
+    made = binning.add(slim, chosen)
+    made = made.withColumns({out: as_text(slim, f) for f, out in texts.items()})
+    if target not in binning.cuts:
+        made = made.withColumn("_y", as_text(slim, target))
+    parts = []
+    for group in (numeric, texts):
+        if not group:
+            continue
+        # Only the bins travel: one small array per row, combined before the shuffle.
+        order = F.array(*[F.lit(places[f]) for f in group])
+        long = made.select(F.posexplode(F.array(*[F.col(x) for x in group.values()])).alias("p", "a"), F.col("_y").alias("b"))
+        counted = long.where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("p", "a", "b")
+        counted = counted.agg(F.count(F.lit(1)).alias("n"))
+        parts.append(
+            counted.select(
+                F.element_at(order, F.col("p") + 1).alias("f"), F.col("a").cast("string").alias("a"),
+                F.col("b").cast("string").alias("b"), "n",
+            )
+        )
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def mutual_information_table(
@@ -94,24 +136,21 @@ def mutual_information_table(
     MI = H(a) + H(b) - H(a, b), and each entropy needs only sums of n ln n. The joint counts
     combine before the shuffle; no pair of values is joined to another.
     """
-    binning = learn_bins(df, [*feats, target], bins, zero)
-    b = binning.of(df, target, zero)
-    pairs = F.array(
-        *[F.struct(F.lit(f).alias("feature"), binning.of(df, f, zero).alias("a"), b.alias("b")) for f in feats]
-    )
-    long = df.select(F.explode(pairs).alias("p")).select("p.feature", "p.a", "p.b")
-    long = long.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    joint = long.groupBy("feature", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    joint = _joint_counts(df, feats, target, learn_bins(df, [*feats, target], bins, zero))
+
     def weighted(frame: DataFrame, sign: int) -> DataFrame:
-        return frame.groupBy("feature").agg(
+        return frame.groupBy("f").agg(
             (F.sum(F.col("n") * F.log("n")) * sign).alias("s"),
-            (F.sum("n") if sign < 0 else F.lit(None).cast("bigint")).alias("total"),
+            (F.sum("n") if sign < 0 else F.max(F.lit(None).cast("bigint"))).alias("total"),
         )
-    left = joint.groupBy("feature", "a").agg(F.sum("n").alias("n"))
-    right = joint.groupBy("feature", "b").agg(F.sum("n").alias("n"))
+
+    left = joint.groupBy("f", "a").agg(F.sum("n").alias("n"))
+    right = joint.groupBy("f", "b").agg(F.sum("n").alias("n"))
     parts = weighted(joint, -1).unionByName(weighted(left, 1)).unionByName(weighted(right, 1))
-    summed = parts.groupBy("feature").agg(F.sum("s").alias("s"), F.max("total").alias("total"))
-    return summed.select("feature", F.greatest(F.log("total") - F.col("s") / F.col("total"), F.lit(0.0)).alias("mi"))
+    summed = parts.groupBy("f").agg(F.sum("s").alias("s"), F.max("total").alias("total"))
+    label = F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("f") + 1)
+    mi = F.greatest(F.log("total") - F.col("s") / F.col("total"), F.lit(0.0))
+    return summed.select(label.alias("feature"), mi.alias("mi"))
 
 
 def mutual_information(df: DataFrame, a: str, b: str, bins: int = 10) -> DataFrame:

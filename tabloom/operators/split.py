@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tabloom.functions.columns import col, is_datetime
 from tabloom.functions.hashing import key_hash
 from tabloom.operators.ordered import number_rows
-from tabloom.operators.quantiles import DIRECT_LIMIT, after_key, key_at_rank
+from tabloom.operators.quantiles import DIRECT_LIMIT, after_key, keys_at_ranks
 
 
 def _selectable(df: DataFrame, order_by: Sequence[str]) -> bool:
@@ -27,13 +27,9 @@ def _selectable(df: DataFrame, order_by: Sequence[str]) -> bool:
 def _beyond(df: DataFrame, order_by: Sequence[str], ranks: list[int], limit: int) -> tuple[DataFrame, list[Column]]:
     """For each 0-based rank, a test for the rows after it."""
     if _selectable(df, order_by):
-        tests = []
-        for r in ranks:
-            if r < 0:
-                tests.append(F.lit(True))
-            else:
-                tests.append(after_key(order_by, key_at_rank(df, order_by, r, limit)))
-        return df, tests
+        inside = [r for r in ranks if r >= 0]
+        keys = dict(zip(inside, keys_at_ranks(df, order_by, inside, limit), strict=True)) if inside else {}
+        return df, [after_key(order_by, keys[r]) if r in keys else F.lit(True) for r in ranks]
     numbered = number_rows(df, order_by, "_at")
     return numbered, [F.col("_at") > r + 1 for r in ranks]
 
