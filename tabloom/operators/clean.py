@@ -20,7 +20,10 @@ def handle_missing(df: DataFrame, how: str = "mean") -> DataFrame:
     """
     clean = nan_to_null(df)
     if how == "drop":
-        return clean.na.drop()
+        whole = F.lit(True)
+        for c in clean.columns:
+            whole = whole & col(c).isNotNull()
+        return clean.where(whole)
     if how not in ("mean", "median"):
         raise ValueError("missing values: drop, mean or median")
     numeric = numeric_columns(clean)
