@@ -1,4 +1,4 @@
-"""Forecasts over monthly totals per order status and priority."""
+"""Forecasts over monthly totals (in millions) per order status and priority."""
 
 from pyspark.sql import functions as F
 
@@ -11,18 +11,14 @@ from tabloom.plans import forecast as G
 SERIES = ["o_orderstatus", "o_orderpriority"]
 
 SERIES_SQL = """SELECT o_orderstatus, o_orderpriority, (year(o_orderdate) * 100 + month(o_orderdate))::BIGINT AS sort_key,
-  sum(o_totalprice) AS y FROM orders GROUP BY ALL"""
+  sum(o_totalprice) / 1e6 AS y FROM orders GROUP BY ALL"""
 KEYS = "o_orderstatus, o_orderpriority"
 
 
 def many(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     made = X.bucket_series(o, "o_orderdate", ["o_totalprice"], "month", {"o_totalprice": "sum"}, series=SERIES)
-    return made.withColumnRenamed("o_totalprice", "y")
-
-
-def shown(df, digits=1):
-    return df.withColumns({c: F.round(c, digits) for c in ("value", "lower", "upper")})
+    return made.select(*SERIES, "sort_key", (F.col("o_totalprice") / 1e6).alias("y"))
 
 
 LINEAR_SQL = f"""SELECT {KEYS}, step, value, greatest(0, value - (0.05 * value + 0.02 * step * value)) AS lower,
@@ -34,7 +30,7 @@ LINEAR_SQL = f"""SELECT {KEYS}, step, value, greatest(0, value - (0.05 * value +
       GROUP BY {KEYS}), range(1, 13) s(step))"""
 
 
-def rounded(sql, digits=1):
+def rounded(sql, digits=4):
     return (
         f"SELECT {KEYS}, step::INTEGER AS step, round(value, {digits}) AS value, round(lower, {digits}) AS lower,"
         f" round(upper, {digits}) AS upper FROM ({sql})"
@@ -43,21 +39,21 @@ def rounded(sql, digits=1):
 
 @query("forecast_linear", rounded(LINEAR_SQL))
 def forecast_linear(spark, sf_dir):
-    return shown(G.forecast_linear(many(spark, sf_dir), SERIES, ["sort_key"], "y", 12))
+    return G.forecast_linear(many(spark, sf_dir), SERIES, ["sort_key"], "y", 12)
 
 
 @query(
     "forecast_compound",
     """WITH f AS (SELECT regr_slope(o_totalprice, o_custkey) AS s, regr_intercept(o_totalprice, o_custkey) AS i FROM orders),
     b AS (SELECT s * o_custkey + i AS base FROM orders, f ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)
-    SELECT step::INTEGER AS step, round(base * (1 + 0.01 * step), 2) AS value FROM b, range(1, 11) r(step)""",
+    SELECT step::INTEGER AS step, round(base * (1 + 0.01 * step), 4) AS value FROM b, range(1, 11) r(step)""",
 )
 def forecast_compound(spark, sf_dir):
     """From the prediction for the latest order."""
     o = table(spark, sf_dir, "orders")
     fitted = fit_linear(o, ["o_custkey"], "o_totalprice")
     base = fitted.predict(o.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1))
-    return G.forecast_compound(base, "prediction", 10).withColumn("value", F.round("value", 2))
+    return G.forecast_compound(base, "prediction", 10)
 
 
 AR_PARTS = f"""d AS (SELECT *, y - lag(y, 1) OVER w AS d, lag(y, 1) OVER w - lag(y, 2) OVER w AS p FROM ({SERIES_SQL})
@@ -75,7 +71,7 @@ AR_SQL = f"""WITH {AR_PARTS}, r AS (SELECT {KEYS}, step, any_value(last) AS last
 
 @query("forecast_ar", rounded(AR_SQL))
 def forecast_ar(spark, sf_dir):
-    return shown(G.forecast_ar(many(spark, sf_dir), SERIES, ["sort_key"], "y", 12, largest=MONTH_SERIES_BOUND))
+    return G.forecast_ar(many(spark, sf_dir), SERIES, ["sort_key"], "y", 12, largest=MONTH_SERIES_BOUND)
 
 
 SEASONAL_SQL = f"""WITH d AS (SELECT *, y - lag(y, 1) OVER w AS d, (y - lag(y, 1) OVER w) - (lag(y, 12) OVER w - lag(y, 13) OVER w) AS wd,
@@ -100,8 +96,7 @@ SEASONAL_SQL = f"""WITH d AS (SELECT *, y - lag(y, 1) OVER w AS d, (y - lag(y, 1
 
 @query("forecast_seasonal_ar", rounded(SEASONAL_SQL))
 def forecast_seasonal_ar(spark, sf_dir):
-    done = G.forecast_seasonal_ar(many(spark, sf_dir), SERIES, ["sort_key"], "y", 12, largest=MONTH_SERIES_BOUND)
-    return shown(done)
+    return G.forecast_seasonal_ar(many(spark, sf_dir), SERIES, ["sort_key"], "y", 12, largest=MONTH_SERIES_BOUND)
 
 
 @query("forecast_exog")

@@ -368,18 +368,17 @@ def combined_time_choice(spark, sf_dir):
 
 @query(
     "monthly_forecast_quality",
-    f"""WITH m AS (SELECT label, sort_key, sum(o_totalprice) AS y FROM ({MONTHLY_SQL}) GROUP BY ALL),
+    f"""WITH m AS (SELECT label, sort_key, sum(o_totalprice) / 1e6 AS y FROM ({MONTHLY_SQL}) GROUP BY ALL),
     g AS (SELECT *, lag(y) OVER (ORDER BY sort_key) AS l, row_number() OVER (ORDER BY sort_key) AS i, count(*) OVER () AS n FROM m),
     t AS (SELECT y, coalesce(l, y, 0) AS x, i > n - ceil(n * 0.2) AS is_test FROM g),
     f AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS c FROM t WHERE NOT is_test)
     SELECT round(1 - sum((y - s * x - c) * (y - s * x - c)) / (count(*) * var_pop(y)), 4) AS r2,
-      round(sqrt(avg((y - s * x - c) * (y - s * x - c))), 1) AS rmse, round(avg(abs(y - s * x - c)), 1) AS mae FROM t, f WHERE is_test""",
+      round(sqrt(avg((y - s * x - c) * (y - s * x - c))), 4) AS rmse, round(avg(abs(y - s * x - c)), 4) AS mae FROM t, f WHERE is_test""",
 )
 def monthly_forecast_quality(spark, sf_dir):
-    """Monthly totals -> lag features -> chronological split -> linear fit -> metrics."""
-    months = monthly(spark, sf_dir, series=())
+    """Monthly totals in millions -> lag features -> chronological split -> linear fit -> metrics."""
+    months = monthly(spark, sf_dir, series=()).withColumn("o_totalprice", F.col("o_totalprice") / 1e6)
     lagged = L.lag_features(months, "o_totalprice", ["sort_key"], largest=L.MONTH_SERIES_BOUND)
     train, test = D.train_test(D.split(lagged, 0.2, "chronological", order_by=["sort_key"]))
     fitted = M.fit_linear(train, ["target_lag_1"], "o_totalprice")
-    metrics = V.regression_metrics(fitted.predict(test), "o_totalprice", "prediction")
-    return metrics.select("r2", F.round("rmse", 1).alias("rmse"), F.round("mae", 1).alias("mae"))
+    return V.regression_metrics(fitted.predict(test), "o_totalprice", "prediction")

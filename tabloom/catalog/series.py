@@ -142,8 +142,8 @@ for _name, _column in {
 def lag_raw_rows(spark, sf_dir):
     """Lags over single orders: a few long series, so the blocked windows are used."""
     done = L.lag_features(
-        table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderdate", "o_orderkey"], ["o_orderstatus"],
-        backfill=False, columns=["target_lag_1", "target_lag_yoy"], limit=4_000, block_rows=4_000,
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice"),
+        "o_totalprice", ["o_orderdate", "o_orderkey"], ["o_orderstatus"], backfill=False, columns=["target_lag_1", "target_lag_yoy"], limit=4_000, block_rows=4_000,
     )
     return done.select("o_orderkey", "target_lag_1", "target_lag_yoy")
 

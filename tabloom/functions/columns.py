@@ -56,7 +56,17 @@ def as_number(df: DataFrame, name: str) -> Column:
         return col(name).cast("double")
     if is_datetime(data_type):
         return F.lit(None).cast("double")
-    return finite(col(name).cast("string").try_cast("double"))
+    return text_number(col(name).cast("string"))
+
+
+# What a number looks like in text. Testing the look first keeps words away from the parser,
+# where each failure costs an exception.
+NUMBER_LOOK = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def text_number(text: Column) -> Column:
+    """Text as double, null when it is no finite number."""
+    return finite(F.when(text.rlike(NUMBER_LOOK), text.try_cast("double")))
 
 
 def finite(value: Column) -> Column:

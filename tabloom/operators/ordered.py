@@ -37,7 +37,8 @@ def number_rows(
     """Dense 1..n in the given order, whatever the size.
 
     The range partitioning is fixed by a checkpoint, so the counts per partition and the
-    numbered rows agree even when executors are lost.
+    numbered rows agree even when executors are lost. Select the needed columns before: a
+    checkpoint keeps all of them.
     """
     spark = df.sparkSession
     shared_dir(spark)

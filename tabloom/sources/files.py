@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.columns import col, nan_to_null
+from tabloom.functions.columns import NUMBER_LOOK, col, nan_to_null
 
 # Words that stand for a missing value in text files.
 MISSING_WORDS = (
@@ -64,7 +64,7 @@ def _fits(value: Column, kind: str) -> Column:
         return F.lower(value).isin("true", "false")
     if kind == "bigint":
         return value.rlike(r"^\s*[+-]?\d+\s*$") & value.try_cast("bigint").isNotNull()
-    return value.try_cast("double").isNotNull()
+    return value.rlike(NUMBER_LOOK) | F.lower(F.trim(value)).isin("inf", "+inf", "-inf", "infinity", "-infinity")
 
 
 def _inferred(text: DataFrame) -> DataFrame:
