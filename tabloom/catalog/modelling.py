@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog.evaluating import BOARD_SQL, board
 from tabloom.catalog.registry import query, table
-from tabloom.catalog.series import MONTHLY_SQL, hash_sql, monthly
+from tabloom.catalog.series import MONTHLY_SQL, RATE, hash_sql, monthly
 from tabloom.operators import encode as E
 from tabloom.operators import evaluate as V
 from tabloom.operators import lags as L
@@ -203,7 +203,7 @@ def order_rows(spark, sf_dir):
     d = F.col("o_orderdate")
     return table(spark, sf_dir, "orders").select(
         "o_orderkey", F.year(d).alias("order_year"), F.date_format(d, "MMMM").alias("order_month"), "o_orderstatus",
-        "o_custkey", "o_totalprice",
+        "o_custkey", (F.col("o_totalprice") * RATE).alias("o_totalprice"),
     )
 
 
@@ -288,8 +288,8 @@ def run_log_list(spark, sf_dir):
     )
 
 
-PREPARED_SQL = """WITH g AS (SELECT year(o_orderdate)::DOUBLE AS order_year, month(o_orderdate)::DOUBLE AS order_month, o_orderstatus,
-  avg(o_totalprice) AS o_totalprice, avg(o_custkey) AS o_custkey FROM orders GROUP BY ALL),
+PREPARED_SQL = f"""WITH g AS (SELECT year(o_orderdate)::DOUBLE AS order_year, month(o_orderdate)::DOUBLE AS order_month, o_orderstatus,
+  avg(o_totalprice * {RATE}::DOUBLE) AS o_totalprice, avg(o_custkey) AS o_custkey FROM orders GROUP BY ALL),
   raw AS (SELECT *, lag(o_totalprice, 1) OVER w AS l1, lag(o_totalprice, 12) OVER w AS l12,
     (lag(o_totalprice, 1) OVER w - lag(o_totalprice, 13) OVER w) / (lag(o_totalprice, 13) OVER w + 1e-8) AS gr,
     avg(o_totalprice) OVER (ORDER BY order_year, order_month, o_orderstatus ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS r3,

@@ -7,14 +7,18 @@ from tabloom.operators import explore as X
 from tabloom.operators import lags as L
 from tabloom.operators import split as D
 
+# Amounts in another currency. Means of two-digit prices often end in an exact 5, which the two
+# engines round differently; converted amounts do not.
+RATE = 0.8731234567
+
 # Monthly totals per order status: the series most time queries work on.
-MONTHLY_SQL = """SELECT o_orderstatus, strftime(o_orderdate, '%Y-%m') AS label,
-  (year(o_orderdate) * 100 + month(o_orderdate))::BIGINT AS sort_key, sum(o_totalprice) AS o_totalprice
+MONTHLY_SQL = f"""SELECT o_orderstatus, strftime(o_orderdate, '%Y-%m') AS label,
+  (year(o_orderdate) * 100 + month(o_orderdate))::BIGINT AS sort_key, sum(o_totalprice * {RATE}::DOUBLE) AS o_totalprice
   FROM orders GROUP BY ALL"""
 
 
 def monthly(spark, sf_dir, series=("o_orderstatus",), how="sum"):
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").withColumn("o_totalprice", F.col("o_totalprice") * RATE)
     return X.bucket_series(o, "o_orderdate", ["o_totalprice"], "month", {"o_totalprice": how}, series=series)
 
 
