@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(function: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = function
+
+        @functools.wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # The test tables hold zone-free times; SQL reads them as UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return function

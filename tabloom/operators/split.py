@@ -47,8 +47,9 @@ def split(
     if method == "random":
         if not key:
             raise ValueError("a random split needs key columns")
-        cut = round(share * 100)
-        return df.withColumn("is_test", key_hash(key) % 100 < cut)
+        # Hundredths where they express the share, finer steps otherwise.
+        base = 100 if abs(share * 100 - round(share * 100)) < 1e-9 else 1_000_000
+        return df.withColumn("is_test", key_hash(key) % base < round(share * base))
     n = df.count()
     held = math.ceil(round(n * share, 9))
     rows, (later,) = _beyond(df, order_by, [n - held - 1], limit)

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import as_number, col, safe_ratio
-from tabloom.operators.lags import lag_features
 from tabloom.operators.models import fit_linear
 from tabloom.operators.ordered import WINDOW_LIMIT, Ordered
 
@@ -184,22 +183,23 @@ def forecast_exog(
     """Previous value plus outside features, fitted over all series; future features stay at their mean."""
     if not features:
         raise ValueError("an outside feature is needed: choose feature columns")
-    lagged = lag_features(
-        df, y, time, series, backfill=False, columns=["target_lag_1"], largest=largest, limit=limit
-    )
+    slim = df.select(*[col(c) for c in dict.fromkeys([*series, *time, *features])], as_number(df, y).alias("_y"))
+    ordered = Ordered(slim.where(F.col("_y").isNotNull()), time, series, limit, largest=largest)
+    ordered.look_back(1, lambda w: {"target_lag_1": F.lag("_y", 1).over(w)})
+    lagged = ordered.rows()
     place = F.struct(*[col(t) for t in time])
-    firsts = F.col("target_lag_1") != 0
-    train = lagged.where(firsts)
+    # Only the first row of a series has no previous value.
+    train = lagged.where(F.col("target_lag_1").isNotNull())
     feats = ["target_lag_1", *features]
-    fitted = fit_linear(train, feats, y)
+    fitted = fit_linear(train, feats, "_y")
     phi, *betas = [float(b) for b in fitted.model.coefficients]
     means = train.agg(*[F.avg(F.coalesce(as_number(train, f), F.lit(0.0))).alias(f"m{i}") for i, f in enumerate(features)]).first()
     drift = float(fitted.model.intercept) + sum(b * (means[f"m{i}"] or 0.0) for i, b in enumerate(betas))
     scored = fitted.predict(train, "_guess")
-    error = as_number(scored, y) - F.col("_guess")
+    error = F.col("_y") - F.col("_guess")
     variance = scored.agg(F.avg(error * error)).first()[0] or 0.0
     phi = max(-_STEADY, min(_STEADY, phi))
-    last = lagged.groupBy(*[col(s) for s in series]).agg(F.max_by(as_number(lagged, y), place).alias("last"))
+    last = lagged.groupBy(*[col(s) for s in series]).agg(F.max_by("_y", place).alias("last"))
     stepped = _steps(last, horizon)
     power = F.pow(F.lit(phi), F.col("step"))
     value = power * F.col("last") + F.lit(drift) * (1 - power) / F.lit(1 - phi)
