@@ -69,7 +69,7 @@ def differences(frame, con, sql) -> list[str]:
 
 
 def main():
-    from tabloom.catalog import load
+    import __spark_entry__ as entry
     from tabloom.session import build_session
 
     sf_dir, wanted = sys.argv[1], sys.argv[2:]
@@ -79,7 +79,7 @@ def main():
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
-    queries, oracles = load()
+    queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for name, run in queries.items():
         if wanted and name not in wanted:
