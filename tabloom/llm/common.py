@@ -65,3 +65,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             held += int(size)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def shield(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns called like ``names`` put out of the way, and how to rename them back."""
+    aside = {}
+    for column in df.columns:
+        if column.lower() in names:
+            aside[column] = free_name(df, f"own_{column}")
+    return df.withColumnsRenamed(aside), {new: old for old, new in aside.items()}

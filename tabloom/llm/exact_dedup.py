@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import ascii_lower, stored
+from tabloom.llm.common import ascii_lower, shield, stored
 
 RADIX = 8
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
@@ -116,9 +116,8 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text: str = "text", prefer:
     Rows listed twice (same text and identifier) are rare; only texts that have such rows pay for a second step.
     """
     digest = "text_sha256"
-    rows = df.withColumn(digest, F.sha2(normalised(F.col(text)), 256)) if digest not in df.columns else None
-    if rows is None:
-        return survivors(df.withColumnRenamed(digest, "own_sha256"), id_col, text, prefer).withColumnRenamed("own_sha256", digest)
+    plain, back = shield(df, (digest, "group_sha", "group_keep", "group_twice"))
+    rows = plain.withColumn(digest, F.sha2(normalised(F.col(text)), 256))
     small = stored(rows.select(F.unhex(digest).alias("sha"), F.col(id_col).alias("id")), "digests")
     merged = stored(tree_merge(small, prefer).filter("rows > 1"), "merged")
     merged = merged.select(F.lower(F.hex("sha")).alias("group_sha"), "keep_id", "keep_rows").withColumnsRenamed(
@@ -126,10 +125,11 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text: str = "text", prefer:
     )
     joined = rows.join(merged, rows[digest] == merged["group_sha"], "left")
     joined = joined.filter(F.col("group_sha").isNull() | rows[id_col].eqNullSafe(F.col("group_keep")))
-    columns = [rows[c] for c in df.columns]
+    columns = [rows[c] for c in plain.columns]
     if merged.filter("group_twice > 1").isEmpty():
-        return joined.select(*columns)
+        return joined.select(*columns).withColumnsRenamed(back)
     joined = stored(joined.select(*columns, digest, "group_twice"), "deduplicated")
     twice = F.coalesce("group_twice", F.lit(1)) > 1
-    once = joined.filter(~twice).select(*df.columns)
-    return once.unionByName(joined.filter(twice).dropDuplicates([digest]).select(*df.columns))
+    once = joined.filter(~twice).select(*plain.columns)
+    one_each = joined.filter(twice).dropDuplicates([digest]).select(*plain.columns)
+    return once.unionByName(one_each).withColumnsRenamed(back)

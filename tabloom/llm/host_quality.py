@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import BLANK, bind, free_name, stored, words
+from tabloom.llm.common import bind, free_name, shield, stored, words
 
 WINDOW = 8
 
@@ -149,5 +149,8 @@ def judged_measured(df: DataFrame, host: str = "source", rules: Rules = Rules())
 
 def survivors(df: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The rows that stay, with the columns of ``df``."""
-    judged = judged_measured(measured(df, text, rules), host, rules)
-    return judged.filter("kept").select(*df.columns)
+    if text in ("quality", "kept") or host in ("quality", "kept"):
+        raise ValueError("the text and host columns cannot be called quality or kept")
+    rows, back = shield(df, ("quality", "kept"))
+    judged = judged_measured(measured(rows, text, rules), host, rules)
+    return judged.filter("kept").select(*rows.columns).withColumnsRenamed(back)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import query, table
-from tabloom.llm import exact_dedup, host_quality
+from tabloom.llm import exact_dedup, host_quality, pii, simhash_dedup
+from tabloom.llm.common import stored
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -56,3 +57,16 @@ def op8_quality_rules(spark, sf_dir):
     q = F.col("quality")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return host_quality.judged_measured(measured, "source", rules).select("doc_id", *[q[n].alias(n) for n in names], "kept")
+
+
+@query("op3_simhash_dedup")
+def op3_simhash_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = stored(simhash_dedup.with_fingerprints(docs).drop("text"), "fingerprinted")
+    found = simhash_dedup.with_components(rows)
+    return found.select("doc_id", simhash_dedup.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op10_pii_surrogates")
+def op10_pii_surrogates(spark, sf_dir):
+    return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_units")
