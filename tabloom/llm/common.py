@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
     """The same rows in batches whose texts in ``column`` hold about ``limit`` bytes; one text is never cut."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
-        sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, size in enumerate(sizes):
             if held and held + size > limit:
