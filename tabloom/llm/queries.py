@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import query, table
-from tabloom.llm import exact_dedup, host_quality, pii, simhash_dedup
+from tabloom.llm import bpe, exact_dedup, host_quality, packing, pii, simhash_dedup
 from tabloom.llm.common import stored
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -70,3 +70,20 @@ def op3_simhash_dedup(spark, sf_dir):
 @query("op10_pii_surrogates")
 def op10_pii_surrogates(spark, sf_dir):
     return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_units")
+
+
+@query("op1_bestfit_packing")
+def op1_bestfit_packing(spark, sf_dir):
+    found = packing.packed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op2_bpe_round_trip")
+def op2_bpe_round_trip(spark, sf_dir):
+    ids = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    both = bpe.decoded(ids)
+    return both.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
