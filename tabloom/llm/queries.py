@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import query, table
-from tabloom.llm import bpe, exact_dedup, host_quality, packing, pii, simhash_dedup
+from tabloom.llm import bpe, exact_dedup, host_quality, packing, pii, simhash_dedup, token_counts, url_rules, warc
 from tabloom.llm.common import stored
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -87,3 +87,67 @@ def op2_bpe_round_trip(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_counts.counted(docs).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+  g AS (SELECT h, max(page_id) AS first FROM p GROUP BY h),
+  bits AS (SELECT h, string_agg(right(('0x' || c)::INTEGER::BIT::VARCHAR, 4), '' ORDER BY i) AS b
+    FROM (SELECT DISTINCT h, unnest(range(1, 41)) AS i, substr(h, i::INTEGER, 1) AS c FROM p) GROUP BY h),
+  codes AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + (substr(b, k, 1)::INTEGER * 16 + substr(b, k + 1, 1)::INTEGER * 8 + substr(b, k + 2, 1)::INTEGER * 4
+        + substr(b, k + 3, 1)::INTEGER * 2 + substr(b, k + 4, 1)::INTEGER), 1), '' ORDER BY k) AS d
+    FROM (SELECT h, b, unnest(range(1, 161, 5))::INTEGER AS k FROM bits) GROUP BY h)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN g USING (h) JOIN codes USING (h)"""
+
+
+@query("op4_warc_round_trip", WARC_SQL)
+def op4_warc_round_trip(spark, sf_dir):
+    records = warc.archived(table(spark, sf_dir, "pages"))
+    return records.select(
+        F.col("record_key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to_key").cast("bigint").alias("refers_to"),
+    )
+
+
+#: The stated rules, and words that no good host carries in a label.
+STATED_RULES = (
+    ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"),
+)
+HOST_WORDS = ("spam", "cheap-pills", "casino", "porn", "xxx", "warez", "payday-loans", "replica-watches")
+
+
+def url_rule_list():
+    stated = [url_rules.host_path_rule(text, action) for text, action in STATED_RULES]
+    return [*stated, *[url_rules.host_word_rule(word) for word in HOST_WORDS]]
+
+
+_STATED_SQL = "\n    ".join(
+    f"WHEN ('.' || host) LIKE '%.{t.partition('/')[0]}' AND starts_with(path, '/{t.partition('/')[2]}') THEN '{t}'"
+    for t, _ in sorted(STATED_RULES, key=lambda r: -len(r[0]))
+)
+URL_SQL = rf"""WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+  r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
+  s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+  t AS (SELECT *, CASE {_STATED_SQL} END AS rule FROM s)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ({", ".join(f"'{t}'" for t, a in STATED_RULES if a == "block")}) THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host, '(^|[.-])({"|".join(HOST_WORDS)})([.:-]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM t"""
+
+
+@query("op9_url_filters", URL_SQL)
+def op9_url_filters(spark, sf_dir):
+    found = url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), url_rule_list())
+    stated = F.when(F.col("rule_tier") == 2, F.col("rule"))
+    return found.select("page_id", "host", "path", stated.alias("rule"), "verdict")
