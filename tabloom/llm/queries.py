@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import query, table
-from tabloom.llm import bpe, exact_dedup, host_quality, packing, pii, simhash_dedup, token_counts, url_rules, warc
+from tabloom.llm import bpe, exact_dedup, host_quality, katz, packing, pii, simhash_dedup, token_counts, url_rules, warc
 from tabloom.llm.common import stored
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -151,3 +151,9 @@ def op9_url_filters(spark, sf_dir):
     found = url_rules.judged(table(spark, sf_dir, "pages").select("page_id", "url"), url_rule_list())
     stated = F.when(F.col("rule_tier") == 2, F.col("rule"))
     return found.select("page_id", "host", "path", stated.alias("rule"), "verdict")
+
+
+@query("op5_katz_scores")
+def op5_katz_scores(spark, sf_dir):
+    found = katz.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

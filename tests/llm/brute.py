@@ -42,3 +42,70 @@ def near_components(prints, k=2):
     prints = sorted(set(prints))
     edges = [(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= k]
     return roots(prints, edges)
+
+
+class Katz:
+    """The bigram backoff model with dictionaries."""
+
+    def __init__(self, docs, k=5):
+        import zlib
+        from collections import Counter
+
+        self.k = k
+        self.held = lambda d: zlib.crc32(("null" if d is None else str(d)).encode()) % 10 == 0
+        self.uni, self.pair = Counter(), Counter()
+        for d, text in docs:
+            if not self.held(d):
+                t = self.tokens(text)
+                self.uni.update(t)
+                self.pair.update(zip([None, *t], t))
+        self.n, self.v = sum(self.uni.values()), len(self.uni)
+        self.context = Counter()
+        for (h, _), c in self.pair.items():
+            self.context[h] += c
+        self.low1, self.low2 = self.discounts(self.uni), self.discounts(self.pair)
+        self.unknown = 1 - sum(self.cut(c, self.low1) for c in self.uni.values()) / self.n if self.n else 1.0
+        self.after = {}
+        for (h, w), c in self.pair.items():
+            self.after.setdefault(h, []).append((w, c))
+        self.alpha = {}
+        for h, own in self.after.items():
+            left = 1 - sum(self.cut(c, self.low2) for _, c in own) / self.context[h]
+            self.alpha[h] = left / (1 - sum(self.p1(w) for w, _ in own))
+
+    @staticmethod
+    def tokens(text):
+        return [*WORD.findall(lower(text)), 0]
+
+    def discounts(self, counts):
+        from collections import Counter
+
+        n, k = Counter(counts.values()), self.k
+        try:
+            cut = (k + 1) * n[k + 1] / n[1]
+            d = [((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut) for r in range(1, k + 1)]
+        except ZeroDivisionError:
+            d = [2]
+        if all(0 < x < 1 for x in d):
+            return [0, *[r * x for r, x in enumerate(d, 1)]]
+        return [0, *[r - 0.5 for r in range(1, k + 1)]]
+
+    def cut(self, c, low):
+        return low[c] if c <= self.k else c - 0.5
+
+    def p1(self, w):
+        return self.cut(self.uni[w], self.low1) / self.n if w in self.uni else self.unknown
+
+    def p2(self, h, w):
+        if h not in self.context:
+            return self.p1(w)
+        if (h, w) in self.pair:
+            return self.cut(self.pair[h, w], self.low2) / self.context[h]
+        return self.alpha[h] * self.p1(w)
+
+    def score(self, text):
+        from math import log10
+
+        t = self.tokens(text)
+        base = sum(log10((self.uni[w] + 0.1) / (self.n + 0.1 * (self.v + 1))) for w in t)
+        return len(t), sum(w in self.uni for w in t), base, sum(log10(self.p2(h, w)) for h, w in zip([None, *t], t))
