@@ -248,7 +248,7 @@ def packed(rows: DataFrame, length: str = "length", order: tuple[str, ...] = (),
     ranked = placed.withColumn("rank_", F.row_number().over(inside) - 1)
     ranked = ranked.join(F.broadcast(starts), ["length_", "bucket_"]).withColumn("rank_", (F.col("rank_") + F.col("start_")).cast("bigint"))
     ranked = ranked.drop("bucket_", "buckets_", "start_")
-    shared = spark.sparkContext.broadcast(plan)
+    shared, names = spark.sparkContext.broadcast(plan), rows.columns
     fields = [*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     schema = T.StructType(fields)
 
@@ -258,7 +258,7 @@ def packed(rows: DataFrame, length: str = "length", order: tuple[str, ...] = (),
             lengths = batch.column(batch.schema.get_field_index("length_")).to_numpy()
             ranks = batch.column(batch.schema.get_field_index("rank_")).to_numpy()
             sequence, offset = own.places(lengths, ranks)
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in rows.columns]
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=schema.names)
 
     return ranked.mapInArrow(run, schema)
