@@ -29,7 +29,7 @@ class Rules:
     min_words: int = 20
     max_repeat_pct: int = 30
     max_symbols_per_word: float = 0.5
-    host_limit: float = 0.5
+    host_limit: float = 0.8
     #: Rejected hosts up to this number are sent to all tasks, more are joined by shuffle.
     broadcast_hosts: int = 100_000
 

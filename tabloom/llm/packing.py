@@ -116,8 +116,26 @@ def configurations(values: np.ndarray, capacity: int, active: np.ndarray) -> tup
     return worth[order], found
 
 
-def solve(histogram: np.ndarray, capacity: int, rounds: int = 24, rate: float = 0.5) -> list[Lot]:
-    """Lots that hold exactly ``histogram[length]`` pieces of every length."""
+def solve(histogram: np.ndarray, capacity: int, rounds: int = 24) -> list[Lot]:
+    """Lots that hold exactly ``histogram[length]`` pieces of every length.
+
+    Fewer, larger rounds round less finely; where many rounds miss the bound that the sum of lengths sets, they are
+    tried as well, and the fewest sequences count.
+    """
+    bound = -(-int((histogram * np.arange(capacity + 1)).sum()) // capacity)
+    best = None
+    for number in dict.fromkeys((rounds, 1, max(1, rounds // 6))):
+        lots = weighted_rounds(histogram, capacity, number)
+        used = sum(lot.count for lot in lots)
+        if best is None or used < best[0]:
+            best = (used, lots)
+        if used <= bound:
+            break
+    return best[1]
+
+
+def weighted_rounds(histogram: np.ndarray, capacity: int, rounds: int, rate: float = 0.5) -> list[Lot]:
+    """Multiplicative weights in ``rounds`` rounds, and best fit for what is left."""
     left = histogram.astype(np.int64).copy()
     lots = []
     if left[capacity]:
