@@ -19,7 +19,7 @@ import functools
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from tabloom.llm.common import slices
 
-#: Distinct words, and distinct fragments, of one generation of a task's memory; two generations are kept.
-MEMORY = 150_000
+#: Entries of one generation of a task's memory for words, pre-tokens and fragments; two generations are kept.
+WORDS, PRETOKENS, FRAGMENTS = 250_000, 150_000, 60_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -85,11 +85,14 @@ class Encoder:
         names = sorted(v.special, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-        self.fragments = Generations(self._fragment)
+        self.pretokens = Generations(self._pretoken, PRETOKENS)
+        self.fragments = Generations(self._fragment, FRAGMENTS)
 
     def cuts(self, word: str) -> list[str]:
         """A pre-token's letters, cut wherever no token can reach across."""
-        text = "".join([self.vocabulary.letters[b] for b in word.encode("utf-8", "surrogatepass")])
+        text = word
+        if not (word.isascii() and word.isalnum()):
+            text = "".join([self.vocabulary.letters[b] for b in word.encode("utf-8", "surrogatepass")])
         joinable = self.joinable
         at = [i for i, pair in enumerate(map("".join, zip(text, text[1:])), 1) if pair not in joinable]
         if not at:
@@ -104,16 +107,23 @@ class Encoder:
         ids = self.vocabulary.ids
         return tuple([ids[s] for s in merged(symbols, self.rank)])
 
-    def pretoken(self, word: str) -> list[int]:
+    def _pretoken(self, word: str) -> tuple[int, ...]:
         *inner, last = self.cuts(word)
+        if not inner:
+            return self.fragments[last, True]
         out = []
         for letters in inner:
             out.extend(self.fragments[letters, False])
         out.extend(self.fragments[last, True])
-        return out
+        return tuple(out)
 
-    def word(self, raw: str) -> list[int]:
+    def word(self, raw: str) -> Sequence[int]:
         """The ids of a piece of text without white space around it."""
+        if raw.isascii():
+            if raw.isalpha():
+                return self.pretokens[raw.lower()]
+            if raw[-1] in ".,;:!?" and raw[:-1].isalpha():
+                return self.pretokens[raw[:-1].lower()] + self.pretokens[raw[-1]]
         out, start = [], 0
         if self.special and "<" in raw:
             for found in self.special.finditer(raw):
@@ -123,14 +133,14 @@ class Encoder:
         out.extend(self.plain(raw[start:]))
         return out
 
-    def plain(self, raw: str) -> list[int]:
+    def plain(self, raw: str) -> Sequence[int]:
         text = raw if raw.isascii() else unicodedata.normalize("NFC", raw).replace("Σ", "σ")
         text = text.lower()
         if text.isalpha():
-            return self.pretoken(text)
+            return self.pretokens[text]
         out = []
         for pretoken in self.pre.findall(text):
-            out.extend(self.pretoken(pretoken))
+            out.extend(self.pretokens[pretoken])
         return out
 
     def words(self, text: str | None) -> list[str]:
@@ -197,12 +207,12 @@ def encoder(path: str) -> Encoder:
 class Generations(dict):
     """Values by key, worked out when missing. A full memory becomes the old one, and what is asked for again moves on."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
-        if len(self) >= MEMORY:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         value = self.old.get(key)
@@ -217,7 +227,7 @@ class WordIds:
 
     def __init__(self, own: Encoder):
         self.own = own
-        self.known = Generations(lambda w: array("I", own.word(w)).tobytes())
+        self.known = Generations(lambda w: array("I", own.word(w)).tobytes(), WORDS)
 
     def of(self, text: str | None) -> bytes:
         known = self.known
