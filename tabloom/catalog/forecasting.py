@@ -81,11 +81,13 @@ SEASONAL_SQL = f"""WITH d AS (SELECT *, y - lag(y, 1) OVER w AS d, (y - lag(y, 1
   s AS (SELECT {KEYS}, sum(wd * p) AS dp, sum(p * p) FILTER (WHERE wd IS NOT NULL) AS pp, sum(wd * wd) FILTER (WHERE p IS NOT NULL) AS dd,
     count(wd * p) AS m, arg_max(y, sort_key) AS last, coalesce(arg_max(wd, sort_key), 0) AS change,
     count(d) FILTER (WHERE back <= 12) AS n FROM d GROUP BY {KEYS}),
-  f AS (SELECT *, greatest(-0.99, least(0.99, coalesce(dp / nullif(pp, 0), 0))) AS phi FROM s WHERE n = 12),
+  f AS (SELECT *, greatest(-0.99, least(0.99, coalesce(dp / nullif(pp, 0), 0))) AS phi FROM s),
   v AS (SELECT *, greatest(coalesce((dd - 2 * phi * dp + phi * phi * pp) / nullif(m, 0), 0), 0) AS sigma2 FROM f),
   steps AS (SELECT i FROM range(1, 13) t(i)),
-  step_change AS (SELECT v.{KEYS.replace(', ', ', v.')}, i, any_value(v.last) AS last, any_value(d.d + pow(phi, i) * change) AS ch
-    FROM v JOIN d USING ({KEYS}), steps WHERE d.back = 13 - i GROUP BY ALL),
+  step_change AS (SELECT v.{KEYS.replace(', ', ', v.')}, i, any_value(v.last) AS last,
+      any_value(coalesce(d.d, 0) + pow(phi, i) * change) AS ch
+    FROM v CROSS JOIN steps LEFT JOIN d ON d.o_orderstatus = v.o_orderstatus AND d.o_orderpriority = v.o_orderpriority
+      AND d.back = n - (i - 1) % greatest(n, 1) GROUP BY ALL),
   w AS (SELECT {KEYS}, sigma2, i, pow((1 - pow(phi, i)) / (1 - phi), 2) AS psi2 FROM v, steps),
   r AS (SELECT c.{KEYS.replace(', ', ', c.')}, c.i AS step,
     c.last + sum(c.ch) OVER (PARTITION BY {', '.join('c.' + k for k in KEYS.split(', '))} ORDER BY c.i) AS value,
@@ -99,6 +101,16 @@ def forecast_seasonal_ar(spark, sf_dir):
     return G.forecast_seasonal_ar(many(spark, sf_dir), SERIES, ["sort_key"], "y", 12, largest=MONTH_SERIES_BOUND)
 
 
+_NULL_KEYS = f"SELECT nullif(o_orderstatus, 'O') AS o_orderstatus, {KEYS.split(', ')[1]}, step, value, lower, upper FROM"
+
+
+@query("seasonal_ar_null_series", f"{_NULL_KEYS} ({rounded(SEASONAL_SQL)})")
+def seasonal_ar_null_series(spark, sf_dir):
+    """One order status is missing: its series are forecast like any other."""
+    series = many(spark, sf_dir).withColumn("o_orderstatus", F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")))
+    return G.forecast_seasonal_ar(series, SERIES, ["sort_key"], "y", 12, largest=MONTH_SERIES_BOUND)
+
+
 @query("forecast_exog")
 def forecast_exog(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

@@ -12,6 +12,7 @@ from tabloom.operators import models as M
 from tabloom.operators import split as D
 from tabloom.plans import prepare as P
 from tabloom.plans import score as R
+from tabloom.plans import train as TR
 from tabloom.sources import files, runlog
 from tabloom.session import scratch_path
 
@@ -101,12 +102,12 @@ def decision_tree(spark, sf_dir):
 
 @query("random_forest")
 def random_forest(spark, sf_dir):
-    return tree_metrics(spark, sf_dir, lambda t, f, y: M.fit_forest(t, f, y, trees=50, max_depth=8))
+    return tree_metrics(spark, sf_dir, M.fit_forest)
 
 
 @query("gradient_boosting")
 def gradient_boosting(spark, sf_dir):
-    return tree_metrics(spark, sf_dir, lambda t, f, y: M.fit_boosting(t, f, y, preset="simple"))
+    return tree_metrics(spark, sf_dir, M.fit_boosting)
 
 
 def _ridge_cv_sql():
@@ -139,7 +140,7 @@ def hyperparameter_search(spark, sf_dir):
 @query("hyperparameter_search_trees")
 def hyperparameter_search_trees(spark, sf_dir):
     train, _ = split_parts(spark, sf_dir)
-    found = M.search(train, PART_FEATS, "value", "dt", PART_KEY, trials=5, folds=3)
+    found = M.search(train, PART_FEATS, "value", "dt", PART_KEY)
     rows = [(i, p["max_depth"], p["min_split"], s) for i, (p, s) in enumerate(found.trials)]
     return spark.createDataFrame(rows, "trial bigint, max_depth int, min_split int, score double")
 
@@ -188,7 +189,7 @@ def first_pass_model(spark, sf_dir):
 @query("train_models")
 def train_models(spark, sf_dir):
     train, test = split_parts(spark, sf_dir)
-    settings = M.TrainSettings(key=PART_KEY, cv_folds=3, params={"rf": {"trees": 20, "max_depth": 6}})
+    settings = M.TrainSettings(key=PART_KEY)
     trained = M.train_models(train, test, PART_FEATS, "value", ["linear", "ridge", "dt", "rf"], settings)
     return trained.metrics
 
@@ -235,6 +236,31 @@ def score_report(spark, sf_dir):
     return R.score_summary(scored, model="linear")
 
 
+TRAIN_SQL = f"""WITH m AS (SELECT avg(CASE WHEN l_orderkey % 5 <> 0 THEN l_quantity END) AS mean FROM lineitem),
+  t AS (SELECT coalesce(CASE WHEN l_orderkey % 5 <> 0 THEN l_quantity END, mean) AS x,
+    l_quantity * 900 * (1 - l_discount) + l_extendedprice * 0.2 AS amount,
+    {hash_sql("l_orderkey")} % 100 < 20 AS is_test FROM lineitem, m),
+  f AS (SELECT regr_slope(amount, x) AS s, regr_intercept(amount, x) AS i FROM t WHERE NOT is_test)
+  SELECT 'linear' AS model_name, 'amount' AS target_column, 1::INTEGER AS feature_count, 'mean' AS missing,
+    round(1 - sum((amount - s * x - i) * (amount - s * x - i)) / (count(*) * var_pop(amount)), 3) AS r2 FROM t, f WHERE is_test"""
+
+
+@query("train_run", TRAIN_SQL)
+def train_run(spark, sf_dir):
+    """A whole run with gaps to fill, and its row in the log."""
+    li = lines(spark, sf_dir).withColumn("l_quantity", F.when(F.col("l_orderkey") % 5 != 0, F.col("l_quantity")))
+    config = TR.TrainConfig(
+        P.PrepareConfig("amount", ("l_quantity",), row_key=("l_orderkey",), choose_time=False), models=("linear",), missing="mean"
+    )
+    path = scratch_path(spark, "runs")
+    done = TR.train(li.select("l_orderkey", "l_quantity", "amount"), config)
+    TR.log_run(done, path, "lineitem", config)
+    return runlog.list_runs(spark, path).select(
+        "model_name", "target_column", "feature_count", F.col("config")["missing"].alias("missing"),
+        F.round(F.col("metrics")["r2"].cast("double"), 3).alias("r2"),
+    )
+
+
 SUMMARY_SQL = """SELECT 'plain' AS model, round(avg(p), 4) AS mean, round(stddev_samp(p), 4) AS std, round(min(p), 4) AS min,
   round(max(p), 4) AS max, count(p)::BIGINT AS count FROM (SELECT l_quantity * 1900.0 + 5000.0 AS p FROM lineitem)"""
 

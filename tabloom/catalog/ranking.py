@@ -37,7 +37,7 @@ def profile_sql(columns, numeric):
 
 
 NUMERIC = ["c_custkey", "c_nationkey", "c_acctbal", "totalPrice", "label"]
-WORDS = "[" + ", ".join(f"'{names.spaced_text(k)}'" for k in names.TARGET_WORDS) + "]"
+WORDS = "[" + ", ".join(f"'{k.replace('_', ' ')}'" for k in names.TARGET_WORDS) + "]"
 PLAIN = (
     "lower(trim(regexp_replace(regexp_replace(regexp_replace(name, '(.)([A-Z][a-z]+)', '\\1 \\2', 'g'),"
     " '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\-\\s]+', ' ', 'g')))"

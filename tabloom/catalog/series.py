@@ -219,3 +219,46 @@ def split_boundary_preview(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
     return D.boundary(o, 0.2, ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
+
+
+# Orders whose date is missing for every seventh key: such rows come last.
+GAPS_SQL = "SELECT o_orderkey, o_totalprice, o_orderstatus, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS placed FROM orders"
+
+
+def gaps(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_totalprice", "o_orderstatus", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("placed")
+    )
+
+
+@query(
+    "split_chronological_nulls",
+    f"""SELECT o_orderkey, row_number() OVER (ORDER BY placed NULLS LAST, o_orderkey) > count(*) OVER () - ceil(count(*) OVER () * 0.2)
+      AS is_test FROM ({GAPS_SQL})""",
+)
+def split_chronological_nulls(spark, sf_dir):
+    return D.split(gaps(spark, sf_dir), 0.2, "chronological", order_by=["placed", "o_orderkey"]).select("o_orderkey", "is_test")
+
+
+@query(
+    "time_series_folds_nulls",
+    f"""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY placed NULLS LAST, o_orderkey) - 1 AS i, count(*) OVER () AS n
+      FROM ({GAPS_SQL})), s AS (SELECT o_orderkey, i, n, n // 6 AS size FROM r)
+    SELECT o_orderkey, CASE WHEN i < n - 5 * size THEN -1 ELSE (i - (n - 5 * size)) // size END::INTEGER AS fold FROM s""",
+)
+def time_series_folds_nulls(spark, sf_dir):
+    return D.time_folds(gaps(spark, sf_dir), 5, ["placed", "o_orderkey"]).select("o_orderkey", "fold")
+
+
+@query(
+    "bucket_median_null_series",
+    """SELECT CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS o_orderstatus, CAST(year(o_orderdate) AS VARCHAR) AS label,
+      year(o_orderdate)::BIGINT AS sort_key, round(quantile_cont(o_totalprice, 0.5), 3) AS o_totalprice FROM orders GROUP BY 1, 2, 3""",
+)
+def bucket_median_null_series(spark, sf_dir):
+    """The large-group path: every series counts as too large for one task."""
+    o = table(spark, sf_dir, "orders").withColumn("o_orderstatus", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")))
+    done = X.bucket_series(
+        o, "o_orderdate", ["o_totalprice"], "year", {"o_totalprice": "median"}, series=["o_orderstatus"], limit=100
+    )
+    return done.withColumn("o_totalprice", F.round("o_totalprice", 3))

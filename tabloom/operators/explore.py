@@ -164,7 +164,13 @@ def _lines(df, time, lines, grain, metrics, start, end, order_by, series, limit)
     keys = [col(g) for g in groups]
     out = rows.groupBy(*keys).agg(*aggs) if aggs else rows.select(*keys).distinct()
     for key, value in medians.items():
-        out = out.join(grouped_median(rows, groups, value, key, limit), groups, "left")
+        # Null series are groups too: the join compares nulls as equal.
+        found = grouped_median(rows, groups, value, key, limit)
+        found = found.select(*[col(g).alias(f"_m{i}") for i, g in enumerate(groups)], col(key))
+        same = F.lit(True)
+        for i, g in enumerate(groups):
+            same = same & col(g).eqNullSafe(F.col(f"_m{i}"))
+        out = out.join(found, same, "left").drop(*[f"_m{i}" for i in range(len(groups))])
     return out.select(*keys, *[col(k) for k in lines])
 
 

@@ -23,7 +23,8 @@ from tabloom.operators.split import folds as assign_folds
 from tabloom.session import shared_dir
 
 SEED = 42
-DEEPEST = 20
+#: Levels of a forest without a depth limit: the most that Spark trees can have.
+DEEPEST = 30
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,10 @@ def fit_forest(
     train: DataFrame, feats: Sequence[str], y: str, trees: int = 100, max_depth: int | None = None,
     min_split: int = 2, max_features: str = "sqrt",
 ) -> Fitted:
-    """Random forest; 'no depth limit' means 20 levels."""
+    """Random forest; 'no depth limit' means ``DEEPEST`` levels.
+
+    Spark bounds leaves and not splits: a node of ``min_split`` rows may split if both halves hold min_split // 2.
+    """
     estimator = RandomForestRegressor(
         numTrees=trees, maxDepth=max_depth or DEEPEST, minInstancesPerNode=max(1, min_split // 2),
         featureSubsetStrategy=max_features, bootstrap=True, seed=SEED,
@@ -274,24 +278,28 @@ def draws(name: str, trials: int = 25, seed: int = SEED) -> list[dict[str, Any]]
 
 def search(
     train: DataFrame, feats: Sequence[str], y: str, name: str, key: Sequence[str], trials: int = 25, folds: int = 3,
-    seed: int = SEED, parallelism: int = 4,
+    seed: int = SEED, parallelism: int = 4, fold: str | None = None, chronological: bool = False,
 ) -> Search:
-    """Mean R2 over hash folds for each drawn parameter set; models without ranges are skipped."""
+    """Mean R2 over folds for each drawn parameter set; models without ranges are skipped.
+
+    Folds are drawn by key hash unless ``fold`` names a fold column; with ``chronological`` each of its folds is
+    tested on what came before it.
+    """
     sets = draws(name, trials, seed)
     if not sets:
         return Search()
-    marked = assign_folds(train, folds, key)
+    marked = train.withColumn("fold", F.col(fold)) if fold else assign_folds(train, folds, key)
     if name == "ridge" and len(feats) <= M.MAX_MOMENT_FEATURES:
         parts = M.fold_moments(marked, feats, y, "fold")
         scored = []
         for params in sets:
-            scores = M.cv_scores(parts, lambda m, a=params["alpha"]: M.solve(m, a))
+            scores = M.cv_scores(parts, lambda m, a=params["alpha"]: M.solve(m, a), chronological)
             scored.append((params, sum(scores) / len(scores)))
         return Search(tuple(scored))
     slim = marked.select(*dict.fromkeys([*feats, y, "fold"])).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         with ThreadPoolExecutor(parallelism) as pool:
-            scores = list(pool.map(lambda p: cv_r2(slim, feats, y, name, "fold", params=p), sets))
+            scores = list(pool.map(lambda p: cv_r2(slim, feats, y, name, "fold", chronological, p), sets))
     finally:
         slim.unpersist()
     return Search(tuple(zip(sets, scores, strict=True)))
@@ -351,7 +359,7 @@ def train_models(
 ) -> Trained:
     """Fit every model, measure each on the test rows, mark the best by R2.
 
-    A model that fails is reported and the others go on.
+    A model that fails is reported and the others go on; when all fail, the first error is raised.
     """
     spark = train.sparkSession
     chronological = settings.time_based and settings.fold is not None
@@ -360,7 +368,7 @@ def train_models(
     marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
     held = test.persist(StorageLevel.MEMORY_AND_DISK)
     fitted: dict[str, Fitted] = {}
-    rows = []
+    rows, failures = [], []
     try:
         task = V.task_type(held, y, settings.goal, settings.time_based).first()[0]
         for name in models:
@@ -368,7 +376,8 @@ def train_models(
                 given = dict(settings.params.get(name, {}))
                 tried = Search()
                 if settings.tune:
-                    tried = search(marked, feats, y, name, settings.key, settings.trials, min(3, settings.cv_folds))
+                    own = {"fold": fold, "chronological": True} if chronological else {}
+                    tried = search(marked, feats, y, name, settings.key, settings.trials, min(3, settings.cv_folds), **own)
                     given.update(tried.best_params)
                 model = fit_model(marked, feats, y, name, given)
                 scored = model.predict(held).persist(StorageLevel.MEMORY_AND_DISK)
@@ -389,10 +398,13 @@ def train_models(
                 fitted[name] = model
                 rows.append(row)
             except Exception as error:  # reported in the metrics row
+                failures.append(error)
                 rows.append({"model": name, "task_type": task, "error": f"{type(error).__name__}: {error}"[:500]})
     finally:
         marked.unpersist()
         held.unpersist()
+    if failures and not fitted:
+        raise failures[0]
     flat = [tuple(r.get(n) for n in _METRICS) for r in rows]
     schema = ", ".join(f"{n} {t}" for n, t in _METRICS.items())
     made = V.band(spark.createDataFrame(flat, schema))

@@ -32,9 +32,9 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def number_rows(
-    df: DataFrame, order_by: Sequence[str], name: str = "_rn", descending: bool = False
+    df: DataFrame, order_by: Sequence[str], name: str = "_rn", descending: bool = False, nulls_last: bool = False
 ) -> DataFrame:
-    """Dense 1..n in the given order, whatever the size.
+    """Dense 1..n in the given order, whatever the size. Nulls come first unless ``nulls_last``.
 
     The range partitioning is fixed by a checkpoint, so the counts per partition and the
     numbered rows agree even when executors are lost. Select the needed columns before: a
@@ -42,7 +42,8 @@ def number_rows(
     """
     spark = df.sparkSession
     shared_dir(spark)
-    keys = [col(c).desc() if descending else col(c) for c in order_by]
+    up = [col(c).asc_nulls_last() if nulls_last else col(c) for c in order_by]
+    keys = [col(c).desc() for c in order_by] if descending else up
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         df.repartitionByRange(parts, *keys)

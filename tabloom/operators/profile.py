@@ -44,7 +44,7 @@ def column_type_map(df: DataFrame, samples: int = 5, numeric_first: bool = True)
 
     Types decide, then the name, then whether one of the first non-null texts is a date. With
     ``numeric_first=False`` the values of numeric columns are tried as dates before.
-    Only ``samples`` values per undecided column are read.
+    The ``samples`` smallest values per undecided column are tried.
     """
     kinds: dict[str, str] = {}
     undecided = []
@@ -61,10 +61,10 @@ def column_type_map(df: DataFrame, samples: int = 5, numeric_first: bool = True)
         else:
             kinds[field.name] = "categorical"
     heads = []
-    for field in undecided:
-        # take() stops after the first files that hold enough non-null values.
-        taken = df.select(col(field.name).cast("string")).where(col(field.name).isNotNull()).take(samples)
-        heads += [(field.name, row[0]) for row in taken]
+    if undecided:
+        # One pass for all columns, whatever the order of the files: the smallest distinct texts.
+        texts = df.select(*[col(f.name).cast("string").alias(f.name) for f in undecided])
+        heads = [(row["name"], row["value"]) for row in sample_values(texts, samples).collect()]
     if heads:
         frame = df.sparkSession.createDataFrame(heads, "name string, value string")
         dated = frame.where(as_timestamp(F.col("value")).isNotNull()).select("name").distinct()

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,71 +185,102 @@ def grouped_median(
     if largest <= limit:
         return frame.groupBy(*groups).agg(F.median("v").alias(out))
 
-    # Per group: the bracket [low, high] of the two middle ranks and the rows below it.
-    lower = F.floor((F.col("n") - 1) / 2).cast("bigint")
-    upper = F.floor(F.col("n") / 2).cast("bigint")
-    edge = F.percentile_approx("v", [0.5 - 2 / _ACCURACY, 0.5 + 2 / _ACCURACY], _ACCURACY)
-    brackets = frame.groupBy(*groups).agg(
-        F.count("v").alias("n"), edge.alias("e"), F.min("v").alias("least"), F.max("v").alias("most")
+    # Small groups keep all their values; those of a large group's sketch bracket are counted before they are used.
+    group = [f"_g{i}" for i in range(len(keys))]
+    middle = [F.floor((F.col("n") - 1) / 2).cast("bigint"), F.floor(F.col("n") / 2).cast("bigint")]
+    state = frame.groupBy(*groups).agg(F.count("v").alias("n"), F.min("v").alias("_low"), F.max("v").alias("_high"))
+    state = state.select(
+        *[col(k).alias(g) for k, g in zip(keys, group, strict=True)], middle[0].alias("_lower"), middle[1].alias("_upper"),
+        "_low", "_high", F.lit(0).cast("bigint").alias("_below"), F.col("n").alias("_inside"),
     )
-    # A sketch is exact to n / accuracy ranks, so two ranks of slack hold the middle; small
-    # groups, where that slack is below one rank, keep all their values.
-    whole = F.col("n") <= limit
-    brackets = brackets.select(
-        *[col(k).alias(f"_g{i}") for i, k in enumerate(keys)],
-        lower.alias("_lower"),
-        upper.alias("_upper"),
-        F.when(whole, F.col("least")).otherwise(F.col("e")[0]).alias("_low"),
-        F.when(whole, F.col("most")).otherwise(F.col("e")[1]).alias("_high"),
-    )
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & col(k).eqNullSafe(F.col(f"_g{i}"))
-    # The join reads the big side once; adaptive skew handling splits a hot group.
-    tagged = frame.join(brackets, same)
-    kept = [F.col(f"_g{i}") for i in range(len(keys))] + [F.col("_lower"), F.col("_upper")]
-    below = tagged.groupBy(*kept).agg(F.count_if(F.col("v") < F.col("_low")).alias("_below"))
-    inside = (
-        tagged.where((F.col("v") >= F.col("_low")) & (F.col("v") <= F.col("_high")))
-        .groupBy(*kept, "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    marks = [f"_g{i}" for i in range(len(keys))]
-    pair = F.lit(True)
-    for m in marks:
-        pair = pair & F.col(f"i.{m}").eqNullSafe(F.col(f"b.{m}"))
-    ranked = inside.alias("i").join(below.alias("b"), pair).select("i.*", F.col("b._below"))
-    upto = F.sum("c").over(Window.partitionBy(*marks).orderBy("v")) + F.col("_below")
-    spans = ranked.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("c"))
+    # A round keeps about 3 / 64 of a bracket; where few values make up most of it, it cannot shrink and need not.
+    for _ in range(8):
+        state = state.persist(StorageLevel.MEMORY_AND_DISK)
+        largest = state.where(F.col("_low") < F.col("_high")).agg(F.max("_inside")).first()[0] or 0
+        if largest <= limit:
+            break
+        state = _narrowed(frame, keys, group, state, limit)
+    tagged = _tagged(frame, keys, group, state)
+    kept = [F.col(g) for g in group] + [F.col(c) for c in ("_lower", "_upper", "_below")]
+    inside = tagged.where(F.col("v").between(F.col("_low"), F.col("_high"))).groupBy(*kept, "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*group).orderBy("v")) + F.col("_below")
+    spans = inside.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("c"))
     low_hit = (F.col("_from") <= F.col("_lower")) & (F.col("_upto") > F.col("_lower"))
     high_hit = (F.col("_from") <= F.col("_upper")) & (F.col("_upto") > F.col("_upper"))
-    middle = spans.groupBy(*marks).agg(
+    found = spans.groupBy(*group).agg(
         F.max(F.when(low_hit, F.col("v"))).alias("_a"), F.max(F.when(high_hit, F.col("v"))).alias("_b")
     )
-    return middle.select(
-        *[F.col(m).alias(k) for m, k in zip(marks, keys, strict=True)],
-        ((F.col("_a") + F.col("_b")) / 2).alias(out),
+    return found.select(
+        *[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], ((F.col("_a") + F.col("_b")) / 2).alias(out)
+    )
+
+
+def _tagged(frame: DataFrame, keys: Sequence[str], group: Sequence[str], state: DataFrame) -> DataFrame:
+    """Every value with its group's bracket; adaptive skew handling splits a hot group."""
+    same = F.lit(True)
+    for g, k in zip(group, keys, strict=True):
+        same = same & col(k).eqNullSafe(F.col(g))
+    return frame.join(state, same)
+
+
+def _narrowed(frame: DataFrame, keys: Sequence[str], group: Sequence[str], state: DataFrame, limit: int) -> DataFrame:
+    """Brackets of large groups made smaller by a sketch, checked by counting: where the sketch misses the
+    middle, the part of the old bracket beside it is taken, which holds it for certain."""
+    tagged = _tagged(frame, keys, group, state.where(F.col("_inside") > limit))
+    fixed = [F.col(g) for g in group] + [F.col(c) for c in ("_lower", "_upper", "_low", "_high", "_below", "_inside")]
+    v = F.when(F.col("v").between(F.col("_low"), F.col("_high")), F.col("v"))
+    steps = [F.lit(i / 64) for i in range(1, 64)]
+    cuts = tagged.groupBy(*fixed).agg(F.percentile_approx(v, F.array(*steps), F.lit(_ACCURACY)).alias("_cuts"))
+    share = (F.col("_lower") - F.col("_below")) / F.col("_inside")
+    at = F.greatest(F.lit(0), F.least(F.floor(share * 64).cast("int"), F.lit(63)))
+    cuts = cuts.withColumns(
+        {"_p": F.when(at >= 2, F.get("_cuts", at - 2)).otherwise(F.col("_low")), "_q": F.when(at <= 60, F.get("_cuts", at + 1)).otherwise(F.col("_high"))}
+    ).drop("_cuts")
+    pieces = _tagged(frame, keys, group, cuts)
+    counted = pieces.groupBy(*fixed, "_p", "_q").agg(
+        F.count_if(F.col("v") < F.col("_p")).alias("_under"), F.count_if(F.col("v") <= F.col("_q")).alias("_to"),
+        F.min(F.when(F.col("v") > F.col("_q"), F.col("v"))).alias("_next"), F.max(F.when(F.col("v") < F.col("_p"), F.col("v"))).alias("_prior"),
+    )
+    holds = (F.col("_under") <= F.col("_lower")) & (F.col("_upper") < F.col("_to"))
+    left = F.col("_upper") < F.col("_under")
+    right = F.col("_lower") >= F.col("_to")
+    # The two middle ranks may lie on both sides of an edge; then the whole bracket stays, less its far side.
+    new_low = F.when(holds, F.col("_p")).when(right, F.col("_next")).when(left, F.col("_low")).otherwise(
+        F.when(F.col("_lower") < F.col("_under"), F.col("_prior")).otherwise(F.col("_p"))
+    )
+    new_high = F.when(holds, F.col("_q")).when(left, F.col("_prior")).when(right, F.col("_high")).otherwise(
+        F.when(F.col("_upper") >= F.col("_to"), F.col("_next")).otherwise(F.col("_q"))
     )
+    fresh = counted.select(
+        *[F.col(g) for g in group], "_lower", "_upper", new_low.alias("_low"), new_high.alias("_high")
+    )
+    sized = _tagged(frame, keys, group, fresh).groupBy(*[F.col(g) for g in group], "_lower", "_upper", "_low", "_high").agg(
+        F.count_if(F.col("v") < F.col("_low")).alias("_below"), F.count_if(F.col("v").between(F.col("_low"), F.col("_high"))).alias("_inside")
+    )
+    return state.where(F.col("_inside") <= limit).select(*sized.columns).unionByName(sized)
 
 
 def keys_at_ranks(
     df: DataFrame, order_by: Sequence[str], ranks: Sequence[int], limit: int = DIRECT_LIMIT
 ) -> list[tuple]:
-    """The order keys of the rows at 0-based ranks; order keys are numeric or time-like and
-    non-null, and together unique.
+    """The order keys of the rows at 0-based ranks, nulls last in every column; order keys are
+    numeric or time-like, and together unique (rows that repeat a key are interchangeable).
 
     The first column is selected for all ranks at once; rows that tie with a selected value are
     ranked by the remaining columns.
     """
     first, rest = order_by[0], list(order_by[1:])
     slim = df.select(*[col(c) for c in order_by])
-    values = order_statistics(slim, col(first), ranks, limit)
+    filled = slim.agg(F.count(col(first))).first()[0]
+    inside = [r for r in ranks if r < filled]
+    at = dict(zip(inside, order_statistics(slim, col(first), inside, limit), strict=True)) if inside else {}
+    values = [at.get(r) for r in ranks]
     if not rest:
         return [(v,) for v in values]
-    picked = sorted(set(values))
+    picked = list(dict.fromkeys(values))
     facts = slim.agg(
-        *[F.count_if(col(first) < F.lit(v)).alias(f"b{i}") for i, v in enumerate(picked)],
-        *[F.count_if(col(first) == F.lit(v)).alias(f"s{i}") for i, v in enumerate(picked)],
+        *[(F.count_if(col(first) < F.lit(v)) if v is not None else F.count(col(first))).alias(f"b{i}") for i, v in enumerate(picked)],
+        *[F.count_if(col(first).eqNullSafe(F.lit(v))).alias(f"s{i}") for i, v in enumerate(picked)],
     ).first()
     below = {v: facts[f"b{i}"] for i, v in enumerate(picked)}
     left = {r: r - below[v] for r, v in zip(ranks, values, strict=True)}
@@ -256,16 +288,18 @@ def keys_at_ranks(
     keys: dict[int, tuple] = {}
     for v in big:
         mine = [r for r, w in zip(ranks, values, strict=True) if w == v]
-        tied = slim.where(col(first) == F.lit(v))
+        tied = slim.where(col(first).eqNullSafe(F.lit(v)))
         tails = keys_at_ranks(tied, rest, [left[r] for r in mine], limit)
         keys.update({r: (v, *tail) for r, tail in zip(mine, tails, strict=True)})
     small = [(r, v) for r, v in zip(ranks, values, strict=True) if v not in big]
     if small:
-        place = F.row_number().over(Window.partitionBy(col(first)).orderBy(*[col(c) for c in rest])) - 1
-        tied = slim.where(col(first).isin([v for _, v in small])).withColumn("_place", place)
-        hit = F.lit(False)
+        order = Window.partitionBy(col(first)).orderBy(*[col(c).asc_nulls_last() for c in rest])
+        hit, tie = F.lit(False), F.lit(False)
         for r, v in small:
-            hit = hit | ((col(first) == F.lit(v)) & (F.col("_place") == left[r]))
+            same = col(first).eqNullSafe(F.lit(v))
+            tie = tie | same
+            hit = hit | (same & (F.col("_place") == left[r]))
+        tied = slim.where(tie).withColumn("_place", F.row_number().over(order) - 1)
         rows = {(row[first], row["_place"]): row for row in tied.where(hit).collect()}
         for r, v in small:
             row = rows[v, left[r]]
@@ -274,9 +308,13 @@ def keys_at_ranks(
 
 
 def after_key(order_by: Sequence[str], key: tuple) -> Column:
-    """True for rows that come after the key in the order."""
+    """True for rows that come after the key in the order, nulls last; never null."""
     test = F.lit(False)
     for i in reversed(range(len(order_by))):
-        here = col(order_by[i])
-        test = (here > F.lit(key[i])) | ((here == F.lit(key[i])) & test)
+        here, at = col(order_by[i]), key[i]
+        if at is None:
+            test = here.isNull() & test
+        else:
+            later = here.isNull() | (here > F.lit(at))
+            test = later | (F.coalesce(here == F.lit(at), F.lit(False)) & test)
     return test

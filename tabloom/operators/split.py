@@ -1,7 +1,7 @@
 """Train/test splits and folds.
 
 Random splits hash a business key. Chronological ones find the order keys at the cut ranks and
-compare every row with them, so nothing is sorted or moved.
+compare every row with them, so nothing is sorted or moved. Null order keys come last.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def _beyond(df: DataFrame, order_by: Sequence[str], ranks: list[int], limit: int
         inside = [r for r in ranks if r >= 0]
         keys = dict(zip(inside, keys_at_ranks(df, order_by, inside, limit), strict=True)) if inside else {}
         return df, [after_key(order_by, keys[r]) if r in keys else F.lit(True) for r in ranks]
-    numbered = number_rows(df, order_by, "_at")
+    numbered = number_rows(df, order_by, "_at", nulls_last=True)
     return numbered, [F.col("_at") > r + 1 for r in ranks]
 
 
@@ -88,8 +88,8 @@ def boundary(
     cut = math.floor(rows * (1 - share) + 0.5)
     frame, (later,) = _beyond(df, order_by, [cut - 1], limit)
     facts = {"train_rows": F.lit(cut).cast("bigint"), "test_rows": F.lit(rows - cut).cast("bigint")}
-    down = [col(c).desc() for c in order_by]
-    up = [col(c) for c in order_by]
+    down = [col(c).desc_nulls_first() for c in order_by]
+    up = [col(c).asc_nulls_last() for c in order_by]
     before = frame.where(~later).orderBy(*down).limit(n).withColumn("part", F.lit("train"))
     after = frame.where(later).orderBy(*up).limit(n).withColumn("part", F.lit("test"))
     return before.unionByName(after).drop("_at").withColumns(facts)

@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,12 +21,13 @@ from tabloom.functions.columns import as_number, as_text, col, is_datetime, is_f
 from tabloom.functions.dates import as_timestamp
 from tabloom.operators import evaluate as V
 from tabloom.operators.ordered import BLOCK_ROWS, WINDOW_LIMIT, Ordered
-from tabloom.operators.profile import correlation_table, profile
+from tabloom.operators.profile import correlation_table, profile, sample_values
 from tabloom.operators.select import mutual_information
 
 GATE = 0.3
-MAX_CLASSES = 100
-MAX_CATEGORIES = 100
+#: The model-based signal tells this many values of a text feature, and of a class target, apart: the most
+#: frequent ones; all rarer ones share the last slot. The rule is the same at every number of values.
+CATEGORIES, CLASSES = 128, 512
 FOLDS = 3
 
 
@@ -40,7 +41,7 @@ def similarity(a: Column, b: Column) -> Column:
 def name_score(name: Column, keywords: Sequence[str] = names.TARGET_WORDS) -> Column:
     """1 for a keyword, 0.65 to 0.8 for a near one, else 0."""
     plain = names.spaced(name)
-    words = F.array(*[F.lit(names.spaced_text(k)) for k in keywords])
+    words = F.array(*[names.spaced(F.lit(k)) for k in keywords])
 
     def closeness(word: Column) -> Column:
         shared = F.arrays_overlap(F.split(plain, " "), F.split(word, " "))
@@ -85,19 +86,12 @@ def missingness(profiled: DataFrame) -> DataFrame:
 
 
 def smallest_texts(df: DataFrame, columns: Sequence[str], n: int = 5) -> dict[str, list[str]]:
-    """The n smallest distinct texts per column: n aggregates that move no value but the minimum."""
+    """The n smallest distinct texts per column in one pass; tasks keep n values a column."""
     found: dict[str, list[str]] = {c: [] for c in columns}
-    for _ in range(n if columns else 0):
-        aggs = []
-        for i, c in enumerate(columns):
-            value = as_text(df, c)
-            last = found[c][-1] if found[c] else None
-            aggs.append(F.min(value if last is None else F.when(value > F.lit(last), value)).alias(f"v{i}"))
-        row = df.agg(*aggs).first()
-        for i, c in enumerate(columns):
-            if row[f"v{i}"] is not None and (not found[c] or row[f"v{i}"] > found[c][-1]):
-                found[c].append(row[f"v{i}"])
-    return found
+    if columns:
+        for row in sample_values(df.select(*[as_text(df, c).alias(c) for c in columns]), n).collect():
+            found[row["name"]].append(row["value"])
+    return {c: sorted(values)[:n] for c, values in found.items()}
 
 
 def semantic(
@@ -109,9 +103,10 @@ def semantic(
     Every keyword is one token, so the cosine is that token's weight over the length of the
     column's vector. Inverse frequencies are smoothed over the keywords and the column.
     """
-    texts = [(c, " ".join(x for x in (names.spaced_text(v) for v in values) if x)) for c, values in samples.items()]
     spark = profiled.sparkSession
-    extra = spark.createDataFrame(texts or [("", "")], "name string, sample_text string")
+    extra = spark.createDataFrame(list(samples.items()) or [("", [])], "name string, samples array<string>")
+    said = F.filter(F.transform("samples", names.spaced), lambda t: t != "")
+    extra = extra.select("name", F.array_join(said, " ").alias("sample_text"))
     joined = profiled.join(F.broadcast(extra), "name", "left")
     full = F.lower(F.concat_ws(" ", names.spaced(F.col("name")), F.nullif(F.col("sample_text"), F.lit(""))))
     tokens = F.regexp_extract_all(full, F.lit(r"(?U)\b(\w+)\b"), F.lit(1))
@@ -171,12 +166,22 @@ def _model_inputs(df: DataFrame, target: str) -> list[str]:
     return [c for c in flat if c != target and not names.name_has(c, ("id", "key", "date", "time"))]
 
 
+def frequent_slots(df: DataFrame, column: str, out: str, slots: int) -> DataFrame:
+    """Number 0.. for each of the most frequent texts, the last slot for nulls and all rarer texts."""
+    top = df.where(col(column).isNotNull()).groupBy(col(column).alias("_text")).agg(F.count(F.lit(1)).alias("_n"))
+    top = top.orderBy(F.col("_n").desc(), "_text").limit(slots - 1).collect()
+    numbered = df.sparkSession.createDataFrame([(r["_text"], float(i)) for i, r in enumerate(top)], "_text string, _slot double")
+    joined = df.join(F.broadcast(numbered), col(column) == F.col("_text"), "left")
+    names = [str(i) for i in range(len(top) + 1)]
+    slot = F.coalesce(F.col("_slot"), F.lit(float(len(top))))
+    return joined.withColumn(out, slot.alias(out, metadata={"ml_attr": {"type": "nominal", "vals": names}})).drop("_text", "_slot")
+
+
 def dependency(df: DataFrame, target: str, task: str, cheap: float) -> tuple[float, bool, str | None]:
     """(score, skipped, reason): how well the other columns predict this one.
 
     Twenty shallow trees in three folds by row hash: mean accuracy for classes, mean R2 (at
-    least 0) for numbers. Columns below the gate are skipped; so are targets with more classes
-    than a forest can hold, which is said in the reason.
+    least 0) for numbers. Columns below the gate are skipped.
     """
     if cheap < GATE:
         return 0.0, True, "low_cheap_score"
@@ -185,43 +190,25 @@ def dependency(df: DataFrame, target: str, task: str, cheap: float) -> tuple[flo
     if not inputs or rows.limit(10).count() < 10:
         return 0.0, False, None
     classes = task == "classification" or not is_numeric(df.schema[target].dataType)
-    label = as_text(rows, target) if classes else as_number(rows, target)
-    texts = [c for c in inputs if not is_numeric(df.schema[c].dataType)]
-    sizes = rows.agg(
-        *[F.approx_count_distinct(col(c)).alias(f"u{i}") for i, c in enumerate([*texts, target])]
-    ).first()
-    if classes and sizes[f"u{len(texts)}"] > MAX_CLASSES:
-        return 0.0, True, "too_many_classes"
-    few = [c for i, c in enumerate(texts) if sizes[f"u{i}"] <= MAX_CATEGORIES]
+    spread = F.pmod(F.xxhash64(*[col(f.name) for f in df.schema.fields if is_flat(f.dataType)]), F.lit(FOLDS))
     values = []
     for i, c in enumerate(inputs):
-        if c in few:
-            values.append(as_text(rows, c).alias(f"t{i}"))
-        elif c in texts:
-            # Texts of many values enter as a hashed number.
-            values.append((F.crc32(as_text(rows, c)) % 1000).cast("double").alias(f"x{i}"))
-        else:
-            values.append(F.coalesce(as_number(rows, c), F.lit(0.0)).alias(f"x{i}"))
-    spread = F.pmod(F.xxhash64(*[col(f.name) for f in df.schema.fields if is_flat(f.dataType)]), F.lit(FOLDS))
+        text = not is_numeric(df.schema[c].dataType)
+        values.append((as_text(rows, c) if text else F.coalesce(as_number(rows, c), F.lit(0.0))).alias(f"{'t' if text else 'x'}{i}"))
+    label = as_text(rows, target) if classes else as_number(rows, target)
     frame = rows.select(*values, label.alias("_y"), spread.alias("_fold"))
-    texts_in = [v for v in frame.columns if v.startswith("t")]
-    if texts_in:
-        indexer = StringIndexer(
-            inputCols=texts_in, outputCols=[f"i_{v}" for v in texts_in], handleInvalid="keep",
-            stringOrderType="alphabetAsc",
-        )
-        frame = indexer.fit(frame).transform(frame)
-    if classes:
-        frame = StringIndexer(inputCol="_y", outputCol="_label", stringOrderType="alphabetAsc").fit(frame).transform(frame)
-    else:
-        frame = frame.withColumnRenamed("_y", "_label")
-    used = [f"i_{v}" if v in texts_in else v for v in frame.columns if v[0] in "tx" and v[1:].isdigit()]
+    used = []
+    for name in [v for v in frame.columns if v[0] in "tx" and v[1:].isdigit()]:
+        if name[0] == "t":
+            frame = frequent_slots(frame, name, f"i_{name}", CATEGORIES)
+        used.append(f"i_{name}" if name[0] == "t" else name)
+    frame = frequent_slots(frame, "_y", "_label", CLASSES) if classes else frame.withColumnRenamed("_y", "_label")
     ready = VectorAssembler(inputCols=used, outputCol="_v", handleInvalid="keep").transform(frame)
     ready = ready.select("_v", "_label", "_fold").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if classes and ready.select("_label").distinct().limit(2).count() < 2:
             return 0.0, False, None
-        common = {"featuresCol": "_v", "labelCol": "_label", "maxDepth": 4, "seed": 42, "maxBins": MAX_CATEGORIES + 28}
+        common = {"featuresCol": "_v", "labelCol": "_label", "maxDepth": 4, "seed": 42, "maxBins": CATEGORIES}
 
         def held_out(fold: int) -> float | None:
             train, test = ready.where(F.col("_fold") != fold), ready.where(F.col("_fold") == fold)

@@ -17,7 +17,8 @@ from tabloom.operators.models import fit_linear
 from tabloom.operators.ordered import WINDOW_LIMIT, Ordered
 
 RECENT = 10
-_STEADY = 0.99
+#: Autoregressive weights are kept within +/- this value, so that forecasts cannot grow without bound.
+STEADY = 0.99
 
 
 def _steps(df: DataFrame, horizon: int) -> DataFrame:
@@ -68,7 +69,7 @@ def forecast_compound(base: DataFrame, value: str, steps: int = 10) -> DataFrame
 
 
 def _steady(phi: Column) -> Column:
-    return F.greatest(F.lit(-_STEADY), F.least(F.lit(_STEADY), F.coalesce(phi, F.lit(0.0))))
+    return F.greatest(F.lit(-STEADY), F.least(F.lit(STEADY), F.coalesce(phi, F.lit(0.0))))
 
 
 def _rise(phi: Column, j: Column) -> Column:
@@ -131,7 +132,9 @@ def forecast_seasonal_ar(
     df: DataFrame, series: Sequence[str], time: Sequence[str], y: str, horizon: int = 12, season: int = 12,
     alpha: float = 0.05, limit: int = WINDOW_LIMIT, largest: int | None = None,
 ) -> DataFrame:
-    """AR(1) on differences of differences one season apart, added back up."""
+    """AR(1) on differences of differences one season apart, added back up.
+
+    A series with fewer changes than a season repeats those it has (none: it stays level at its last value)."""
     frame = df.select(*[col(s) for s in series], *[col(t) for t in time], as_number(df, y).alias("_y"))
     frame = frame.where(F.col("_y").isNotNull())
     ordered = Ordered(frame, time, series, limit, largest=largest)
@@ -149,11 +152,18 @@ def forecast_seasonal_ar(
     pattern = recent.groupBy(*[col(s) for s in series]).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(place.alias("t"), F.col("_d").alias("d")))), lambda x: x["d"]).alias("ds")
     )
-    if series:
-        joined = sums.join(pattern, list(series))
-    else:
-        joined = sums.withColumn("_one", F.lit(1)).join(pattern.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    joined = joined.where(F.size("ds") == season)
+    # Null series are series too; a series shorter than a season repeats the changes that it has, or stays level.
+    named = pattern.select(*[col(c).alias(f"_s{i}") for i, c in enumerate(series)], "ds")
+    same = F.lit(True)
+    for i, c in enumerate(series):
+        same = same & col(c).eqNullSafe(F.col(f"_s{i}"))
+    joined = sums.join(named, same, "left").drop(*[f"_s{i}" for i in range(len(series))])
+    short = F.transform(
+        F.sequence(F.lit(0), F.lit(season - 1)), lambda j: F.coalesce(F.get("ds", F.pmod(j, F.size("ds"))), F.lit(0.0))
+    )
+    joined = joined.withColumn("ds", F.when(F.size("ds") == season, F.col("ds")).otherwise(short))
+    if not series:
+        joined = joined.where(F.col("last").isNotNull())
     phi = F.col("phi")
 
     def change_at(i: Column) -> Column:
@@ -198,7 +208,7 @@ def forecast_exog(
     scored = fitted.predict(train, "_guess")
     error = F.col("_y") - F.col("_guess")
     variance = scored.agg(F.avg(error * error)).first()[0] or 0.0
-    phi = max(-_STEADY, min(_STEADY, phi))
+    phi = max(-STEADY, min(STEADY, phi))
     last = lagged.groupBy(*[col(s) for s in series]).agg(F.max_by("_y", place).alias("last"))
     stepped = _steps(last, horizon)
     power = F.pow(F.lit(phi), F.col("step"))

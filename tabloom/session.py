@@ -28,8 +28,9 @@ def build_session(app: str = "tabloom", master: str | None = None, **conf) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    On a cluster this is the folder named in ``spark.checkpoint.dir``. Only when nothing
-    is set (local tests) a temporary folder is made and remembered on the context.
+    On a cluster this is the folder named in ``spark.checkpoint.dir``, and it must be set. Only a
+    local master without it gets a temporary folder. Whoever names the folder also clears it: finished
+    checkpoints go by ``spark.cleaner.referenceTracking.cleanCheckpoints``, tables with the folder.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tabloom-checkpoint-")
     context.setCheckpointDir(folder)
     return context.getCheckpointDir() or folder

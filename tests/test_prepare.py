@@ -92,8 +92,14 @@ def test_stream_equals_batch(spark, scorer, tmp_path):
     fresh = spark.range(50).select("id", (F.col("id") % 10).cast("double").alias("x"), F.lit("u").alias("kind"))
     fresh.repartition(3).write.parquet(source)
     stream = spark.readStream.schema(fresh.schema).parquet(source)
-    run = score_stream(stream, scorer, sink, ["id"], once=True)
+    again = str(tmp_path / "progress")
+    run = score_stream(stream, scorer, sink, ["id"], again, once=True)
     run.awaitTermination(120)
     got = spark.read.parquet(sink)
     assert got.exceptAll(R.score(fresh, scorer, keep=["id"])).count() == 0
     assert got.count() == 50
+    more = spark.range(50, 57).select("id", (F.col("id") % 10).cast("double").alias("x"), F.lit("u").alias("kind"))
+    more.write.mode("append").parquet(source)
+    for _ in range(2):  # a restart reads the new rows, and only once
+        score_stream(stream, scorer, sink, ["id"], again, once=True).awaitTermination(120)
+        assert spark.read.parquet(sink).count() == 57
