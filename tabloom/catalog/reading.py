@@ -37,6 +37,28 @@ def csv_source_latin1(spark, sf_dir):
     return files.read_csv(spark, path)
 
 
+@query("csv_source_utf16", READ_SQL)
+def csv_source_utf16(spark, sf_dir):
+    """One file per part of the table: UTF-16 files cannot be split."""
+    path = scratch_path(spark, "orders-utf16")
+    rows = written(spark, sf_dir).repartition(8)
+    rows.write.option("header", True).option("encoding", "UTF-16").csv(path)
+    return files.read_csv(spark, path)
+
+
+@query(
+    "csv_source_line_breaks",
+    "SELECT o_orderkey, o_orderstatus || chr(10) || o_orderpriority AS note FROM orders",
+)
+def csv_source_line_breaks(spark, sf_dir):
+    """Quoted line breaks, in files of bounded size."""
+    path = scratch_path(spark, "orders-lines")
+    note = F.concat("o_orderstatus", F.lit("\n"), "o_orderpriority")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note")).repartition(8)
+    rows.write.option("header", True).csv(path)
+    return files.read_csv(spark, path, multiline=True)
+
+
 @query("json_source", READ_SQL)
 def json_source(spark, sf_dir):
     path = scratch_path(spark, "orders-json")

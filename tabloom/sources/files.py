@@ -20,7 +20,11 @@ ENCODINGS = ("UTF-8", "ISO-8859-1", "UTF-16")
 
 
 def detect_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
-    """The first of the encodings that fits every line.
+    return inspect_lines(spark, path, encodings)[0]
+
+
+def inspect_lines(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> tuple[str, bool]:
+    """The first of the encodings that fits every line, and whether a line leaves a quote open.
 
     Spark replaces bad bytes instead of failing, so the lines are read byte by byte (one
     character per byte) and tested: zero bytes mean UTF-16, invalid sequences rule out UTF-8.
@@ -29,27 +33,38 @@ def detect_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = E
     raw = lines.schema("line string").option("sep", "\x01").option("quote", "").csv(path)
     bytes_ = F.encode("line", "ISO-8859-1").cast("string")
     row = raw.agg(
-        F.max(F.col("line").contains("\x00")).alias("zero"), F.min(F.is_valid_utf8(bytes_)).alias("valid")
+        F.max(F.col("line").contains("\x00")).alias("zero"), F.min(F.is_valid_utf8(bytes_)).alias("valid"),
+        F.max((F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1).alias("open"),
     ).first()
+    opened = bool(row["open"])
     if row["zero"] and "UTF-16" in encodings:
-        return "UTF-16"
+        return "UTF-16", opened
     if row["valid"] is False and "UTF-8" in encodings:
         rest = [e for e in encodings if e not in ("UTF-8", "UTF-16")]
-        return rest[0] if rest else "UTF-8"
-    return encodings[0]
+        return rest[0] if rest else "UTF-8", opened
+    return encodings[0], opened
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, encodings: Sequence[str] = ENCODINGS
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, encodings: Sequence[str] = ENCODINGS,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """A CSV table with a header, missing-value words as null and types inferred.
 
     Every column is read as text first; one aggregate then decides which ones are whole
-    numbers, numbers or booleans. An explicit schema saves that pass.
+    numbers, numbers or booleans. An explicit schema saves that pass, and a single stated
+    encoding the pass over the lines: give both for large tables.
+
+    ``multiline=True`` reads line breaks inside quotes; such files cannot be split, so each is
+    one task. Unstated, a table with such lines is refused rather than read wrongly; False
+    takes every line as a row. UTF-16 files are always read whole: many small ones scale, one
+    large one does not.
     """
-    encoding = encodings[0] if len(encodings) == 1 else detect_encoding(spark, path, encodings)
+    encoding, opened = (encodings[0], False) if len(encodings) == 1 else inspect_lines(spark, path, encodings)
+    if opened and multiline is None and encoding != "UTF-16":
+        raise ValueError("a line leaves a quote open: read with multiline=True, or multiline=False if quotes are plain text")
     reader = spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
-    if encoding == "UTF-16":
+    if encoding == "UTF-16" or multiline:
         reader = reader.option("multiLine", True)
     text = reader.option("inferSchema", False).csv(path)
     text = text.select(*[F.when(~col(c).isin(*MISSING_WORDS), col(c)).alias(c) for c in text.columns])

@@ -163,3 +163,11 @@ def test_run_log_order_and_filter(spark, tmp_path):
     one = mine.first()["id"]
     assert runlog.list_runs(spark, path, run_id=one).count() == 1
     assert "EqualTo(user_id,ann)" in mine._jdf.queryExecution().executedPlan().toString()
+
+
+def test_csv_line_breaks_in_quotes(spark, tmp_path):
+    path = write(tmp_path / "q.csv", 'a,b\n1,"x\ny"\n2,z\n', "utf-8")
+    with pytest.raises(ValueError, match="multiline"):
+        files.read_csv(spark, path)
+    assert {(r["a"], r["b"]) for r in files.read_csv(spark, path, multiline=True).collect()} == {(1, "x\ny"), (2, "z")}
+    assert files.read_csv(spark, path, multiline=False).count() == 3
