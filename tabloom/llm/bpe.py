@@ -154,6 +154,20 @@ class Encoder:
         return text.split()
 
 
+class LibraryEncoder(Encoder):
+    """The same cut into pre-tokens, each merged by the ``tokenizers`` library's own model."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
+
+    def _pretoken(self, word: str) -> tuple[int, ...]:
+        letters = "".join([self.vocabulary.letters[b] for b in word.encode("utf-8", "surrogatepass")])
+        return tuple([t.id for t in self.model.tokenize(letters)])
+
+
 def merged(symbols: list[str], rank: dict[tuple[str, str], int]) -> list[str]:
     """Merges of a fragment: again and again the leftmost place of the lowest-ranked pair."""
     if len(symbols) > 200:
@@ -239,6 +253,11 @@ def word_ids(path: str) -> WordIds:
     return WordIds(encoder(path))
 
 
+@functools.lru_cache(maxsize=2)
+def library_word_ids(path: str) -> WordIds:
+    return WordIds(LibraryEncoder(path))
+
+
 def encoded(df: DataFrame, text: str = "text", name: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with the ids of each text as an array of integers."""
     path = path or vocabulary_path("word_bpe_49k.json")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabloom.llm.bpe import vocabulary_path, word_ids
+from tabloom.llm.bpe import library_word_ids, vocabulary_path
 from tabloom.llm.common import slices, stored
 
 CAPACITY = 4096
@@ -51,7 +51,7 @@ def pieces(
     end = np.array([separator], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = word_ids(path)
+        memory = library_word_ids(path)
         for batch in slices(batches, text, 2_000_000):
             rows, numbers, parts = [], [], []
             for row, value in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
