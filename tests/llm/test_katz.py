@@ -15,7 +15,7 @@ def check(rows, docs, model):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
 
 
-@pytest.mark.parametrize("group,bucket", [(2_000_000, 6_000_000), (3_000, 5_000)])
+@pytest.mark.parametrize("group,bucket", [(1_000_000, 2_000_000), (3_000, 5_000)])
 def test_scores_equal_brute_force(spark, sf_dir, monkeypatch, group, bucket):
     monkeypatch.setattr(katz, "BUCKET_TOKENS", bucket)
     if group < 10_000:
