@@ -351,12 +351,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def with_components(
-    rows: DataFrame, id_col: str = "doc_id", fingerprint: str = "fingerprint", search: Search = Search()
+    rows: DataFrame, id_col: str = "doc_id", fingerprint: str = "fingerprint", search: Search = Search(),
+    edges: DataFrame | None = None,
 ) -> DataFrame:
-    """``rows`` (a stored table with fingerprints) with ``component_id``, the smallest identifier reachable."""
+    """``rows`` (a stored table with fingerprints) with ``component_id``, the smallest identifier reachable.
+
+    ``edges`` are links (a, b) between fingerprints found in another way than by ``search``.
+    """
     groups = rows.groupBy(F.col(fingerprint).alias("fp")).agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n"))
     groups = stored(groups, "fingerprints")
-    labels = components(links(groups, search))
+    labels = components(links(groups, search) if edges is None else edges)
     linked = stored(groups.join(labels, groups["fp"] == labels["node"]).select("fp", "root", "first_id"), "linked")
     names = linked.groupBy("root").agg(F.min("first_id").alias("name"))
     named = linked.join(names, "root").select("fp", "root", "name")
@@ -373,15 +377,20 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text: str = "text", search:
     """One document of each component, the one with the smallest identifier, with the columns of ``df``."""
     plain, back = shield(df, ("fingerprint", "component_id", "component_root", "fp_", "root_", "name_"))
     rows = stored(with_fingerprints(plain, text), "fingerprinted")
-    found = with_components(rows, id_col, search=search).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+    return one_each(with_components(rows, id_col, search=search), rows, plain.columns, id_col).withColumnsRenamed(back)
+
+
+def one_each(named: DataFrame, rows: DataFrame, columns: list[str], id_col: str) -> DataFrame:
+    """``columns`` of one row a component. ``named`` is ``rows`` as ``with_components`` returns them."""
+    found = named.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
     repeated = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     repeated = stored(repeated.select(id_col), "repeated")
     if repeated.isEmpty():
-        return found.select(*plain.columns).withColumnsRenamed(back)
+        return found.select(*columns)
     # The identifier that stays may name several rows of a component; only such rows pay for one more step.
     key, mark = free_name(found, "repeated_id"), free_name(found, "repeated_mark")
     repeated = repeated.select(F.col(id_col).alias(key), F.lit(True).alias(mark))
     found = stored(found.join(repeated, found[id_col].eqNullSafe(repeated[key]), "left").drop(key), "survivors")
     once = found.filter(F.col(mark).isNull())
-    one_each = found.filter(F.col(mark)).dropDuplicates([id_col, "component_root"])
-    return once.unionByName(one_each).select(*plain.columns).withColumnsRenamed(back)
+    single = found.filter(F.col(mark)).dropDuplicates([id_col, "component_root"])
+    return once.unionByName(single).select(*columns)
