@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import query
-from tabloom.llm import exact_dedup, host_quality, packing, pii, similar_texts
+from tabloom.llm import exact_dedup, host_quality, packing, pii, simhash_dedup
 from tabloom.llm.common import stored
 
 
@@ -24,8 +24,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with similar 5-word shingles (0.8 or more) the document with the smallest doc_id stays."""
-    return similar_texts.survivors(docs)
+    """Of each component of fingerprints (3-word shingles, 2 bits or fewer apart) the smallest doc_id stays."""
+    return simhash_dedup.survivors(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ STAGES = [
     ("packed_sequences", packed_sequences),
 ]
 
-#: Similar texts, surrogates and packing are beyond SQL; tests hold run() against brute-force versions.
+#: Fingerprint components, surrogates and packing are beyond SQL; tests hold run() against brute-force versions.
 ORACLE_SQL = None
 
 
