@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import query, table
-from tabloom.llm import bpe, exact_dedup, host_quality, katz, packing, pii, simhash_dedup, token_counts, url_rules, warc
+from tabloom.llm import bpe, exact_dedup, host_quality, katz, packing, pii, resampling, simhash_dedup, token_counts, url_rules, warc
 from tabloom.llm.common import stored
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -157,3 +157,10 @@ def op9_url_filters(spark, sf_dir):
 def op5_katz_scores(spark, sf_dir):
     found = katz.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_importance_resampling")
+def op11_importance_resampling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resampling.scored(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
