@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import query, table
-from tabloom.llm import bpe, exact_dedup, host_quality, katz, packing, pii, resampling, simhash_dedup, token_counts, url_rules, warc
+from tabloom.llm import (
+    bpe, exact_dedup, host_quality, katz, packing, pii, resampling, simhash_dedup, token_counts, url_rules, warc, whitening,
+)
 from tabloom.llm.common import stored
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -164,3 +166,17 @@ def op11_importance_resampling(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = resampling.scored(docs, table(spark, sf_dir, "benchmark").select("text"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    error = model.identity_error(vectors)
+    rows = model.transform(vectors, carry_vector=False)
+    rows = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("place_", "whitened"))
+    shares = F.array(*[F.lit(x) for x in model.explained]) if model.explained else F.array(F.lit(0.0))
+    return rows.select(
+        "vec_id", (F.col("place_") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation", "whitened",
+        F.element_at(shares, F.col("place_") + 1).alias("explained"), F.lit(error).alias("identity_error"),
+    )
