@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import query, table
 from tabloom.llm import (
-    bpe, exact_dedup, host_quality, katz, packing, pii, resampling, simhash_dedup, token_counts, url_rules, warc, whitening,
+    bpe, exact_dedup, host_quality, katz, packing, pii, pivot_search, resampling, simhash_dedup, token_counts, url_rules, warc, whitening,
 )
 from tabloom.llm.common import stored
 
@@ -180,3 +180,18 @@ def op12_embedding_whitening(spark, sf_dir):
         "vec_id", (F.col("place_") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation", "whitened",
         F.element_at(shares, F.col("place_") + 1).alias("explained"), F.lit(error).alias("identity_error"),
     )
+
+
+TOP_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+  r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10"""
+
+
+@query("op13_exact_top_k", TOP_SQL)
+def op13_exact_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = pivot_search.nearest_rows(vectors, F.col("id") % 100 == 0)
+    return found.withColumnRenamed("id", "vec_id")

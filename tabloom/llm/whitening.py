@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.columns import col
 from tabloom.llm.common import shield
+from tabloom.llm.vectors import commonest_length, usable, whole
 
 #: Binary digits of a root, relative to the largest one.
 BITS = 128
@@ -47,25 +48,6 @@ _LIMBS = 6
 _PRIMES_PER_TASK = 32
 
 
-def usable(df: DataFrame, vector: str, scale: int) -> DataFrame:
-    """Rows whose vector is there and holds only finite entries with scaled values within 62 bits."""
-    limit = 2.0**62 / scale
-    fine = F.forall(col(vector), lambda x: x.isNotNull() & (F.abs(x.cast("double")) < limit))
-    return df.where(F.coalesce(fine & (F.size(col(vector)) > 0), F.lit(False)))
-
-
-def commonest_length(df: DataFrame, vector: str) -> int:
-    sizes = df.groupBy(F.size(col(vector)).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.orderBy(F.desc("n"), F.desc("d")).first()
-    return row["d"] if row else 0
-
-
-def whole(column: pa.Array, d: int, scale: int) -> np.ndarray:
-    """floor(scale * c) of a column of lists of one length."""
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.floor(values * scale).astype(np.int64).reshape(-1, d)
-
-
 def _parts(y: np.ndarray) -> Iterator[np.ndarray]:
     rows = max(1, min(4096, 2**20 // y.shape[1]))
     for start in range(0, len(y), rows):
@@ -363,7 +345,7 @@ class Whitening:
     axes: np.ndarray
 
     def _rows(self, df: DataFrame, vector: str) -> DataFrame:
-        fine = usable(df, vector, self.scale)
+        fine = usable(df, vector, 2.0**62 / self.scale)
         return fine.where(F.size(col(vector)) == self.dimension)
 
     def _project(self, y: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -437,7 +419,7 @@ class Whitening:
 
 def fit(df: DataFrame, vector: str = "embedding", components: int = 32, scale: int = 64) -> Whitening:
     """The whitening of all usable vectors of ``df``."""
-    rows = usable(df.select(col(vector)), vector, scale)
+    rows = usable(df.select(col(vector)), vector, 2.0**62 / scale)
     d = commonest_length(rows, vector)
     n, sums, products = scatter(rows.where(F.size(col(vector)) == d), vector, d, scale) if d else (0, np.zeros(0, object), None)
     if not n:
