@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import query, table
 from tabloom.catalog.series import hash_sql
+from tabloom.functions.vectors import vector_slots
 from tabloom.operators import encode as E
 from tabloom.operators import split as D
 from tabloom.operators.calendar import detect_calendar
+from tabloom.plans.prepare import PrepareConfig, apply_prepare, fit_prepare
 
 # Orders with numeric calendar columns.
 DATED_SQL = """SELECT o_orderkey, year(o_orderdate) AS order_year, month(o_orderdate) AS order_month,
@@ -138,11 +140,41 @@ def one_hot_saved(spark, sf_dir):
     SELECT p_partkey, slot::INTEGER AS slot FROM part JOIN c USING (p_name)""",
 )
 def one_hot_vector(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
+    part = table(spark, sf_dir, "part")
+    made = E.one_hot_vector(part, E.learn_dictionary(part, "p_name"), "v")
+    return made.select("p_partkey", F.get(vector_slots(F.col("v")), 0).alias("slot"))
+
 
-    made, _ = E.one_hot_vector(table(spark, sf_dir, "part"), "p_name", "v")
-    slot = F.array_position(vector_to_array("v"), F.lit(1.0)) - 1
-    return made.select("p_partkey", slot.cast("int").alias("slot"))
+@query(
+    "prepare_many_values",
+    f"""WITH t AS (SELECT o_orderkey, c_name, o_orderpriority AS priority, c_acctbal, {hash_sql('o_orderkey')} % 100 < 20 AS is_test
+      FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+    c AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS slot
+      FROM (SELECT DISTINCT c_name FROM t WHERE NOT is_test AND c_name IS NOT NULL)),
+    m AS (SELECT c_name AS mode FROM t WHERE NOT is_test AND c_name IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+    k AS (SELECT count(DISTINCT priority) AS n FROM t WHERE NOT is_test),
+    a AS (SELECT avg(c_acctbal) AS usual FROM t WHERE NOT is_test)
+    SELECT o_orderkey, round(coalesce(c_acctbal, usual), 4) AS c_acctbal, slot::INTEGER AS slot,
+      (SELECT count(*) FROM c) AS n_values, k.n AS n_narrow
+    FROM t CROSS JOIN m CROSS JOIN a CROSS JOIN k LEFT JOIN c ON coalesce(t.c_name, m.mode) = c.c_name""",
+)
+def prepare_many_values(spark, sf_dir):
+    """A customer name of thousands of values beside a priority of five, learned on training rows and applied to all."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    orders = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    rows = orders.select("o_orderkey", "c_name", F.col("o_orderpriority").alias("priority"), "c_acctbal", "o_totalprice")
+    train, _ = D.train_test(D.split(rows, 0.2, "random", key=["o_orderkey"]))
+    config = PrepareConfig(
+        target="o_totalprice", features=("c_acctbal", "c_name", "priority"), onehot_columns=("c_name", "priority"),
+        row_key=("o_orderkey",), widest_onehot=40,
+    )
+    _, state = fit_prepare(train.drop("is_test"), config)
+    made = apply_prepare(rows.drop("o_totalprice"), state, keep=["o_orderkey"])
+    return made.select(
+        "o_orderkey", F.round("c_acctbal", 4).alias("c_acctbal"), F.get(vector_slots(F.col("c_name_onehot")), 0).alias("slot"),
+        F.lit(state.dictionaries["c_name"].size).cast("bigint").alias("n_values"),
+        F.lit(len(state.categories["priority"])).cast("bigint").alias("n_narrow"),
+    )
 
 
 PAIRS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]

@@ -6,18 +6,20 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import as_number, as_text, col, is_datetime
 from tabloom.functions.dates import as_timestamp
-from tabloom.operators.ordered import WINDOW_LIMIT, Ordered
+from tabloom.functions.vectors import is_vector, unit_vector
+from tabloom.operators.ordered import WINDOW_LIMIT, Ordered, number_rows
 from tabloom.operators.profile import sample_values, target_correlations
 
 # Period of each calendar key.
 PERIODS = {"month": 12, "dayofweek": 7, "hour": 24, "quarter": 4, "week": 52, "day": 31}
 
+#: Up to this many values a category gets a column per value, beyond it one sparse vector.
 MAX_CATEGORIES = 200
 MAX_INTERACTING = 10
 
@@ -149,7 +151,7 @@ def periodic_numeric(
 
 
 def learn_categories(df: DataFrame, cols: Sequence[str], cap: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted distinct texts per column, refused beyond ``cap`` (see `one_hot_vector`)."""
+    """Sorted distinct texts per column for `one_hot`, refused beyond ``cap``: `split_categories` takes any number."""
     if not cols:
         return {}
     rows = sample_values(df.select(*[col(c) for c in cols]), cap + 1).collect()
@@ -180,18 +182,58 @@ def one_hot(df: DataFrame, cols: Sequence[str], categories: dict[str, list[str]]
     return df.withColumns(made) if made else df
 
 
-def one_hot_vector(df: DataFrame, column: str, out: str):
-    """One sparse vector column for many categories; the fitted pair of stages comes along."""
-    text = f"_{column}_text"
-    frame = df.withColumn(text, as_text(df, column))
-    indexer = StringIndexer(
-        inputCol=text, outputCol=f"_{column}_index", stringOrderType="alphabetAsc", handleInvalid="keep"
-    ).fit(frame)
-    indexed = indexer.transform(frame)
-    # 'keep' puts unseen values last, and the last category is the one left out.
-    encoder = OneHotEncoder(inputCols=[f"_{column}_index"], outputCols=[out], dropLast=True, handleInvalid="error")
-    fitted = encoder.fit(indexed)
-    return fitted.transform(indexed).drop(text, f"_{column}_index"), (indexer, fitted)
+@dataclass(frozen=True)
+class Dictionary:
+    """The numbered distinct texts of a column: one row (value, slot) each, slots 0.. in the order of the texts."""
+
+    column: str
+    table: DataFrame
+    size: int
+
+    @property
+    def feature(self) -> str:
+        """The vector column that stands for the column."""
+        return f"{self.column}_onehot"
+
+
+def learn_dictionary(df: DataFrame, column: str) -> Dictionary:
+    """Distinct non-null texts, numbered in order through a range partitioning; no value reaches the driver."""
+    values = df.select(as_text(df, column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    numbered = number_rows(values, ["value"], "slot").withColumn("slot", F.col("slot") - 1)
+    return Dictionary(column, numbered, numbered.count())
+
+
+def split_categories(
+    df: DataFrame, cols: Sequence[str], widest: int = MAX_CATEGORIES
+) -> tuple[dict[str, list[str]], dict[str, Dictionary]]:
+    """Sorted texts of the columns with at most ``widest`` of them, and a dictionary for each column with more.
+
+    Either way every value is encoded: as a column of its own, or as a place of one sparse vector.
+    """
+    if not cols:
+        return {}, {}
+    heads: dict[str, list[str]] = {c: [] for c in cols}
+    for row in sample_values(df.select(*[col(c) for c in cols]), widest + 1).collect():
+        heads[row["name"]].append(row["value"])
+    narrow = {c: sorted(v) for c, v in heads.items() if len(v) <= widest}
+    return narrow, {c: learn_dictionary(df, c) for c in cols if c not in narrow}
+
+
+def one_hot_vector(df: DataFrame, dictionary: Dictionary, out: str | None = None) -> DataFrame:
+    """One sparse vector column, 1 at the slot of the row's text; unseen texts and nulls give the zero vector.
+
+    The dictionary is joined by text: broadcast where it is small, else a sort-merge join whose hot texts adaptive
+    execution splits. Works on a stream too.
+    """
+    name = out or dictionary.feature
+    if dictionary.column not in df.columns:
+        slot, joined = F.lit(None).cast("int"), df
+    else:
+        known = dictionary.table.select(F.col("value").alias("_value"), F.col("slot").alias("_slot"))
+        joined = df.join(known, as_text(df, dictionary.column) == F.col("_value"), "left")
+        slot = F.col("_slot")
+    size = {"ml_attr": {"num_attrs": dictionary.size}}
+    return joined.withColumn(name, unit_vector(slot, dictionary.size).alias(name, metadata=size)).drop("_value", "_slot")
 
 
 def interaction_pairs(df: DataFrame, feats: Sequence[str], target: str) -> list[tuple[str, str]]:
@@ -230,7 +272,8 @@ class Scaler:
 
 def fit_scaler(train: DataFrame, feats: Sequence[str], method: str) -> Scaler:
     """'minmax' or 'zscore' (population deviation), learned from the training rows; a constant
-    feature keeps scale 1, so it becomes 0. 'none' changes nothing."""
+    feature keeps scale 1, so it becomes 0. 'none' changes nothing. Vectors of categories stay 0 and 1."""
+    feats = [f for f in feats if f not in train.columns or not is_vector(train.schema[f].dataType)]
     if method == "none" or not feats:
         return Scaler("none", {}, {})
     if method not in ("minmax", "zscore"):
@@ -258,8 +301,14 @@ def ordered_unique(names: Sequence[str]) -> list[str]:
 
 
 def assemble(df: DataFrame, feats: Sequence[str], out: str = "features") -> DataFrame:
-    """One vector of the features, gaps as 0."""
-    values = [F.coalesce(as_number(df, f), F.lit(0.0)).alias(f"_f{i}") for i, f in enumerate(feats)]
-    inputs = [f"_f{i}" for i in range(len(feats))]
+    """One vector of the features, gaps as 0; vector features are joined on."""
+    values, inputs = [], []
+    for i, f in enumerate(feats):
+        if is_vector(df.schema[f].dataType):
+            inputs.append(f)
+        else:
+            values.append(F.coalesce(as_number(df, f), F.lit(0.0)).alias(f"_f{i}"))
+            inputs.append(f"_f{i}")
     frame = df.select("*", *values)
-    return VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep").transform(frame).drop(*inputs)
+    made = VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep").transform(frame)
+    return made.drop(*[f"_f{i}" for i in range(len(feats))])

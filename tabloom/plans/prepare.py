@@ -39,6 +39,8 @@ class PrepareConfig:
     choose_time: bool = True
     series: tuple[str, ...] = ()
     window_limit: int = WINDOW_LIMIT
+    #: A one-hot column with more values becomes one sparse vector instead of a column per value.
+    widest_onehot: int = E.MAX_CATEGORIES
 
     @property
     def chronological(self) -> bool:
@@ -47,7 +49,10 @@ class PrepareConfig:
 
 @dataclass(frozen=True)
 class Prepared:
-    """What scoring needs to know: calendar columns, origins, ranges, categories, defaults."""
+    """What scoring needs to know: calendar columns, origins, ranges, categories, defaults.
+
+    Categories of many values are tables (`dictionaries`), all else is small.
+    """
 
     config: PrepareConfig
     detected: dict[str, str]
@@ -59,12 +64,14 @@ class Prepared:
     stats: TrainStats
     features: tuple[str, ...]
     use_combined: bool = True
+    dictionaries: dict[str, E.Dictionary] = field(default_factory=dict)
 
 
 def fit_prepare(df: DataFrame, config: PrepareConfig) -> tuple[DataFrame, Prepared]:
     """Calendar numbers, aggregation, trend, cycles, waves, one-hot and lags.
 
-    The result is one lazy plan; only origins, ranges, categories and means are computed here.
+    The result is one lazy plan; only origins, ranges, categories and means are computed here, and a stored table of
+    numbered values for each one-hot column of many values.
     """
     detected = K.detect_calendar(df.columns)
     base = K.calendar_numeric(df, detected)
@@ -93,8 +100,10 @@ def fit_prepare(df: DataFrame, config: PrepareConfig) -> tuple[DataFrame, Prepar
         waves += E.periodic_names(setting)
 
     encoded = [c for c in config.onehot_columns if c not in detected.values() and c in frame.columns]
-    categories = E.learn_categories(frame, encoded)
-    frame = E.one_hot(frame, encoded, categories)
+    categories, dictionaries = E.split_categories(frame, encoded, config.widest_onehot)
+    frame = E.one_hot(frame, list(categories), categories)
+    for dictionary in dictionaries.values():
+        frame = E.one_hot_vector(frame, dictionary)
 
     lags: list[str] = []
     means: dict[str, float] = {}
@@ -104,7 +113,7 @@ def fit_prepare(df: DataFrame, config: PrepareConfig) -> tuple[DataFrame, Prepar
         means = {k: v or 0.0 for k, v in L.lag_means(frame).first().asDict().items()}
         lags = list(L.LAG_COLUMNS)
 
-    state = Prepared(config, detected, origin, ranges, categories, means, yoy, stats, ())
+    state = Prepared(config, detected, origin, ranges, categories, means, yoy, stats, (), dictionaries=dictionaries)
     combined = True
     if config.choose_time and {"year", "month"} <= detected.keys() and config.target in frame.columns:
         with_time, without = _time_choices(state, waves)
@@ -115,22 +124,26 @@ def fit_prepare(df: DataFrame, config: PrepareConfig) -> tuple[DataFrame, Prepar
 
 def _plain(state: Prepared) -> list[str]:
     waved = [p.get("column") for p in state.config.periodic_columns]
-    left_out = {*state.categories, *waved, *state.detected.values()}
+    left_out = {*state.categories, *state.dictionaries, *waved, *state.detected.values()}
     return [f for f in state.config.features if f not in left_out]
 
 
 def feature_list(state: Prepared, waves: Sequence[str], lags: Sequence[str], combined: bool) -> list[str]:
-    """Plain features, time, cycles, waves, one-hot and lags, each once, in that order."""
+    """Plain features, time, cycles, waves, one-hot, lags and one-hot vectors, each once, in that order."""
     time = ["elapsed_time"] if combined else [state.detected[k] for k in ("year", "month") if k in state.detected]
     if not state.detected.keys() & {"year", "month"}:
         time = []
     return E.ordered_unique(
-        [*_plain(state), *time, *E.cyclical_names(state.detected), *waves, *E.one_hot_names(state.categories), *lags]
+        [*_plain(state), *time, *E.cyclical_names(state.detected), *waves, *E.one_hot_names(state.categories), *lags,
+         *[d.feature for d in state.dictionaries.values()]]
     )
 
 
 def _time_choices(state: Prepared, waves: Sequence[str]) -> tuple[list[str], list[str]]:
-    return feature_list(state, waves, (), True), feature_list(state, waves, (), False)
+    """Both feature sets of the comparison; vectors, the same in both, are left out."""
+    plain = replace(state, dictionaries={})
+    left_out = set(state.dictionaries)
+    return tuple([f for f in feature_list(plain, waves, (), combined) if f not in left_out] for combined in (True, False))
 
 
 def choose_time_features(
@@ -158,12 +171,12 @@ def apply_prepare(df: DataFrame, state: Prepared, pairs: Sequence[tuple[str, str
     """Features of new rows from the saved state; nothing is learned and no row is moved.
 
     A missing column or value takes the training default, the lags take their training means,
-    unseen categories give 0. Works on a stream as well.
+    unseen categories give 0; ``keep`` columns come through untouched. Works on a stream as well.
     """
     config = state.config
     detected = {k: c for k, c in state.detected.items() if c in state.stats.columns}
     here = {k: c for k, c in detected.items() if c in df.columns}
-    frame = df
+    frame = df.withColumns({f"_keep{i}": col(k) for i, k in enumerate(keep)}) if keep else df
     fallback = {"year": state.time.min_year, "month": state.time.min_month}
     for key, c in here.items():
         value = K.calendar_value(frame, key, c)
@@ -180,12 +193,16 @@ def apply_prepare(df: DataFrame, state: Prepared, pairs: Sequence[tuple[str, str
         else:
             frame = E.periodic_numeric(frame, setting["column"], state.ranges)
     frame = E.one_hot(frame, list(state.categories), state.categories)
+    for dictionary in state.dictionaries.values():
+        frame = E.one_hot_vector(frame, dictionary)
     if state.lag_means:
         frame = frame.withColumns({f"target_{k}": F.lit(v) for k, v in state.lag_means.items()})
     frame = E.add_interactions(frame, pairs)
     wanted = [*state.features, *[f"{a}_x_{b}" for a, b in pairs if f"{a}_x_{b}" not in state.features]]
+    vectors = {d.feature for d in state.dictionaries.values()}
     values = [
-        F.coalesce(as_number(frame, f), F.lit(0.0)).alias(f) if f in frame.columns else F.lit(0.0).alias(f)
+        col(f) if f in vectors
+        else F.coalesce(as_number(frame, f), F.lit(0.0)).alias(f) if f in frame.columns else F.lit(0.0).alias(f)
         for f in wanted
     ]
-    return frame.select(*[col(k) for k in keep], *values)
+    return frame.select(*[F.col(f"_keep{i}").alias(k) for i, k in enumerate(keep)], *values)

@@ -71,6 +71,8 @@ def train(df: DataFrame, config: TrainConfig) -> TrainRun:
     if config.select:
         selection = run_selection(train_rows, features, setting.target)
         features, pairs = _chosen(selection)
+        # Vectors of categories have no single variance or correlation; they stay.
+        features = (*features, *[d.feature for d in state.dictionaries.values()])
         train_rows, test_rows = E.add_interactions(train_rows, pairs), E.add_interactions(test_rows, pairs)
     state = replace(state, features=tuple(f for f in features if f not in {f"{a}_x_{b}" for a, b in pairs}))
     fold = None
