@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog.profiling import ORDERS, ORDERS_GAPS_SQL, orders_gaps
 from tabloom.catalog.registry import per_column, query, table
+from tabloom.catalog.series import hash_sql
 from tabloom.functions import names
 from tabloom.operators import target as T
 from tabloom.operators.profile import profile
@@ -93,7 +94,8 @@ def target_dependency(spark, sf_dir):
 
 # Tokens of the name and of the five smallest texts; sample texts are spaced like names.
 TEXTS = ["c_name", "c_mktsegment"]
-SEMANTIC_SQL = f"""texts AS ({per_column(TEXTS, "SELECT '{c}' AS cn, v FROM (SELECT DISTINCT {c} AS v FROM t ORDER BY v LIMIT 5)")}),
+def semantic_sql(columns):
+    return f"""texts AS ({per_column(columns, "SELECT '{c}' AS cn, v FROM (SELECT DISTINCT {c} AS v FROM t ORDER BY v LIMIT 5)")}),
   spaced AS (SELECT cn, v, {PLAIN.replace('(name,', '(v,')} AS s FROM texts),
   docs AS (SELECT nm.name, nm.name_match, lower(nm.plain || coalesce(' ' || (SELECT string_agg(s, ' ' ORDER BY v) FROM spaced WHERE cn = nm.name), '')) AS doc
     FROM nm),
@@ -103,6 +105,9 @@ SEMANTIC_SQL = f"""texts AS ({per_column(TEXTS, "SELECT '{c}' AS cn, v FROM (SEL
   sem AS (SELECT name, coalesce(max(w) FILTER (WHERE kw), 0) / sqrt(sum(w * w)) AS s FROM wts GROUP BY name)"""
 
 
+SEMANTIC_SQL = semantic_sql(TEXTS)
+
+
 @query(
     "target_semantic",
     BASE + f", nm AS ({NAME_SQL}), {SEMANTIC_SQL} SELECT name, CASE WHEN name_match >= 0.3 THEN 0 ELSE round(s, 4) END::DOUBLE AS semantic,"
@@ -131,6 +136,56 @@ def time_order_check(spark, sf_dir):
     return made
 
 
+# Orders under the name of their customer and a code that stands for it one to one; folds go by the note.
+PLANTED = ["note", "code", "customerLabel"]
+PLANTED_SQL = f"""SELECT md5(o_orderkey::VARCHAR) AS note, md5(o_custkey::VARCHAR) AS code, c_name AS "customerLabel"
+  FROM orders JOIN customer ON o_custkey = c_custkey"""
+# A row is predicted right exactly where another fold holds its class, which the code then tells.
+PLANTED_SCORE_SQL = f"""f AS (SELECT code, {hash_sql('note', 'fold')} % 3 AS fold FROM t),
+  seen AS (SELECT *, count(*) OVER (PARTITION BY code) > count(*) OVER (PARTITION BY code, fold) AS hit FROM f),
+  dep AS (SELECT round(avg(acc), 4) AS dependency FROM (SELECT fold, avg(hit::INTEGER) AS acc FROM seen GROUP BY fold))"""
+
+
+def planted(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("customerLabel"))
+    rows = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select(
+        F.md5(F.col("o_orderkey").cast("string")).alias("note"), F.md5(F.col("o_custkey").cast("string")).alias("code"), "customerLabel"
+    )
+
+
+@query(
+    "target_dependency_classes",
+    f"WITH t AS ({PLANTED_SQL}), {PLANTED_SCORE_SQL} SELECT 'with code' AS features, dependency FROM dep"
+    " UNION ALL SELECT 'without', 0.0::DOUBLE",
+)
+def target_dependency_classes(spark, sf_dir):
+    """As many classes as customers: with a column that tells them, and with one that only repeats the row's note."""
+    df = planted(spark, sf_dir)
+    told = T.dependency(df, "customerLabel", "classification", 1.0, ["note"])[0]
+    blind = T.dependency(df.withColumn("code", F.md5("note")), "customerLabel", "classification", 1.0, ["note"])[0]
+    # Without the code a share of chance hits remains that depends on the trees.
+    rows = [("with code", told), ("without", 0.0 if blind < 0.05 else blind)]
+    return spark.createDataFrame(rows, "features string, dependency double")
+
+
+@query(
+    "target_ranking_planted",
+    f"WITH t AS ({PLANTED_SQL}), prof AS ({profile_sql(PLANTED, [])}), nm AS ({NAME_SQL}), cd AS ({CARD_SQL.format(source='nm')}),"
+    f" {semantic_sql(PLANTED)}, {PLANTED_SCORE_SQL}, "
+    """r AS (SELECT name, pos, variant AS task_hint, CASE WHEN name = 'note' OR greatest(name_match, cardinality) < 0.3 THEN 0 ELSE dep.dependency END AS dependency,
+      round(0.3 * name_match + 0.1 * CASE WHEN pos = 2 THEN 1.0 ELSE round(0.6 + 0.4 * (pos / 2.0), 4) END + 0.2 * cardinality
+        + 0.1 * round(1 - nulls / n, 4) + 0.2 * CASE WHEN name = 'note' OR greatest(name_match, cardinality) < 0.3 THEN 0 ELSE dep.dependency END
+        + 0.1 * CASE WHEN name_match >= 0.3 THEN 0 ELSE round(s, 4) END, 4)::DOUBLE AS score
+      FROM cd JOIN sem USING (name), dep)
+    SELECT name, score, task_hint, dependency::DOUBLE AS dependency, CASE WHEN max(score) OVER () > 0.7 THEN 'auto' ELSE 'user_choice_required' END AS confidence_tier FROM r""",
+)
+def target_ranking_planted(spark, sf_dir):
+    """The code tells the label and the label the code; no note comes twice, so nothing tells it."""
+    done = T.rank_targets(planted(spark, sf_dir), fold_key=["note"])
+    return done.select("name", "score", "task_hint", "dependency", "confidence_tier")
+
+
 @query("target_ranking")
 def target_ranking(spark, sf_dir):
     return T.rank_targets(named(spark, sf_dir)).select(

@@ -9,27 +9,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import names
-from tabloom.functions.columns import as_number, as_text, col, is_datetime, is_flat, is_numeric, numeric_columns
+from tabloom.functions.columns import as_text, col, is_datetime, is_flat, numeric_columns
 from tabloom.functions.dates import as_timestamp
-from tabloom.operators import evaluate as V
+from tabloom.operators.dependency import GATE, dependency
 from tabloom.operators.ordered import BLOCK_ROWS, WINDOW_LIMIT, Ordered
 from tabloom.operators.profile import correlation_table, profile, sample_values
 from tabloom.operators.select import mutual_information
 
-GATE = 0.3
-#: The model-based signal tells this many values of a text feature, and of a class target, apart: the most
-#: frequent ones; all rarer ones share the last slot. The rule is the same at every number of values.
-CATEGORIES, CLASSES = 128, 512
-FOLDS = 3
-
 
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; 0 against an empty text."""
@@ -161,77 +151,6 @@ def is_time_ordered(
     return False
 
 
-def _model_inputs(df: DataFrame, target: str) -> list[str]:
-    flat = [f.name for f in df.schema.fields if is_flat(f.dataType) and not is_datetime(f.dataType)]
-    return [c for c in flat if c != target and not names.name_has(c, ("id", "key", "date", "time"))]
-
-
-def frequent_slots(df: DataFrame, column: str, out: str, slots: int) -> DataFrame:
-    """Number 0.. for each of the most frequent texts, the last slot for nulls and all rarer texts."""
-    top = df.where(col(column).isNotNull()).groupBy(col(column).alias("_text")).agg(F.count(F.lit(1)).alias("_n"))
-    top = top.orderBy(F.col("_n").desc(), "_text").limit(slots - 1).collect()
-    numbered = df.sparkSession.createDataFrame([(r["_text"], float(i)) for i, r in enumerate(top)], "_text string, _slot double")
-    joined = df.join(F.broadcast(numbered), col(column) == F.col("_text"), "left")
-    names = [str(i) for i in range(len(top) + 1)]
-    slot = F.coalesce(F.col("_slot"), F.lit(float(len(top))))
-    return joined.withColumn(out, slot.alias(out, metadata={"ml_attr": {"type": "nominal", "vals": names}})).drop("_text", "_slot")
-
-
-def dependency(df: DataFrame, target: str, task: str, cheap: float) -> tuple[float, bool, str | None]:
-    """(score, skipped, reason): how well the other columns predict this one.
-
-    Twenty shallow trees in three folds by row hash: mean accuracy for classes, mean R2 (at
-    least 0) for numbers. Columns below the gate are skipped.
-    """
-    if cheap < GATE:
-        return 0.0, True, "low_cheap_score"
-    inputs = _model_inputs(df, target)
-    rows = df.where(col(target).isNotNull())
-    if not inputs or rows.limit(10).count() < 10:
-        return 0.0, False, None
-    classes = task == "classification" or not is_numeric(df.schema[target].dataType)
-    spread = F.pmod(F.xxhash64(*[col(f.name) for f in df.schema.fields if is_flat(f.dataType)]), F.lit(FOLDS))
-    values = []
-    for i, c in enumerate(inputs):
-        text = not is_numeric(df.schema[c].dataType)
-        values.append((as_text(rows, c) if text else F.coalesce(as_number(rows, c), F.lit(0.0))).alias(f"{'t' if text else 'x'}{i}"))
-    label = as_text(rows, target) if classes else as_number(rows, target)
-    frame = rows.select(*values, label.alias("_y"), spread.alias("_fold"))
-    used = []
-    for name in [v for v in frame.columns if v[0] in "tx" and v[1:].isdigit()]:
-        if name[0] == "t":
-            frame = frequent_slots(frame, name, f"i_{name}", CATEGORIES)
-        used.append(f"i_{name}" if name[0] == "t" else name)
-    frame = frequent_slots(frame, "_y", "_label", CLASSES) if classes else frame.withColumnRenamed("_y", "_label")
-    ready = VectorAssembler(inputCols=used, outputCol="_v", handleInvalid="keep").transform(frame)
-    ready = ready.select("_v", "_label", "_fold").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if classes and ready.select("_label").distinct().limit(2).count() < 2:
-            return 0.0, False, None
-        common = {"featuresCol": "_v", "labelCol": "_label", "maxDepth": 4, "seed": 42, "maxBins": CATEGORIES}
-
-        def held_out(fold: int) -> float | None:
-            train, test = ready.where(F.col("_fold") != fold), ready.where(F.col("_fold") == fold)
-            if not train.limit(1).count() or not test.limit(1).count():
-                return None
-            if classes:
-                model = RandomForestClassifier(numTrees=20, **common).fit(train)
-                # The slot that rare classes share is no class: its rows are misses.
-                hit = (F.col("prediction") == F.col("_label")) & (F.col("_label") < CLASSES - 1)
-                return model.transform(test).agg(F.avg(hit.cast("double"))).first()[0]
-            # Twenty rounds are a short lineage: no checkpoints in between.
-            model = GBTRegressor(maxIter=20, stepSize=0.2, checkpointInterval=-1, **common).fit(train)
-            found = V.regression_metrics(model.transform(test), "_label", "prediction", 15).first()["r2"]
-            return max(0.0, found)
-
-        # The folds do not depend on each other, so their jobs share the cluster.
-        with ThreadPoolExecutor(FOLDS) as pool:
-            scores = [s for s in pool.map(held_out, range(FOLDS)) if s is not None]
-        return (round(sum(scores) / len(scores), 4) if scores else 0.0), False, None
-    finally:
-        ready.unpersist()
-
-
 def rank_targets(
     df: DataFrame,
     order_by: Sequence[str] | None = None,
@@ -240,10 +159,12 @@ def rank_targets(
     keywords: Sequence[str] = names.TARGET_WORDS,
     approx: bool = False,
     parallelism: int = 4,
+    fold_key: Sequence[str] = (),
 ) -> DataFrame:
     """All columns by weighted score, with the signals, a task hint and the confidence tier.
 
-    ``order_by`` states the row order; without one the table does not count as time-ordered.
+    ``order_by`` states the row order; without one the table does not count as time-ordered. ``fold_key`` names the
+    columns whose hash deals rows to the folds of the model-based signal, instead of the whole row.
     """
     spark = df.sparkSession
     given = weights or names.SIGNAL_WEIGHTS
@@ -257,7 +178,7 @@ def rank_targets(
 
     def model_signal(row) -> tuple:
         cheap = max(row["name_match"], row["cardinality"])
-        return (row["name"], *dependency(df, row["name"], row["task_hint"], cheap))
+        return (row["name"], *dependency(df, row["name"], row["task_hint"], cheap, fold_key))
 
     if with_models:
         with ThreadPoolExecutor(parallelism) as pool:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.functions.names import spaced
+from tabloom.operators import dependency as D
 from tabloom.operators import target as T
 from tabloom.operators.profile import profile
 
@@ -116,5 +117,5 @@ def test_many_classes_and_categories(spark):
     )
     score, skipped, reason = T.dependency(df, "kind", "classification", 1.0)
     assert score > 0.05 and not skipped and reason is None
-    slots = T.frequent_slots(df, "name_text", "slot", 128)
+    slots = D.frequent_slots(df, "name_text", "slot", 128)
     assert slots.select("slot").distinct().count() == 128 and slots.count() == 3000
