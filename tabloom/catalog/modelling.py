@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tabloom.catalog.algebra import comoments, predicted, r2, solved
 from tabloom.catalog.evaluating import BOARD_SQL, board
 from tabloom.catalog.registry import query, table
 from tabloom.catalog.series import MONTHLY_SQL, RATE, hash_sql, monthly
@@ -58,35 +59,34 @@ def coefficients(fitted):
     return [*[float(c) for c in fitted.model.coefficients], float(fitted.model.intercept)]
 
 
+GUESS = predicted(FEATS)
+BETAS = ", ".join(f"round(b{i}, 3) AS {f}" for i, f in enumerate(FEATS))
+
+
 @query(
     "linear_model",
-    f"""WITH t AS ({LINES_SQL}), f AS (SELECT regr_slope(amount, l_quantity) AS s, regr_intercept(amount, l_quantity) AS i
-      FROM t WHERE NOT is_test)
-    SELECT round(s, 4) AS slope, round(i, 2) AS intercept,
-      (SELECT round(1 - sum((amount - s * l_quantity - i) * (amount - s * l_quantity - i)) / (count(*) * var_pop(amount)), 4)
-       FROM t WHERE is_test) AS r2 FROM f""",
+    f"""WITH t AS ({LINES_SQL}), f AS ({solved(f"SELECT {comoments(FEATS, 'amount')} FROM t WHERE NOT is_test", 4)})
+    SELECT {BETAS}, round(b, 2) AS intercept, (SELECT round({r2('amount', GUESS)}, 4) FROM t, f WHERE is_test) AS r2 FROM f""",
 )
 def linear_model(spark, sf_dir):
     train, test = split_lines(spark, sf_dir)
-    fitted = M.fit_linear(train, ["l_quantity"], "amount")
-    slope, intercept = coefficients(fitted)
+    fitted = M.fit_linear(train, FEATS, "amount")
+    *slopes, intercept = coefficients(fitted)
     metrics = V.regression_metrics(fitted.predict(test), "amount", "prediction")
-    return metrics.select(
-        F.round(F.lit(slope), 4).alias("slope"), F.round(F.lit(intercept), 2).alias("intercept"), "r2"
-    )
+    found = [F.round(F.lit(b), 3).alias(f) for f, b in zip(FEATS, slopes, strict=True)]
+    return metrics.select(*found, F.round(F.lit(intercept), 2).alias("intercept"), "r2")
 
 
 @query(
     "ridge_model",
-    f"""WITH t AS ({LINES_SQL}), f AS (SELECT regr_sxy(amount, l_discount) / (regr_sxx(amount, l_discount) + 1.0) AS s,
-      avg(amount) AS my, avg(l_discount) AS mx FROM t WHERE NOT is_test)
-    SELECT round(s, 3) AS slope, round(my - s * mx, 2) AS intercept FROM f""",
+    f"""WITH t AS ({LINES_SQL}), f AS ({solved(f"SELECT {comoments(FEATS, 'amount')} FROM t WHERE NOT is_test", 4, alpha="1.0")})
+    SELECT {BETAS}, round(b, 2) AS intercept FROM f""",
 )
 def ridge_model(spark, sf_dir):
     train, _ = split_lines(spark, sf_dir)
-    slope, intercept = coefficients(M.fit_ridge(train, ["l_discount"], "amount", 1.0))
-    one = train.agg(F.count(F.lit(1)).alias("n"))
-    return one.select(F.round(F.lit(slope), 3).alias("slope"), F.round(F.lit(intercept), 2).alias("intercept"))
+    *slopes, intercept = coefficients(M.fit_ridge(train, FEATS, "amount", 1.0))
+    found = [F.round(F.lit(b), 3).alias(f) for f, b in zip(FEATS, slopes, strict=True)]
+    return train.agg(F.count(F.lit(1)).alias("n")).select(*found, F.round(F.lit(intercept), 2).alias("intercept"))
 
 
 def tree_metrics(spark, sf_dir, fit):
@@ -110,28 +110,25 @@ def gradient_boosting(spark, sf_dir):
     return tree_metrics(spark, sf_dir, M.fit_boosting)
 
 
+def _fold_fits(k, source="t"):
+    """Co-moments of the rows outside each fold."""
+    return "\nUNION ALL ".join(f"SELECT {i} AS fold, {comoments(FEATS, 'amount')} FROM {source} WHERE fold <> {i}" for i in range(k))
+
+
 def _ridge_cv_sql():
     sets = M.draws("ridge", 25)
     values = ", ".join(f"({i}, {p['alpha']!r}::DOUBLE)" for i, p in enumerate(sets))
-    fits = "\nUNION ALL ".join(
-        f"""SELECT {k} AS fold, regr_sxy(amount, l_quantity) AS sxy, regr_sxx(amount, l_quantity) AS sxx, avg(amount) AS my,
-          avg(l_quantity) AS mx FROM t WHERE fold <> {k}"""
-        for k in range(3)
-    )
     return f"""WITH a(trial, alpha) AS (VALUES {values}),
-    t AS MATERIALIZED (SELECT *, fold_hash % 3 AS fold FROM ({LINES_SQL}) WHERE NOT is_test), f AS ({fits}),
-    b AS MATERIALIZED (SELECT trial, alpha, fold, sxy / (sxx + alpha) AS s, my - sxy / (sxx + alpha) * mx AS i FROM f, a),
-    h AS MATERIALIZED (SELECT fold, count(*) AS n, var_pop(amount) * count(*) AS syy, sum(amount * amount) AS yy,
-      sum(amount) AS y, sum(l_quantity) AS x, sum(l_quantity * l_quantity) AS xx, sum(l_quantity * amount) AS xy FROM t GROUP BY fold),
-    r AS (SELECT trial, alpha, fold,
-      1 - (yy - 2 * s * xy - 2 * i * y + s * s * xx + 2 * s * i * x + n * i * i) / syy AS r2 FROM b JOIN h USING (fold))
+    t AS MATERIALIZED (SELECT *, fold_hash % 3 AS fold FROM ({LINES_SQL}) WHERE NOT is_test), f AS MATERIALIZED ({_fold_fits(3)}),
+    b AS MATERIALIZED ({solved("SELECT * FROM f, a", 4, ["trial", "alpha", "fold"], alpha="alpha")}),
+    r AS (SELECT trial, alpha, fold, {r2('amount', GUESS)} AS r2 FROM t JOIN b USING (fold) GROUP BY ALL)
     SELECT trial::BIGINT AS trial, round(alpha, 8) AS alpha, round(avg(r2), 6) AS score FROM r GROUP BY trial, alpha"""
 
 
 @query("hyperparameter_search", _ridge_cv_sql())
 def hyperparameter_search(spark, sf_dir):
     train, _ = split_lines(spark, sf_dir)
-    found = M.search(train, ["l_quantity"], "amount", "ridge", ["l_orderkey"], trials=25, folds=3)
+    found = M.search(train, FEATS, "amount", "ridge", ["l_orderkey"], trials=25, folds=3)
     rows = [(i, p["alpha"], s) for i, (p, s) in enumerate(found.trials)]
     made = spark.createDataFrame(rows, "trial bigint, alpha double, score double")
     return made.select("trial", F.round("alpha", 8).alias("alpha"), F.round("score", 6).alias("score"))
@@ -147,17 +144,14 @@ def hyperparameter_search_trees(spark, sf_dir):
 
 @query(
     "cross_val_r2",
-    f"""WITH t AS MATERIALIZED (SELECT *, fold_hash % 5 AS fold FROM ({LINES_SQL}) WHERE NOT is_test), f AS ("""
-    + "\nUNION ALL ".join(
-        f"SELECT {k} AS fold, regr_slope(amount, l_quantity) AS s, regr_intercept(amount, l_quantity) AS i FROM t WHERE fold <> {k}"
-        for k in range(5)
-    )
-    + """), r AS (SELECT fold, 1 - sum((amount - s * l_quantity - i) * (amount - s * l_quantity - i)) / (count(*) * var_pop(amount)) AS r2
-      FROM t JOIN f USING (fold) GROUP BY fold) SELECT fold::INTEGER AS fold, round(r2, 6) AS r2 FROM r""",
+    f"""WITH t AS MATERIALIZED (SELECT *, fold_hash % 5 AS fold FROM ({LINES_SQL}) WHERE NOT is_test), f AS ({_fold_fits(5)}),
+    b AS MATERIALIZED ({solved("SELECT * FROM f", 4, ["fold"])}),
+    r AS (SELECT fold, {r2('amount', GUESS)} AS r2 FROM t JOIN b USING (fold) GROUP BY fold)
+    SELECT fold::INTEGER AS fold, round(r2, 6) AS r2 FROM r""",
 )
 def cross_val_r2(spark, sf_dir):
     train, _ = split_lines(spark, sf_dir)
-    scores = M.fold_scores(D.folds(train, 5, ["l_orderkey"]), ["l_quantity"], "amount", "linear")
+    scores = M.fold_scores(D.folds(train, 5, ["l_orderkey"]), FEATS, "amount", "linear")
     made = spark.createDataFrame(list(enumerate(scores)), "fold int, r2 double")
     return made.withColumn("r2", F.round("r2", 6))
 
@@ -382,7 +376,27 @@ def prepare_new_rows(spark, sf_dir):
     return made.select(*keys, *[F.round(c, 2 if c in coarse else 4).alias(c) for c in PREPARED_COLUMNS])
 
 
-@query("combined_time_choice")
+def _time_choice_sql():
+    sets = {True: ["cust", "elapsed", "msin", "mcos"], False: ["cust", "y", "m", "msin", "mcos"]}
+    shown = {
+        True: "o_custkey,elapsed_time,order_month_sin,order_month_cos", False: "o_custkey,order_year,order_month,order_month_sin,order_month_cos"
+    }
+    parts = []
+    for combined, feats in sets.items():
+        fits = "\nUNION ALL ".join(f"SELECT {i} AS fold, {comoments(feats, 'v')} FROM t WHERE fold <> {i}" for i in range(3))
+        guess = predicted(feats)
+        name = "w" if combined else "o"
+        parts.append(f"""{name}b AS MATERIALIZED ({solved(fits, len(feats), ["fold"], alpha="1.0", standard=True)}),
+    {name} AS (SELECT avg(r2) AS r2 FROM (SELECT fold, {r2('v', guess)} AS r2 FROM t JOIN {name}b USING (fold) GROUP BY fold))""")
+    key = "(year(o_orderdate)::DOUBLE)::VARCHAR || '|' || (month(o_orderdate)::DOUBLE)::VARCHAR || '|' || o_orderkey::VARCHAR"
+    return f"""WITH t AS MATERIALIZED (SELECT year(o_orderdate)::DOUBLE AS y, month(o_orderdate)::DOUBLE AS m, o_custkey::DOUBLE AS cust,
+      (y - min(y) OVER ()) * 12 + m - min(m) OVER () AS elapsed, sin(2 * pi() * m / 12) AS msin, cos(2 * pi() * m / 12) AS mcos,
+      o_totalprice * {RATE} AS v, {hash_sql(f"({key})", 'fold')} % 3 AS fold FROM orders), {", ".join(parts)}
+    SELECT w.r2 >= o.r2 AS use_combined, CASE WHEN w.r2 >= o.r2 THEN '{shown[True]}' ELSE '{shown[False]}' END AS features,
+      (SELECT count(*) FROM t)::BIGINT AS n_rows FROM w, o"""
+
+
+@query("combined_time_choice", _time_choice_sql())
 def combined_time_choice(spark, sf_dir):
     config = P.PrepareConfig(
         target="o_totalprice", features=("o_custkey",), row_key=("o_orderkey",), split_method="random", choose_time=True

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 from collections.abc import Callable, Sequence
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import as_number, finite
+from tabloom.functions.vectors import is_vector
 from tabloom.operators import evaluate as V
 from tabloom.operators import moments as M
 from tabloom.operators.encode import assemble
@@ -222,15 +224,20 @@ def fit_model(train: DataFrame, feats: Sequence[str], y: str, name: str, params:
     return spec.fit(train, feats, y, **{**spec.fixed, **(params or {})})
 
 
+def _all_numbers(df: DataFrame, feats: Sequence[str]) -> bool:
+    return not any(is_vector(df.schema[f].dataType) for f in feats)
+
+
 def fold_scores(
     train: DataFrame, feats: Sequence[str], y: str, name: str, fold: str = "fold", chronological: bool = False,
     params: dict[str, Any] | None = None,
 ) -> list[float]:
     """R2 per fold of the fold column.
 
-    Linear and ridge come from one pass of cross products; other models are fitted per fold.
+    Linear and ridge over numbers come from one pass of cross products; other models, and vectors of categories, are
+    fitted per fold.
     """
-    if name in ("linear", "ridge") and len(feats) <= M.MAX_MOMENT_FEATURES:
+    if name in ("linear", "ridge") and _all_numbers(train, feats):
         alpha = 0.0 if name == "linear" else (params or {}).get("alpha", 1.0)
         return M.cv_scores(M.fold_moments(train, feats, y, fold), lambda m: M.solve(m, alpha), chronological)
     held_out = sorted(r[0] for r in train.select(fold).distinct().collect() if r[0] is not None and r[0] >= 0)
@@ -289,7 +296,7 @@ def search(
     if not sets:
         return Search()
     marked = train.withColumn("fold", F.col(fold)) if fold else assign_folds(train, folds, key)
-    if name == "ridge" and len(feats) <= M.MAX_MOMENT_FEATURES:
+    if name == "ridge" and _all_numbers(marked, feats):
         parts = M.fold_moments(marked, feats, y, "fold")
         scored = []
         for params in sets:
@@ -306,11 +313,19 @@ def search(
 
 
 def importance(fitted: Fitted, df: DataFrame, y: str) -> DataFrame:
-    """Tree importances, else |r| with the target; strongest first, 4 digits."""
+    """Tree importances, else |r| with the target; strongest first, 4 digits.
+
+    A vector of categories counts as the sum of its entries for trees, and has no r.
+    """
+    vectors = [f for f in fitted.features if f in df.columns and is_vector(df.schema[f].dataType)]
     if hasattr(fitted.model, "featureImportances"):
-        values = dict(zip(fitted.features, fitted.model.featureImportances.toArray().tolist(), strict=True))
+        parts = fitted.model.featureImportances.toArray()
+        widths = [df.schema[f].metadata["ml_attr"]["num_attrs"] if f in vectors else 1 for f in fitted.features]
+        ends = list(itertools.accumulate(widths))
+        values = {f: float(parts[e - w : e].sum()) for f, w, e in zip(fitted.features, widths, ends, strict=True)}
     else:
-        values = {f: abs(r) for f, r in target_correlations(df, fitted.features, y).items()}
+        plain = [f for f in fitted.features if f not in vectors]
+        values = {f: abs(r) for f, r in target_correlations(df, plain, y).items()}
     rows = sorted(values.items(), key=lambda x: -x[1])
     made = df.sparkSession.createDataFrame(rows, "feature string, importance double")
     return made.withColumn("importance", F.round("importance", 4))

@@ -1,8 +1,9 @@
-"""Least squares from one pass: centred cross products per fold.
+"""Sums of products of columns, and least squares from them.
 
-Linear and ridge regression need only sums of products, and so do their errors on held-out
-rows. One aggregate per fold therefore answers a whole search: every fold, every penalty.
-The driver solves k x k systems, k being the number of features.
+Linear and ridge regression need only sums of products, and so do their errors on held-out rows. One pass therefore
+answers a whole search: every fold, every penalty, any number of features. Tasks multiply blocks of rows as matrices
+and send one number per pair of columns (and fold), which Spark adds up; the driver solves k x k systems, k being the
+number of features.
 """
 
 from __future__ import annotations
@@ -11,12 +12,52 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import as_number
 
-MAX_MOMENT_FEATURES = 60
+#: Rows that are multiplied at once.
+BLOCK_ROWS = 16_384
+
+
+def cross_products(frame: DataFrame, left: Sequence[Column], right: Sequence[Column], by: Column | None = None) -> dict:
+    """Group -> matrix of sums of left[i] * right[j] over its rows, all entries being numbers (no nulls).
+
+    Without ``by`` there is one group, 0. One pass, whatever the number of columns; rows without a group are left out.
+    """
+    m, k = len(left), len(right)
+    group = F.lit(0) if by is None else by
+    numbers = [F.array(*[c.cast("double") for c in side]) for side in (left, right)]
+    rows = frame.select(group.cast("int").alias("g"), numbers[0].alias("a"), numbers[1].alias("b")).where(F.col("g").isNotNull())
+
+    def multiply(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(start, BLOCK_ROWS)
+                groups = part.column(0).to_numpy()
+                a = part.column(1).flatten().to_numpy().reshape(-1, m)
+                b = part.column(2).flatten().to_numpy().reshape(-1, k)
+                for g in np.unique(groups).tolist():
+                    mine = groups == g
+                    product = a[mine].T @ b[mine]
+                    sums[g] = sums[g] + product if g in sums else product
+        for g, total in sums.items():
+            columns = [pa.array(np.full(m * k, g, np.int32)), pa.array(np.arange(m * k, dtype=np.int32)), pa.array(total.reshape(-1))]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "place", "v"])
+
+    added = rows.mapInArrow(multiply, "g int, place int, v double").groupBy("g", "place").agg(F.sum("v").alias("v"))
+    table = added.toArrow()
+    groups, places, values = (table[c].to_numpy() for c in ("g", "place", "v"))
+    found = {}
+    for g in np.unique(groups).tolist():
+        mine = groups == g
+        matrix = np.zeros(m * k)
+        matrix[places[mine]] = values[mine]
+        found[g] = matrix.reshape(m, k)
+    return found
 
 
 @dataclass
@@ -37,7 +78,7 @@ class Moments:
 
 
 def fold_moments(df: DataFrame, feats: Sequence[str], y: str, fold: str) -> dict[int, Moments]:
-    """Moments per value of the fold column, gaps as 0; two aggregates in all."""
+    """Moments per value of the fold column, gaps as 0; one pass for the centres and one for the products."""
     names = [*feats, y]
     xs = [f"x{i}" for i in range(len(names))]
     frame = df.select(
@@ -45,18 +86,9 @@ def fold_moments(df: DataFrame, feats: Sequence[str], y: str, fold: str) -> dict
         F.col(fold).alias("fold"),
     )
     means = frame.agg(*[F.avg(x).alias(x) for x in xs]).first()
-    centred = [F.col(x) - F.lit(means[x]) for x in xs]
-    k = len(xs)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(f"s{i}") for i, c in enumerate(centred)]
-    aggs += [F.sum(centred[i] * centred[j]).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)]
-    found = {}
-    for row in frame.groupBy("fold").agg(*aggs).collect():
-        products = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                products[i, j] = products[j, i] = row[f"p{i}_{j}"]
-        found[row["fold"]] = Moments(float(row["n"]), np.array([row[f"s{i}"] for i in range(k)]), products)
-    return found
+    centred = [F.lit(1.0), *[F.col(x) - F.lit(means[x] or 0.0) for x in xs]]
+    found = cross_products(frame, centred, centred, F.col("fold"))
+    return {fold: Moments(float(p[0, 0]), p[0, 1:], p[1:, 1:]) for fold, p in found.items()}
 
 
 def solve(train: Moments, alpha: float = 0.0, standard: bool = False) -> tuple[np.ndarray, float]:

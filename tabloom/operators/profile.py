@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +23,9 @@ from tabloom.functions.columns import (
     string_columns,
 )
 from tabloom.functions.dates import as_timestamp
+from tabloom.operators.moments import cross_products
 from tabloom.operators.quantiles import quantiles
 
-# Pairs beyond which correlations are taken from Spark ML's matrix instead of expressions.
-_EXPRESSION_COLUMNS = 40
-
 
 def shape(df: DataFrame) -> DataFrame:
     """Row, column and numeric-column counts."""
@@ -223,46 +220,25 @@ def _pair_frame(df: DataFrame, cols: Sequence[str], nulls: str) -> tuple[DataFra
 def correlation_table(df: DataFrame, cols: Sequence[str], nulls: str = "pairwise") -> list[tuple[str, str, float]]:
     """Pearson r of every pair a <= b by position, unrounded; constants give 0.
 
-    Means come first, so that the co-moments are sums of products around them: k*(k+1)/2
-    plain sums for columns without gaps. A pair with gaps uses the rows where both are present.
+    Means come first, so that the co-moments are sums of products around them. A pair with gaps uses the rows where
+    both are present: products of the values, their squares and their presence give all its sums, in one pass at any
+    number of columns.
     """
     frame, xs = _pair_frame(df, cols, nulls)
     k = len(cols)
-    head = frame.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(x).alias(f"n_{x}") for x in xs],
-        *[F.avg(x).alias(f"m_{x}") for x in xs],
-    ).first()
-    dense = {x for x in xs if head[f"n_{x}"] == head["n"]}
-    if k > _EXPRESSION_COLUMNS and len(dense) == k:
-        return _ml_correlations(frame, cols, xs)
-    centred = {x: F.col(x) - F.lit(head[f"m_{x}"]).cast("double") for x in xs}
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    found: list[tuple[str, str, float]] = []
-    moments: dict[tuple[int, int], float] = {}
-    for start in range(0, len(pairs), 400):
-        chunk = pairs[start : start + 400]
-        aggs = []
-        for i, j in chunk:
-            a, b = xs[i], xs[j]
-            if a in dense and b in dense:
-                aggs.append(F.sum(centred[a] * centred[b]).alias(f"s_{i}_{j}"))
-            else:
-                both = F.col(a).isNotNull() & F.col(b).isNotNull()
-                ca, cb = F.when(both, centred[a]), F.when(both, centred[b])
-                for part, term in (("x", ca), ("y", cb), ("xx", ca * ca), ("yy", cb * cb), ("xy", ca * cb)):
-                    aggs.append(F.sum(term).alias(f"{part}_{i}_{j}"))
-                aggs.append(F.count(ca).alias(f"n_{i}_{j}"))
-        row = frame.agg(*aggs).first()
-        for i, j in chunk:
-            if xs[i] in dense and xs[j] in dense:
-                moments[i, j] = row[f"s_{i}_{j}"] or 0.0
-            else:
-                n, x, y, xx, yy, xy = (row[f"{p}_{i}_{j}"] or 0.0 for p in ("n", "x", "y", "xx", "yy", "xy"))
-                found.append((cols[i], cols[j], _pearson(n, x, y, xx, yy, xy)))
-    for i, j in moments:
-        found.append((cols[i], cols[j], _pearson(1, 0.0, 0.0, moments[i, i], moments[j, j], moments[i, j])))
-    return found
+    means = frame.agg(*[F.avg(x).alias(x) for x in xs]).first()
+    values = [F.coalesce(F.col(x) - F.lit(means[x]).cast("double"), F.lit(0.0)) for x in xs]
+    here = [F.col(x).isNotNull().cast("double") for x in xs]
+    found = cross_products(frame, [*values, *here], [*values, *here, *[v * v for v in values]]).get(0)
+    if found is None:
+        found = np.zeros((2 * k, 3 * k))
+    blocks = (found[:k, :k], found[:k, k : 2 * k], found[k:, k : 2 * k], found[k:, 2 * k :])
+    xy, sums, n, squares = (block.tolist() for block in blocks)
+    return [
+        (cols[i], cols[j], _pearson(n[i][j], sums[i][j], sums[j][i], squares[j][i], squares[i][j], xy[i][j]))
+        for i in range(k)
+        for j in range(i, k)
+    ]
 
 
 def _pearson(n: float, x: float, y: float, xx: float, yy: float, xy: float) -> float:
@@ -275,17 +251,6 @@ def _pearson(n: float, x: float, y: float, xx: float, yy: float, xy: float) -> f
     return (xy - x * y / n) / (sx * sy) ** 0.5
 
 
-def _plain(value: float | None) -> float:
-    return float(value) if value is not None and value == value else 0.0
-
-
-def _ml_correlations(frame: DataFrame, cols: Sequence[str], xs: list[str]) -> list[tuple[str, str, float]]:
-    vectors = VectorAssembler(inputCols=xs, outputCol="v").transform(frame).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    k = len(cols)
-    return [(cols[i], cols[j], _plain(matrix[i][j])) for i in range(k) for j in range(i, k)]
-
-
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, nulls: str = "pairwise") -> DataFrame:
     """Long table (col_a, col_b, r) over all ordered pairs, 4 digits; constants give 0."""
     chosen = list(cols or numeric_columns(df))
