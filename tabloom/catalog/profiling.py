@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import per_column, query, table
 from tabloom.operators import profile as P
+from tabloom.operators.quantiles import quantiles
 
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 LINE_NUMERIC = [
@@ -176,3 +177,23 @@ def row_search(spark, sf_dir):
 @query("row_sort", "SELECT * FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey")
 def row_sort(spark, sf_dir):
     return P.sort_rows(table(spark, sf_dir, "customer"), "c_acctbal", desc=True, key=["c_custkey"])
+
+
+QUANTILE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey"]
+
+
+@query(
+    "column_quantiles",
+    per_column(
+        QUANTILE_COLUMNS,
+        "SELECT '{c}' AS name, "
+        + ", ".join(f"round(quantile_cont({{c}}, {p}), 4)::DOUBLE AS {n}" for n, p in (("q01", 0.01), ("q25", 0.25), ("median", 0.5), ("q99", 0.99)))
+        + " FROM lineitem",
+    ),
+)
+def column_quantiles(spark, sf_dir):
+    """Exact quantiles of six columns at once, each by narrowing brackets down to 1,000 values."""
+    li = table(spark, sf_dir, "lineitem")
+    found = quantiles(li, {c: F.col(c) for c in QUANTILE_COLUMNS}, [0.01, 0.25, 0.5, 0.99], limit=1000)
+    rows = [(c, *[round(v, 4) for v in found[c]]) for c in QUANTILE_COLUMNS]
+    return spark.createDataFrame(rows, "name string, q01 double, q25 double, median double, q99 double")

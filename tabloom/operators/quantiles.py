@@ -29,94 +29,113 @@ def order_statistics(
     ``value`` is numeric, date or timestamp. Each pass is one aggregate over the rows that
     are still inside some bracket; no row is moved.
     """
-    values = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    found: dict[int, object] = {}
-    # rank -> (low, high, rows below low); None means unbounded.
-    open_ranks = {r: (None, None, 0) for r in sorted(set(ranks))}
+    found = order_statistics_of(df.select(value.alias("v")), {"v": ranks}, limit)["v"]
+    return [found[r] for r in ranks]
+
+
+def order_statistics_of(frame: DataFrame, wanted: dict[str, Sequence[int]], limit: int = DIRECT_LIMIT) -> dict[str, dict]:
+    """The same for several columns of one type: name -> rank -> value.
+
+    All brackets of all columns are measured, narrowed and read together, so a round is four jobs however many
+    columns and ranks there are, and the rounds are those of the slowest column.
+    """
+    found: dict[str, dict[int, object]] = {name: {} for name in wanted}
+    # (column, rank) -> (low, high, values below low); None means unbounded.
+    open_ranks = {(c, r): (None, None, 0) for c, ranks in wanted.items() for r in sorted(set(ranks))}
     while open_ranks:
-        brackets = sorted(set(open_ranks.values()), key=lambda b: b[2])
-        measured = _measure(values, brackets)
-        split: dict[int, list] = {}
+        brackets = list(dict.fromkeys((c, b) for (c, _), b in open_ranks.items()))
+        measured = _measure(frame, brackets)
+        split: dict[tuple, tuple] = {}
         small: dict[tuple, list[int]] = {}
-        for rank, bracket in open_ranks.items():
-            inside, low, high = measured[bracket]
+        for (c, rank), bracket in open_ranks.items():
+            inside, low, high = measured[c, bracket]
             if low == high:
-                found[rank] = low
+                found[c][rank] = low
             elif inside <= limit:
-                small.setdefault(bracket, []).append(rank)
+                small.setdefault((c, bracket), []).append(rank)
             else:
-                split[rank] = [bracket, inside]
-        for bracket, wanted in small.items():
-            found.update(_pick(values, bracket, wanted))
-        open_ranks = _narrow(values, split) if split else {}
-    return [found[r] for r in ranks]
+                split[c, rank] = (bracket, inside)
+        if small:
+            for c, rank, value in _pick(frame, small):
+                found[c][rank] = value
+        open_ranks = _narrow(frame, split) if split else {}
+    return found
 
 
-def _inside(bracket) -> Column:
+def _inside(column: str, bracket) -> Column:
     low, high, _ = bracket
-    test = F.lit(True)
+    test = col(column).isNotNull()
     if low is not None:
-        test = test & (F.col("v") >= F.lit(low))
+        test = test & (col(column) >= F.lit(low))
     if high is not None:
-        test = test & (F.col("v") <= F.lit(high))
+        test = test & (col(column) <= F.lit(high))
     return test
 
 
-def _measure(values: DataFrame, brackets: list) -> dict:
+def _measure(frame: DataFrame, brackets: list) -> dict:
     aggs = []
-    for i, b in enumerate(brackets):
-        v = F.when(_inside(b), F.col("v"))
+    for i, (c, b) in enumerate(brackets):
+        v = F.when(_inside(c, b), col(c))
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    row = values.agg(*aggs).first()
-    return {b: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, b in enumerate(brackets)}
+    row = frame.agg(*aggs).first()
+    return {key: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, key in enumerate(brackets)}
 
 
-def _pick(values: DataFrame, bracket, ranks: list[int]) -> dict:
-    """Read the ranks off a bracket of at most `limit` values; only the answers reach the driver."""
-    counts = values.where(_inside(bracket)).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v")) + F.lit(bracket[2])
+def _pick(frame: DataFrame, small: dict[tuple, list[int]]) -> list[tuple]:
+    """(column, rank, value) read off brackets of at most `limit` values; only the answers reach the driver."""
+    keys = list(small)
+    cells = [F.struct(F.lit(i).alias("b"), F.when(_inside(*key), col(key[0])).alias("v")) for i, key in enumerate(keys)]
+    spread = frame.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
+    counts = spread.groupBy("b", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("b").orderBy("v"))
     spans = counts.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
-    hit = F.lit(False)
-    for r in ranks:
-        hit = hit | ((F.col("from") <= r) & (F.col("upto") > r))
-    rows = spans.where(hit).collect()
-    return {r: next(x["v"] for x in rows if x["from"] <= r < x["upto"]) for r in ranks}
+    # One row per bracket and rank.
+    asked = frame.sparkSession.createDataFrame(
+        [(i, r, r - key[1][2]) for i, key in enumerate(keys) for r in small[key]], "at int, rank bigint, place bigint"
+    )
+    hit = (F.col("b") == F.col("at")) & (F.col("from") <= F.col("place")) & (F.col("upto") > F.col("place"))
+    rows = spans.join(F.broadcast(asked), hit).select("b", "rank", "v").collect()
+    return [(keys[row["b"]][0], row["rank"], row["v"]) for row in rows]
+
 
+def _narrow(frame: DataFrame, split: dict[tuple, tuple]) -> dict:
+    """Smaller brackets: a sketch proposes two values around every rank, counting tells where the rank lies.
 
-def _narrow(values: DataFrame, split: dict) -> dict:
+    It lies below the first, on it, between them, on the second or beyond; each of the five is a bracket without the
+    values tested, so brackets shrink however many rows share a value.
+    """
     aggs = []
-    for rank, (bracket, inside) in split.items():
+    for i, ((c, rank), (bracket, inside)) in enumerate(split.items()):
         share = (rank - bracket[2] + 0.5) / inside
         edge = [max(0.0, share - 2 / _ACCURACY), min(1.0, share + 2 / _ACCURACY)]
-        v = F.when(_inside(bracket), F.col("v"))
-        aggs.append(F.percentile_approx(v, edge, _ACCURACY).alias(f"r{rank}"))
-    edges = values.agg(*aggs).first()
-    candidates = {rank: (edges[f"r{rank}"][0], edges[f"r{rank}"][1]) for rank in split}
-    counts = []
-    for rank, (low, high) in candidates.items():
-        counts.append(F.count_if(F.col("v") < F.lit(low)).alias(f"b{rank}"))
-        counts.append(F.count_if(F.col("v") <= F.lit(high)).alias(f"u{rank}"))
-    row = values.agg(*counts).first()
+        aggs.append(F.percentile_approx(F.when(_inside(c, bracket), col(c)), edge, _ACCURACY).alias(f"r{i}"))
+    edges = frame.agg(*aggs).first()
+    facts = []
+    for i, (c, _) in enumerate(split):
+        for name, value in zip("lh", edges[f"r{i}"], strict=True):
+            edge = F.lit(value)
+            facts += [
+                F.count_if(col(c) < edge).alias(f"{name}_under{i}"), F.count_if(col(c) <= edge).alias(f"{name}_upto{i}"),
+                F.max(F.when(col(c) < edge, col(c))).alias(f"{name}_before{i}"), F.min(F.when(col(c) > edge, col(c))).alias(f"{name}_after{i}"),
+            ]
+    row = frame.agg(*facts).first()
     narrowed = {}
-    for rank, (bracket, _) in split.items():
-        low, high = candidates[rank]
-        below, upto = row[f"b{rank}"], row[f"u{rank}"]
-        if below <= rank < upto:
-            narrowed[rank] = (low, high, below)
-        elif rank < below:
-            narrowed[rank] = (bracket[0], low, bracket[2])
+    for i, (key, (bracket, _)) in enumerate(split.items()):
+        (low, high), rank = edges[f"r{i}"], key[1]
+        l_under, l_upto, h_under, h_upto = (row[f"{n}{i}"] for n in ("l_under", "l_upto", "h_under", "h_upto"))
+        if rank < l_under:
+            narrowed[key] = (bracket[0], row[f"l_before{i}"], bracket[2])
+        elif rank < l_upto:
+            narrowed[key] = (low, low, l_under)
+        elif rank < h_under:
+            narrowed[key] = (row[f"l_after{i}"], row[f"h_before{i}"], l_upto)
+        elif rank < h_upto:
+            narrowed[key] = (high, high, h_under)
         else:
-            narrowed[rank] = (high, bracket[1], row[f"b{rank}"] + _between(values, low, high))
-        if narrowed[rank] == bracket:
-            raise RuntimeError("bracket did not shrink")
+            narrowed[key] = (row[f"h_after{i}"], bracket[1], h_upto)
     return narrowed
 
 
-def _between(values: DataFrame, low, high) -> int:
-    """Number of values in [low, high)."""
-    return values.where((F.col("v") >= F.lit(low)) & (F.col("v") < F.lit(high))).count()
-
-
 def quantiles(
     df: DataFrame,
     columns: dict[str, Column],
@@ -129,9 +148,9 @@ def quantiles(
     places = {n: [(sizes[n] - 1) * p for p in probs] for n in columns if sizes[n]}
     wanted = {n: sorted({r for h in hs for r in (math.floor(h), math.ceil(h))}) for n, hs in places.items()}
     found = _ranked({n: r for n, r in wanted.items() if sizes[n] <= limit}, frame)
-    for name, ranks in wanted.items():
-        if sizes[name] > limit:
-            found[name] = dict(zip(ranks, order_statistics(frame, col(name), ranks, limit), strict=True))
+    large = {n: r for n, r in wanted.items() if sizes[n] > limit}
+    if large:
+        found |= order_statistics_of(frame, large, limit)
     answer: dict[str, list[float | None]] = {}
     for name in columns:
         if name not in places:

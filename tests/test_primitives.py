@@ -110,6 +110,38 @@ def test_quantiles_match_numpy(rows, limit):
         assert np.allclose(got[name], np.quantile(values, [0.0, 0.1, 0.5, 0.9, 1.0]))
 
 
+def jobs_of(spark, work):
+    """How many Spark jobs a piece of work starts."""
+    tag = "count-jobs"
+    spark.sparkContext.setJobGroup(tag, tag)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+    work()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag)) - before
+
+
+def test_jobs_do_not_grow_with_columns(spark):
+    df = spark.range(0, 20_000, 1, 4).select(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(10**9)).cast("double").alias(f"c{i}") for i in range(12)])
+    df = df.cache()
+    df.count()
+    probs = [0.1, 0.5, 0.9]
+    few = jobs_of(spark, lambda: quantiles(df, {"c0": F.col("c0")}, probs, 300))
+    many = jobs_of(spark, lambda: quantiles(df, {c: F.col(c) for c in df.columns}, probs, 300))
+    assert 0 < few and many <= few + 3
+    got = quantiles(df, {c: F.col(c) for c in df.columns}, probs, 300)
+    values = df.toPandas()
+    for c in df.columns:
+        assert np.allclose(got[c], np.quantile(values[c], probs))
+
+
+@pytest.mark.parametrize("limit", [3, 50])
+def test_few_values_that_many_rows_share(spark, limit):
+    """The rank lies where one crowded value ends and the next begins."""
+    df = spark.range(2000).select(F.when(F.col("id") < 1000, 5.0).otherwise(6.0).alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    got = quantiles(df, {"a": F.col("a"), "b": F.col("b")}, [0.25, 0.5, 1 / 3, 0.75], limit)
+    assert got["a"] == [5.0, 5.5, 5.0, 6.0]
+    assert np.allclose(got["b"], np.quantile(np.arange(2000) % 3, [0.25, 0.5, 1 / 3, 0.75]))
+
+
 def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([], "v double")
     assert quantiles(empty, {"v": F.col("v")}, [0.5]) == {"v": [None]}
