@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from tabloom.catalog.registry import per_column, query, table
+from tabloom.operators import distinct as U
 from tabloom.operators import profile as P
 from tabloom.operators.quantiles import quantiles
+from tabloom.session import scratch_path
 
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 LINE_NUMERIC = [
@@ -197,3 +199,20 @@ def column_quantiles(spark, sf_dir):
     found = quantiles(li, {c: F.col(c) for c in QUANTILE_COLUMNS}, [0.01, 0.25, 0.5, 0.99], limit=1000)
     rows = [(c, *[round(v, 4) for v in found[c]]) for c in QUANTILE_COLUMNS]
     return spark.createDataFrame(rows, "name string, q01 double, q25 double, median double, q99 double")
+
+
+@query(
+    "distinct_sketches",
+    per_column(ORDERS, "SELECT '{c}' AS name, count(DISTINCT {c})::BIGINT AS exact, true AS near, true AS merged FROM orders"),
+)
+def distinct_sketches(spark, sf_dir):
+    """Sketches per year of orders, stored, read again and merged, beside the exact counts."""
+    orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    path = scratch_path(spark, "sketches")
+    U.distinct_sketches(orders, ORDERS, rsd=0.01, by=["year"]).write.parquet(path)
+    parts = spark.read.parquet(path)
+    found = U.estimates(U.merge_sketches(parts)).withColumnRenamed("nunique", "guess")
+    exact = U.distinct_counts(orders, ORDERS).select("name", F.col("nunique").alias("exact"))
+    near = F.abs(F.col("guess") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))
+    sizes = parts.groupBy("name").agg(F.count(F.lit(1)).alias("parts"))
+    return exact.join(found, "name").join(sizes, "name").select("name", "exact", near.alias("near"), (F.col("parts") > 1).alias("merged"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,7 @@ from tabloom.functions.columns import (
     string_columns,
 )
 from tabloom.functions.dates import as_timestamp
+from tabloom.operators.distinct import distinct_counts, distinct_sketches, estimates
 from tabloom.operators.moments import cross_products
 from tabloom.operators.quantiles import quantiles
 
@@ -70,20 +73,17 @@ def column_type_map(df: DataFrame, samples: int = 5, numeric_first: bool = True)
     return kinds
 
 
-def profile(df: DataFrame, approx: bool = False, rsd: float = 0.02, distinct: bool = True) -> DataFrame:
-    """One row per column: name, pos, type, n, nulls, nunique, all from one aggregate.
+def profile(
+    df: DataFrame, approx: bool = False, rsd: float = 0.02, distinct: bool = True, sketches: DataFrame | None = None
+) -> DataFrame:
+    """One row per column: name, pos, type, n, nulls, nunique.
 
-    ``approx`` replaces the exact distinct counts, which move every distinct value, by
-    sketches of fixed size.
+    ``approx`` replaces the exact distinct counts, which move every distinct value once, by sketches of fixed size;
+    ``sketches`` takes stored ones (`distinct.distinct_sketches`, merged) instead of reading the values again.
     """
     kinds = column_type_map(df)
     frame = nan_to_null(df)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, name in enumerate(df.columns):
-        aggs.append(F.count(col(name)).alias(f"c{i}"))
-        if distinct:
-            unique = F.approx_count_distinct(col(name), rsd) if approx else F.count_distinct(col(name))
-            aggs.append(unique.alias(f"u{i}"))
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.count(col(name)).alias(f"c{i}") for i, name in enumerate(df.columns)]]
     records = [
         {
             "name": F.lit(name),
@@ -92,11 +92,20 @@ def profile(df: DataFrame, approx: bool = False, rsd: float = 0.02, distinct: bo
             "numeric": F.lit(is_numeric(df.schema[name].dataType)),
             "n": F.col("n"),
             "nulls": F.col("n") - F.col(f"c{i}"),
-            "nunique": F.col(f"u{i}") if distinct else F.lit(None).cast("bigint"),
         }
         for i, name in enumerate(df.columns)
     ]
-    return columns_to_rows(frame.agg(*aggs), records)
+    facts = columns_to_rows(frame.agg(*aggs), records)
+    if not distinct:
+        return facts.withColumn("nunique", F.lit(None).cast("bigint"))
+    if approx or sketches is not None:
+        found = estimates(sketches if sketches is not None else distinct_sketches(df, rsd=rsd))
+    else:
+        found = distinct_counts(df)
+    # One row per column on both sides.
+    known = found.select(F.col("name").alias("_name"), F.col("nunique").alias("_u"))
+    joined = facts.join(F.broadcast(known), F.col("name") == F.col("_name"), "left")
+    return joined.withColumn("nunique", F.coalesce("_u", F.lit(0)).cast("bigint")).drop("_name", "_u")
 
 
 def column_types(df: DataFrame) -> DataFrame:
@@ -122,16 +131,31 @@ def unpivot_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def sample_values(df: DataFrame, n: int = 8) -> DataFrame:
     """The n smallest distinct values per column, as text.
 
-    Distinct values are formed first, so a repeated value never travels more than once per
-    task; the rank filter is then applied before the values are brought together.
+    Every task keeps the n smallest of each of its columns while it reads; only those are brought together.
     """
     flat = [f.name for f in df.schema.fields if is_flat(f.dataType)]
-    values = unpivot_text(df, flat).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("name").orderBy("value"))
+    if not flat:
+        return df.sparkSession.createDataFrame([], "name string, place bigint, value string")
+    clean = nan_to_null(df.select(*[col(c) for c in flat]))
+    texts = clean.select(*[as_text(clean, c).alias(f"c{i}") for i, c in enumerate(flat)])
+
+    def smallest(batches):
+        kept = [pa.array([], pa.string()) for _ in flat]
+        for batch in batches:
+            for i in range(len(kept)):
+                fresh = pc.unique(batch.column(i).drop_null().cast(pa.string()))
+                both = pc.unique(pa.concat_arrays([kept[i], fresh])) if len(fresh) else kept[i]
+                kept[i] = both.take(pc.sort_indices(both)[:n])
+        places = pa.array([i for i, k in enumerate(kept) for _ in range(len(k))], pa.int32())
+        yield pa.RecordBatch.from_arrays([places, pa.concat_arrays(kept)], ["pos", "value"])
+
+    found = texts.mapInArrow(smallest, "pos int, value string").distinct()
+    place = F.row_number().over(Window.partitionBy("pos").orderBy("value"))
+    names_ = F.array(*[F.lit(c) for c in flat])
     return (
-        values.withColumn("place", place)
+        found.withColumn("place", place)
         .where(F.col("place") <= n)
-        .select("name", F.col("place").cast("bigint").alias("place"), "value")
+        .select(F.element_at(names_, F.col("pos") + 1).alias("name"), F.col("place").cast("bigint").alias("place"), "value")
     )
 
 

@@ -121,9 +121,9 @@ def impute(df: DataFrame, anomalies: DataFrame, key: Sequence[str], columns: Seq
     return joined.withColumns(made).drop("_wrong").select(*[col(c) for c in df.columns])
 
 
-def quality_measures(df: DataFrame, time: str) -> DataFrame:
+def quality_measures(df: DataFrame, time: str, approx: bool = False, sketches: DataFrame | None = None) -> DataFrame:
     """Per column: distinct and null ratios, and the null rate of the earlier and later half of the
-    time span, with the span in days."""
+    time span, with the span in days. ``approx`` and ``sketches`` as in `profile`."""
     typed = is_datetime(df.schema[time].dataType)
     stamp = col(time).cast("timestamp") if typed else as_text(df, time).try_cast("timestamp")
     seconds = F.unix_micros(stamp) / F.lit(1_000_000)
@@ -149,7 +149,7 @@ def quality_measures(df: DataFrame, time: str) -> DataFrame:
     )
     per_row = F.greatest(F.col("n"), F.lit(1))
     return (
-        profile(df)
+        profile(df, approx, sketches=sketches)
         .join(rates, "name")
         .select(
             "name",

@@ -229,12 +229,15 @@ def _signed(df: DataFrame, target: str, nulls: str) -> dict[str, float]:
     return target_correlations(df, numeric, target, nulls)
 
 
-def default_features(df: DataFrame, target: str, rule: str = "a") -> DataFrame:
+def default_features(
+    df: DataFrame, target: str, rule: str = "a", approx: bool = False, sketches: DataFrame | None = None
+) -> DataFrame:
     """Features to start with.
 
     Rule 'a': no identifiers by name, no |r| >= 0.98, and with more than five columns no
     |r| < 0.1; columns without r stay. Rule 'b': categories if 1 < distinct <= 25 and below
-    0.9 of the rows (one-hot), numbers if 0.05 <= |r| < 0.97, dates (periodic).
+    0.9 of the rows (one-hot), numbers if 0.05 <= |r| < 0.97, dates (periodic); ``approx`` and ``sketches`` as in
+    `profile`.
     """
     spark = df.sparkSession
     if rule == "a":
@@ -249,7 +252,7 @@ def default_features(df: DataFrame, target: str, rule: str = "a") -> DataFrame:
     elif rule == "b":
         r = _signed(df, target, "pairwise")
         rows = []
-        for p in profile(df).collect():
+        for p in profile(df, approx, sketches=sketches).collect():
             c = p["name"]
             if c == target:
                 continue
