@@ -6,6 +6,8 @@ import math
 import random
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from tabloom.operators.quantiles import quantiles
 
 REPLICATES = 200
 PRIME = 2**31 - 1
+#: Rows that are weighted at once.
+RESAMPLED_ROWS = 2048
 
 
 def regression_aggregates(y: Column, pred: Column, when: Column | None = None) -> dict[str, Column]:
@@ -104,13 +108,19 @@ def multipliers(n: int, prime: int = PRIME) -> list[int]:
     return random.Random(42).sample(range(1, prime), n)
 
 
-def poisson(uniform: Column) -> Column:
-    """0 for the lowest part of the range, 1 for the next, and so on; small counts are tested first."""
-    marks = poisson_marks()
-    weight = F.when(uniform < marks[0], 0)
-    for count, mark in enumerate(marks[1:], start=1):
-        weight = weight.when(uniform < mark, count)
-    return weight.otherwise(len(marks))
+def _weights(u: np.ndarray, v: np.ndarray, m: np.ndarray, marks: list[int]) -> np.ndarray:
+    """Poisson(1) draws, one row per table row and one column per resample: how many marks (u * m + v) mod prime reaches.
+
+    The prime is 2^31 - 1, so the remainder is the sum of the low and the high bits, taken twice.
+    """
+    x = u[:, None] * m + v[:, None]
+    for _ in range(2):
+        x = (x & PRIME) + (x >> 31)
+    x[x == PRIME] = 0
+    drawn = np.zeros(x.shape)
+    for mark in marks:
+        drawn += x >= mark
+    return drawn
 
 
 def bootstrap(
@@ -126,18 +136,27 @@ def bootstrap(
 
     Resampling with replacement as Poisson(1) weights. One digest of the row key gives two
     numbers u and v below a prime; resample r draws from (u * m_r + v) mod prime, which is
-    independent between rows and pairwise independent between resamples. Rows are never
-    moved: each task sends one row per resample to the shuffle.
+    independent between rows and pairwise independent between resamples. Rows are neither moved nor
+    repeated: a task adds up the sums of all resamples while it reads, and sends one row per resample.
     """
     top, bottom = _accuracy_terms(df, y, pred, task)
     digest = F.md5(key_text(key))
     rows = df.select(
         (hex_number(digest, 1, 8) % PRIME).alias("u"), (hex_number(digest, 9, 8) % PRIME).alias("v"),
-        top.alias("t"), bottom.alias("b"),
+        top.cast("double").alias("t"), F.coalesce(bottom.cast("double"), F.lit(0.0)).alias("b"),
     ).where(F.col("t").isNotNull())
-    spread = rows.select("t", "b", "u", "v", F.explode(F.array(*[F.lit(m) for m in multipliers(n)])).alias("m"))
-    weighted = spread.select("m", "t", "b", poisson((F.col("u") * F.col("m") + F.col("v")) % PRIME).alias("w"))
-    sums = weighted.groupBy("m").agg(F.sum(F.col("w") * F.col("t")).alias("t"), F.sum(F.col("w") * F.col("b")).alias("b"))
+    factors, marks = np.array(multipliers(n), np.int64), poisson_marks()
+
+    def add_up(batches):
+        sums = np.zeros((2, n))
+        for batch in batches:
+            u, v, t, b = (batch.column(i).to_numpy() for i in range(4))
+            for start in range(0, len(u), RESAMPLED_ROWS):
+                part = slice(start, start + RESAMPLED_ROWS)
+                sums += np.stack((t[part], b[part])) @ _weights(u[part], v[part], factors, marks)
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(sums[0]), pa.array(sums[1])], ["m", "t", "b"])
+
+    sums = rows.mapInArrow(add_up, "m int, t double, b double").groupBy("m").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
     scored = sums.select(_accuracy(F.col("t"), F.col("b"), task).alias("a"))
     tail = (1 - level) / 2
     return scored.agg(
