@@ -6,6 +6,7 @@ from tabloom.catalog.registry import query, table
 from tabloom.operators import explore as X
 from tabloom.operators.lags import MONTH_SERIES_BOUND
 from tabloom.operators.models import fit_linear
+from tabloom.plans import arma as A
 from tabloom.plans import forecast as G
 
 SERIES = ["o_orderstatus", "o_orderpriority"]
@@ -111,6 +112,17 @@ def seasonal_ar_null_series(spark, sf_dir):
     return G.forecast_seasonal_ar(series, SERIES, ["sort_key"], "y", 12, largest=MONTH_SERIES_BOUND)
 
 
+@query("forecast_arma")
+def forecast_arma(spark, sf_dir):
+    """Orders of up to two autoregressive and two moving-average terms, chosen per series."""
+    return A.forecast_arma(many(spark, sf_dir), SERIES, ["sort_key"], "y", 12, largest=MONTH_SERIES_BOUND)
+
+
+@query("forecast_seasonal_arma")
+def forecast_seasonal_arma(spark, sf_dir):
+    return A.forecast_arma(many(spark, sf_dir), SERIES, ["sort_key"], "y", 12, season=12, largest=MONTH_SERIES_BOUND)
+
+
 @query("forecast_exog")
 def forecast_exog(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

@@ -51,7 +51,7 @@ def csv_source_utf16(spark, sf_dir):
     "SELECT o_orderkey, o_orderstatus || chr(10) || o_orderpriority AS note FROM orders",
 )
 def csv_source_line_breaks(spark, sf_dir):
-    """Quoted line breaks, in files of bounded size."""
+    """Quoted line breaks; every file is read by as many tasks as its size asks for."""
     path = scratch_path(spark, "orders-lines")
     note = F.concat("o_orderstatus", F.lit("\n"), "o_orderpriority")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note")).repartition(8)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.columns import NUMBER_LOOK, col, nan_to_null
+from tabloom.sources.records import read_records
 
 # Words that stand for a missing value in text files.
 MISSING_WORDS = (
@@ -55,18 +56,19 @@ def read_csv(
     numbers, numbers or booleans. An explicit schema saves that pass, and a single stated
     encoding the pass over the lines: give both for large tables.
 
-    ``multiline=True`` reads line breaks inside quotes; such files cannot be split, so each is
-    one task. Unstated, a table with such lines is refused rather than read wrongly; False
-    takes every line as a row. UTF-16 files are always read whole: many small ones scale, one
-    large one does not.
+    ``multiline=True`` reads line breaks inside quotes, by as many tasks as for any text file
+    (see `records`); quotes must then only be used for quoting. Unstated, a table with such lines
+    is refused rather than read wrongly; False takes every line as a row. UTF-16 files are always
+    read whole: many small ones scale, one large one does not.
     """
     encoding, opened = (encodings[0], False) if len(encodings) == 1 else inspect_lines(spark, path, encodings)
     if opened and multiline is None and encoding != "UTF-16":
         raise ValueError("a line leaves a quote open: read with multiline=True, or multiline=False if quotes are plain text")
-    reader = spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
-    if encoding == "UTF-16" or multiline:
-        reader = reader.option("multiLine", True)
-    text = reader.option("inferSchema", False).csv(path)
+    if multiline and encoding != "UTF-16":
+        text = read_records(spark, path, encoding)
+    else:
+        reader = spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
+        text = reader.option("multiLine", encoding == "UTF-16").option("inferSchema", False).csv(path)
     text = text.select(*[F.when(~col(c).isin(*MISSING_WORDS), col(c)).alias(c) for c in text.columns])
     if schema is not None:
         wanted = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
