@@ -11,6 +11,7 @@ from tabloom.operators import evaluate as V
 from tabloom.operators import lags as L
 from tabloom.operators import models as M
 from tabloom.operators import split as D
+from tabloom.operators.boosting import ordered_statistics
 from tabloom.plans import prepare as P
 from tabloom.plans import score as R
 from tabloom.plans import train as TR
@@ -110,6 +111,26 @@ def gradient_boosting(spark, sf_dir):
     return tree_metrics(spark, sf_dir, M.fit_boosting)
 
 
+@query("adaboost")
+def adaboost(spark, sf_dir):
+    """Twenty rounds."""
+    return tree_metrics(spark, sf_dir, lambda train, feats, y: M.fit_adaboost(train, feats, y, trees=20))
+
+
+@query(
+    "ordered_target_statistics",
+    f"""WITH t AS (SELECT o_orderkey, o_orderpriority, o_totalprice, {hash_sql('o_orderkey', 'order')} AS h,
+      avg(o_totalprice) OVER () AS prior FROM orders)
+    SELECT o_orderkey, round((coalesce(sum(o_totalprice) OVER w, 0) + prior) / (count(*) OVER w + 1), 4) AS stat FROM t
+    WINDOW w AS (PARTITION BY o_orderpriority ORDER BY h, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
+def ordered_target_statistics(spark, sf_dir):
+    """Mean price of the earlier orders of the same priority; blocks of 1,000 rows carry their sums on."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    made, _ = ordered_statistics(o, "o_orderpriority", "o_totalprice", ["o_orderkey"], limit=1000, block_rows=1000)
+    return made.select("o_orderkey", F.round("o_orderpriority_stat", 4).alias("stat"))
+
+
 def _fold_fits(k, source="t"):
     """Co-moments of the rows outside each fold."""
     return "\nUNION ALL ".join(f"SELECT {i} AS fold, {comoments(FEATS, 'amount')} FROM {source} WHERE fold <> {i}" for i in range(k))

@@ -14,11 +14,14 @@ from pyspark import StorageLevel
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions.columns import as_number, finite
 from tabloom.functions.vectors import is_vector
+from tabloom.operators import boosting
 from tabloom.operators import evaluate as V
 from tabloom.operators import moments as M
+from tabloom.operators.boosting import TargetStatistics, ordered_statistics
 from tabloom.operators.encode import assemble
 from tabloom.operators.profile import target_correlations
 from tabloom.operators.split import folds as assign_folds
@@ -37,10 +40,16 @@ class Fitted:
     model: Any
     features: tuple[str, ...]
     params: dict[str, Any] = field(default_factory=dict)
+    #: Statistics of text columns that the features are made of.
+    statistics: tuple[TargetStatistics, ...] = ()
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """Add a prediction column; NaN and infinities become 0."""
-        scored = self.model.setPredictionCol("_p").transform(assemble(df, self.features, "_v"))
+        frame = df
+        for statistic in self.statistics:
+            frame = statistic.apply(frame)
+        scored = self.model.setPredictionCol("_p").transform(assemble(frame, self.features, "_v"))
+        scored = scored.drop(*[s.feature for s in self.statistics])
         return scored.withColumn(out, F.coalesce(finite(F.col("_p")), F.lit(0.0))).drop("_p", "_v")
 
 
@@ -111,10 +120,23 @@ BOOSTERS = {
 
 
 def fit_boosting(
-    train: DataFrame, feats: Sequence[str], y: str, preset: str | None = None, booster: str = "gbm", **params
+    train: DataFrame, feats: Sequence[str], y: str, preset: str | None = None, booster: str = "gbm", key: Sequence[str] = (),
+    **params,
 ) -> Fitted:
-    """Gradient-boosted trees. Presets set trees and rate; a leaf count becomes a depth."""
+    """Gradient-boosted trees. Presets set trees and rate; a leaf count becomes a depth.
+
+    The catboost setting takes text features as well: each becomes the mean target of earlier rows of its text, in the
+    order of a hash of ``key`` (of the whole row without one, where equal rows count as one place), and for new rows
+    the mean of all training rows.
+    """
     shared_dir(train.sparkSession)  # long lineages are cut at the checkpoint interval
+    statistics = []
+    if booster == "catboost":
+        texts = [f for f in feats if isinstance(train.schema[f].dataType, T.StringType)]
+        for text in texts:
+            train, made = ordered_statistics(train, text, y, list(key) or train.columns)
+            statistics.append(made)
+            feats = [made.feature if f == text else f for f in feats]
     chosen = {**BOOSTERS[booster], **(PRESETS[preset] if preset else {}), **params}
     depth = chosen.get("max_depth") or max(2, math.ceil(math.log2(chosen.get("leaves", 8))))
     estimator = GBTRegressor(
@@ -122,7 +144,16 @@ def fit_boosting(
         subsamplingRate=chosen.get("subsample", 1.0), seed=SEED,
         featureSubsetStrategy=str(chosen["column_share"]) if chosen.get("column_share", 1.0) < 1.0 else "all",
     )
-    return Fitted(booster, _columns(estimator).fit(training_frame(train, feats, y)), tuple(feats), chosen)
+    return Fitted(booster, _columns(estimator).fit(training_frame(train, feats, y)), tuple(feats), chosen, tuple(statistics))
+
+
+def fit_adaboost(
+    train: DataFrame, feats: Sequence[str], y: str, trees: int = 100, learning_rate: float = 0.1, max_depth: int = 4
+) -> Fitted:
+    """AdaBoost.R2: trees on reweighted rows, the weighted median of their predictions."""
+    model = boosting.fit_adaboost(training_frame(train, feats, y), trees, learning_rate, max_depth, SEED)
+    params = {"trees": trees, "learning_rate": learning_rate, "max_depth": max_depth}
+    return Fitted("adaboost", model, tuple(feats), params)
 
 
 Draw = Callable[[random.Random], Any]
@@ -217,6 +248,9 @@ register_model(
 )
 
 
+register_model("adaboost", ModelSpec(fit_adaboost, {"trees": _whole(50, 300), "learning_rate": _log_between(1e-2, 1.5)}))
+
+
 def fit_model(train: DataFrame, feats: Sequence[str], y: str, name: str, params: dict[str, Any] | None = None) -> Fitted:
     if name not in MODELS:
         raise ValueError(f"model {name!r} is not registered")
@@ -315,7 +349,7 @@ def search(
 def importance(fitted: Fitted, df: DataFrame, y: str) -> DataFrame:
     """Tree importances, else |r| with the target; strongest first, 4 digits.
 
-    A vector of categories counts as the sum of its entries for trees, and has no r.
+    A text that the model takes by its statistic keeps that name. A vector of categories counts as the sum of its entries for trees, and has no r.
     """
     vectors = [f for f in fitted.features if f in df.columns and is_vector(df.schema[f].dataType)]
     if hasattr(fitted.model, "featureImportances"):
