@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog.profiling import LINE_GAPS_SQL, LINE_NUMERIC, line_gaps
 from tabloom.catalog.registry import per_column, query, table
+from tabloom.catalog.series import hash_sql
+from tabloom.functions.hashing import key_hash
 from tabloom.operators import select as S
+from tabloom.operators.neighbours import knn_mutual_information
 from tabloom.operators.profile import profile
 
 TARGET = "l_extendedprice"
@@ -208,3 +211,28 @@ def feature_groups(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     df = c.withColumns({"row_id": F.col("c_custkey"), "load_date": F.lit("2024-01-01").cast("date")})
     return S.feature_groups(profile(df))
+
+
+# A balance and a number that follows it in part; the digest spreads the rest.
+NEAR_SQL = f"""SELECT c_custkey, c_acctbal AS a, c_acctbal + {hash_sql('c_custkey', 'blur')} / 4294967296.0 * 4000 AS b,
+  {hash_sql('c_custkey', 'u')} / 4294967296.0 - 0.5 AS u, {hash_sql('c_custkey', 'v')} / 4294967296.0 - 0.5 AS v FROM customer"""
+
+
+@query(
+    "mutual_information_neighbours",
+    f"""WITH t AS ({NEAR_SQL}), f AS (SELECT stddev_pop(a) AS sa, stddev_pop(b) AS sb, avg(abs(a)) / stddev_pop(a) AS ma, avg(abs(b)) / stddev_pop(b) AS mb FROM t),
+    p AS MATERIALIZED (SELECT c_custkey AS i, a / sa + 1e-10 * greatest(1, ma) * u AS x, b / sb + 1e-10 * greatest(1, mb) * v AS y FROM t, f),
+    d AS MATERIALIZED (SELECT p.i, abs(p.x - q.x) AS dx, abs(p.y - q.y) AS dy FROM p, p AS q),
+    k AS (SELECT i, greatest(dx, dy) AS r FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY greatest(dx, dy)) = 4),
+    c AS (SELECT i, count(*) FILTER (WHERE dx < r * (1 - 1e-9)) AS cx, count(*) FILTER (WHERE dy < r * (1 - 1e-9)) AS cy FROM d JOIN k USING (i) GROUP BY i),
+    h AS MATERIALIZED (SELECT m, -0.5772156649015329 + coalesce(sum(1.0::DOUBLE / (m - 1)) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS psi
+      FROM (SELECT unnest(range(2, (SELECT count(*) + 2 FROM p))) AS m) UNION ALL SELECT 1, -0.5772156649015329)
+    SELECT round(greatest(any_value(hn.psi) + 0.9227843350984671 - avg(hx.psi) - avg(hy.psi), 0), 5) AS mi, count(*)::BIGINT AS n
+    FROM c JOIN h AS hx ON hx.m = cx JOIN h AS hy ON hy.m = cy JOIN h AS hn ON hn.m = (SELECT count(*) FROM p)""",
+)
+def mutual_information_neighbours(spark, sf_dir):
+    """Cells of about sixty rows."""
+    key = F.col("c_acctbal") + key_hash(["c_custkey"], "blur") / 2**32 * 4000
+    frame = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("a"), key.alias("b"))
+    done = knn_mutual_information(frame, "a", "b", ["c_custkey"], cell_rows=64)
+    return done.select(F.round("mi", 5).alias("mi"), "n")
