@@ -43,6 +43,25 @@ def handle_missing(df: DataFrame, how: str = "mean") -> DataFrame:
     return clean.withColumns(filled) if filled else clean
 
 
+def missing_fills(train: DataFrame, how: str) -> dict[str, float]:
+    """'mean' or 'median' of every numeric column of the training rows, 0 for columns without values."""
+    if how not in ("mean", "median"):
+        raise ValueError("fills are means or medians")
+    values = {c: as_number(train, c) for c in numeric_columns(train)}
+    if not values:
+        return {}
+    if how == "median":
+        return {c: v[0] or 0.0 for c, v in quantiles(train, values, [0.5]).items()}
+    row = train.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values.values())]).first()
+    return {c: row[f"m{i}"] or 0.0 for i, c in enumerate(values)}
+
+
+def fill_gaps(df: DataFrame, fills: dict[str, float]) -> DataFrame:
+    """Gaps of the named columns filled; those columns become double."""
+    clean = nan_to_null(df)
+    return clean.withColumns({c: F.coalesce(as_number(clean, c), F.lit(v).cast("double")) for c, v in fills.items()}) if fills else clean
+
+
 def to_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Text that is no number becomes null."""
     return df.withColumns({c: as_number(df, c) for c in cols})

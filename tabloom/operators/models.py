@@ -10,7 +10,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -371,6 +373,10 @@ def first_pass(train: DataFrame, test: DataFrame, feats: Sequence[str], y: str,
     return V.regression_metrics(fitted.predict(test), y, "prediction"), importance(fitted, train, y)
 
 
+#: What a model may fail with on unfit data or settings; anything else is a mistake in the program and ends the run.
+FAILURES = (PySparkException, Py4JJavaError, ValueError, ArithmeticError)
+
+
 @dataclass(frozen=True)
 class TrainSettings:
     """What `train_models` does beside fitting."""
@@ -408,7 +414,7 @@ def train_models(
 ) -> Trained:
     """Fit every model, measure each on the test rows, mark the best by R2.
 
-    A model that fails is reported and the others go on; when all fail, the first error is raised.
+    A model that fails (`FAILURES`) is reported and the others go on; when all fail, the first error is raised.
     """
     spark = train.sparkSession
     chronological = settings.time_based and settings.fold is not None
@@ -446,7 +452,7 @@ def train_models(
                 row["tune_score"] = tried.best_score
                 fitted[name] = model
                 rows.append(row)
-            except Exception as error:  # reported in the metrics row
+            except FAILURES as error:  # reported in the metrics row
                 failures.append(error)
                 rows.append({"model": name, "task_type": task, "error": f"{type(error).__name__}: {error}"[:500]})
     finally:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -67,25 +67,39 @@ class Prepared:
     dictionaries: dict[str, E.Dictionary] = field(default_factory=dict)
 
 
-def fit_prepare(df: DataFrame, config: PrepareConfig) -> tuple[DataFrame, Prepared]:
+#: Marks held-out rows: takes the (aggregated) frame and its order columns, returns it with a boolean ``is_test``.
+Mark = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def _learning(frame: DataFrame) -> DataFrame:
+    return frame.where(~F.col("is_test")).drop("is_test") if "is_test" in frame.columns else frame
+
+
+def fit_prepare(df: DataFrame, config: PrepareConfig, mark: Mark | None = None) -> tuple[DataFrame, Prepared]:
     """Calendar numbers, aggregation, trend, cycles, waves, one-hot and lags.
 
+    With ``mark``, held-out rows come back marked ``is_test`` and nothing is learned from them: origins, ranges,
+    categories, defaults and the time choice are those of the other rows (defaults of an aggregated table are those of
+    its raw rows). Lags of a held-out row read the rows before it.
+
     The result is one lazy plan; only origins, ranges, categories and means are computed here, and a stored table of
     numbered values for each one-hot column of many values.
     """
     detected = K.detect_calendar(df.columns)
     base = K.calendar_numeric(df, detected)
-    stats = train_stats(base)
     order = [*K.chrono_keys(detected), *config.row_key]
     frame = base
     if config.group_by:
         frame = K.aggregate(base, config.group_by, config.agg_method, config.agg_overrides, order or None)
     detected = K.detect_calendar(frame.columns)
-    origin = E.time_state(frame, detected)
-    frame = E.cyclical(E.elapsed_time(frame, detected, origin), detected)
-
     order = [c for c in [*K.chrono_keys(detected), *config.row_key] if c in frame.columns]
     order = E.ordered_unique([*order, *[g for g in config.group_by if g not in config.series]])
+    if mark:
+        frame = mark(frame, E.ordered_unique([*order, *[g for g in config.group_by if g in frame.columns]]))
+    stats = train_stats(base if config.group_by else _learning(frame))
+    origin = E.time_state(_learning(frame), detected)
+    frame = E.cyclical(E.elapsed_time(frame, detected, origin), detected)
+
     waves: list[str] = []
     ranges: dict[str, tuple[float, float]] = {}
     for setting in config.periodic_columns:
@@ -95,12 +109,12 @@ def fit_prepare(df: DataFrame, config: PrepareConfig) -> tuple[DataFrame, Prepar
         if setting.get("type") == "datetime":
             frame = E.periodic_datetime(frame, setting, order, config.series, config.window_limit)
         else:
-            ranges.update(E.range_state(frame, [name]))
+            ranges.update(E.range_state(_learning(frame), [name]))
             frame = E.periodic_numeric(frame, name, ranges)
         waves += E.periodic_names(setting)
 
     encoded = [c for c in config.onehot_columns if c not in detected.values() and c in frame.columns]
-    categories, dictionaries = E.split_categories(frame, encoded, config.widest_onehot)
+    categories, dictionaries = E.split_categories(_learning(frame), encoded, config.widest_onehot)
     frame = E.one_hot(frame, list(categories), categories)
     for dictionary in dictionaries.values():
         frame = E.one_hot_vector(frame, dictionary)
@@ -110,14 +124,14 @@ def fit_prepare(df: DataFrame, config: PrepareConfig) -> tuple[DataFrame, Prepar
     yoy = L.yoy_lag_for(detected)
     if config.chronological and config.target in frame.columns and is_numeric(frame.schema[config.target].dataType):
         frame = L.lag_features(frame, config.target, order, config.series, yoy, limit=config.window_limit)
-        means = {k: v or 0.0 for k, v in L.lag_means(frame).first().asDict().items()}
+        means = {k: v or 0.0 for k, v in L.lag_means(_learning(frame)).first().asDict().items()}
         lags = list(L.LAG_COLUMNS)
 
     state = Prepared(config, detected, origin, ranges, categories, means, yoy, stats, (), dictionaries=dictionaries)
     combined = True
     if config.choose_time and {"year", "month"} <= detected.keys() and config.target in frame.columns:
         with_time, without = _time_choices(state, waves)
-        combined = choose_time_features(frame, config.target, with_time, without, config.cv_folds, config.chronological, order)
+        combined = choose_time_features(_learning(frame), config.target, with_time, without, config.cv_folds, config.chronological, order)
     features = feature_list(state, waves, lags, combined)
     return frame, replace(state, features=tuple(f for f in features if f in frame.columns), use_combined=combined)
 

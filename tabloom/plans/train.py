@@ -13,7 +13,7 @@ from tabloom.operators import calendar as K
 from tabloom.operators import encode as E
 from tabloom.operators import models as M
 from tabloom.operators import split as D
-from tabloom.operators.clean import handle_missing
+from tabloom.operators.clean import fill_gaps, handle_missing, missing_fills
 from tabloom.operators.select import Selection, run_selection
 from tabloom.plans import forecast as G
 from tabloom.plans.prepare import PrepareConfig, Prepared, fit_prepare
@@ -51,21 +51,32 @@ class TrainRun:
 
 
 def train(df: DataFrame, config: TrainConfig) -> TrainRun:
-    """Gaps, preparation, split, selection, scaling, models, forecast.
+    """Split, gaps, preparation, selection, scaling, models, forecast.
 
-    Rows without a target are left out. What is learned for the models comes from training rows; chronological runs
-    use time folds for cross-validation and tuning.
+    Rows without a target are left out. Rows are split first, and everything is learned from the training rows: fills,
+    origins, categories, defaults, the time choice, selection, scaling. (The gaps of a table that is aggregated first are
+    filled by the means of all its raw rows.) A random split goes by the hash of the row key, of the groups, or of the
+    whole row. Chronological runs use time folds for cross-validation and tuning.
     """
     setting = config.prepare
     rows = df.where(F.col(setting.target).isNotNull())
-    if config.missing:
+    fill_later = config.missing in ("mean", "median") and not setting.group_by
+    if config.missing and not fill_later:
         rows = handle_missing(rows, config.missing)
-    frame, state = fit_prepare(rows, setting)
-    order = _order(frame, setting)
     method = "chronological" if setting.chronological else "random"
-    key = [c for c in setting.row_key if c in frame.columns] or order or [setting.target]
-    marked = D.split(frame, config.test_share, method, key=key, order_by=order)
-    train_rows, test_rows = D.train_test(marked)
+    key: list[str] = []
+
+    def mark(frame: DataFrame, order: list[str]) -> DataFrame:
+        key.extend([c for c in setting.row_key or setting.group_by if c in frame.columns] or frame.columns)
+        marked = D.split(frame, config.test_share, method, key=key, order_by=order)
+        if fill_later:
+            marked = fill_gaps(marked, missing_fills(D.train_test(marked)[0], config.missing))
+        return marked
+
+    frame, state = fit_prepare(rows, setting, mark)
+    order = _order(frame, setting)
+    train_rows, test_rows = D.train_test(frame)
+    frame = frame.drop("is_test")
 
     features, pairs, selection = state.features, (), None
     if config.select:
