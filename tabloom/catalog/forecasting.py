@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tabloom.catalog.algebra import comoments, predicted, solved
 from tabloom.catalog.registry import query, table
 from tabloom.operators import explore as X
 from tabloom.operators.lags import MONTH_SERIES_BOUND
@@ -123,15 +124,27 @@ def forecast_seasonal_arma(spark, sf_dir):
     return A.forecast_arma(many(spark, sf_dir), SERIES, ["sort_key"], "y", 12, season=12, largest=MONTH_SERIES_BOUND)
 
 
-@query("forecast_exog")
+EXOG_FEATS = ["lag", "x"]
+EXOG_SQL = f"""WITH m AS (SELECT {KEYS}, (year(o_orderdate) * 100 + month(o_orderdate))::BIGINT AS sort_key, sum(o_totalprice) AS y,
+    count(o_custkey)::DOUBLE AS x FROM orders GROUP BY ALL),
+  t AS MATERIALIZED (SELECT *, lag(y) OVER (PARTITION BY {KEYS} ORDER BY sort_key) AS lag FROM m),
+  f AS ({solved(f"SELECT {comoments(EXOG_FEATS, 'y')} FROM t WHERE lag IS NOT NULL", 2)}),
+  v AS (SELECT avg((y - ({predicted(EXOG_FEATS)})) * (y - ({predicted(EXOG_FEATS)}))) AS variance, any_value(b + b1 * mx) AS drift, any_value(b0) AS phi
+    FROM t, f, (SELECT avg(x) AS mx FROM t WHERE lag IS NOT NULL) WHERE lag IS NOT NULL),
+  l AS (SELECT {KEYS}, arg_max(y, sort_key) AS last FROM t GROUP BY {KEYS}),
+  r AS (SELECT {KEYS}, step, pow(phi, step) * last + drift * (1 - pow(phi, step)) / (1 - phi) AS value,
+    1.959963984540054 * sqrt(variance * (1 - pow(phi, 2 * step)) / (1 - phi * phi)) AS reach FROM l, v, range(1, 13) s(step))
+  SELECT {KEYS}, step, value, value - reach AS lower, value + reach AS upper FROM r"""
+
+
+@query("forecast_exog", rounded(EXOG_SQL, 1))
 def forecast_exog(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     made = X.bucket_series(
         o, "o_orderdate", ["o_totalprice", "o_custkey"], "month", {"o_totalprice": "sum", "o_custkey": "count"}, series=SERIES
     )
-    return G.forecast_exog(
-        made, SERIES, ["sort_key"], "o_totalprice", ["o_custkey"], 12, largest=MONTH_SERIES_BOUND
-    )
+    done = G.forecast_exog(made, SERIES, ["sort_key"], "o_totalprice", ["o_custkey"], 12, largest=MONTH_SERIES_BOUND)
+    return done.withColumns({c: F.round(c, 1) for c in ("value", "lower", "upper")})
 
 
 def _table_sql():

@@ -37,23 +37,30 @@ def split_lines(spark, sf_dir):
     return D.train_test(D.split(lines(spark, sf_dir), 0.2, "random", key=["l_orderkey"]))
 
 
-def parts(spark, sf_dir):
-    """Parts with a learnable value; trees run over this table."""
-    p = table(spark, sf_dir, "part")
-    value = F.col("p_retailprice") + F.col("p_size") * 3 + F.when(F.col("p_type") == "PROMO", -80).otherwise(0)
-    types = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    return E.one_hot(p.withColumn("value", value), ["p_type"], {"p_type": types})
+FLAG_FEATS = ["big", "cheap", "late"]
 
 
-PART_FEATS = [
-    "p_size", "p_retailprice", "p_type_ECONOMY", "p_type_LARGE", "p_type_MEDIUM", "p_type_PROMO", "p_type_SMALL",
-    "p_type_STANDARD",
-]
-PART_KEY = ("p_partkey",)
+def flags(spark, sf_dir):
+    """Line items by three yes-no features. A tree that may grow three levels deep gives each of the eight groups the
+    mean of its training rows, and so does boosting with such trees, whose first tree leaves nothing to the others."""
+    made = lines(spark, sf_dir)
+    return made.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "amount", (F.col("l_quantity") > 25).cast("double").alias("big"),
+        (F.col("l_discount") > 0.05).cast("double").alias("cheap"), (F.col("l_linenumber") > 3).cast("double").alias("late"),
+    )
+
 
+FLAG_KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+FLAGS_SQL = f"""SELECT l_orderkey, amount, (l_quantity > 25)::INTEGER::DOUBLE AS big, (l_discount > 0.05)::INTEGER::DOUBLE AS cheap,
+  (l_linenumber > 3)::INTEGER::DOUBLE AS late, is_test, fold_hash FROM ({LINES_SQL})"""
+GROUP_METRICS_SQL = f"""WITH t AS MATERIALIZED ({FLAGS_SQL}), g AS (SELECT big, cheap, late, avg(amount) AS guess FROM t WHERE NOT is_test GROUP BY ALL),
+  m AS (SELECT {r2('amount', 'guess')} AS r2, sqrt(avg((amount - guess) * (amount - guess))) AS rmse, avg(abs(amount - guess)) AS mae
+    FROM t JOIN g USING (big, cheap, late) WHERE is_test) """
+METRICS_SQL = GROUP_METRICS_SQL + "SELECT round(r2, 4) AS r2, round(rmse, 4) AS rmse, round(mae, 4) AS mae FROM m"
 
-def split_parts(spark, sf_dir):
-    return D.train_test(D.split(parts(spark, sf_dir), 0.2, "random", key=PART_KEY))
+
+def split_flags(spark, sf_dir):
+    return D.train_test(D.split(flags(spark, sf_dir), 0.2, "random", key=["l_orderkey"]))
 
 
 def coefficients(fitted):
@@ -91,26 +98,60 @@ def ridge_model(spark, sf_dir):
 
 
 def tree_metrics(spark, sf_dir, fit):
-    train, test = split_parts(spark, sf_dir)
-    fitted = fit(train, PART_FEATS, "value")
-    return V.regression_metrics(fitted.predict(test), "value", "prediction")
+    train, test = split_flags(spark, sf_dir)
+    fitted = fit(train, FLAG_FEATS, "amount")
+    return V.regression_metrics(fitted.predict(test), "amount", "prediction")
 
 
-@query("decision_tree")
+@query("decision_tree", METRICS_SQL)
 def decision_tree(spark, sf_dir):
     return tree_metrics(spark, sf_dir, M.fit_tree)
 
 
-@query("random_forest")
+@query("random_forest", GROUP_METRICS_SQL + "SELECT round(r2, 2) AS group_r2, true AS near FROM m")
 def random_forest(spark, sf_dir):
-    return tree_metrics(spark, sf_dir, M.fit_forest)
+    """A hundred trees, each on its own draw of rows and features: near the group means, not equal to them."""
+    train, test = split_flags(spark, sf_dir)
+    found = V.regression_metrics(M.fit_forest(train, FLAG_FEATS, "amount").predict(test), "amount", "prediction")
+    means = train.groupBy(*FLAG_FEATS).agg(F.avg("amount").alias("guess"))
+    best = V.regression_metrics(test.join(F.broadcast(means), FLAG_FEATS), "amount", "guess").select(F.col("r2").alias("best"))
+    return found.join(best, F.lit(True)).select(F.round("best", 2).alias("group_r2"), (F.abs(F.col("best") - F.col("r2")) < 0.05).alias("near"))
 
 
-@query("gradient_boosting")
+@query("gradient_boosting", METRICS_SQL)
 def gradient_boosting(spark, sf_dir):
     return tree_metrics(spark, sf_dir, M.fit_boosting)
 
 
+def _boosting(name, trees, **setting):
+    @query(name, METRICS_SQL)
+    def run(spark, sf_dir):
+        return tree_metrics(spark, sf_dir, lambda train, feats, y: M.fit_boosting(train, feats, y, **setting))
+
+    run.__doc__ = f"{trees} trees."
+
+
+_boosting("boosting_xgboost", 100, booster="xgboost")
+_boosting("boosting_lgbm", 100, booster="lgbm")
+_boosting("boosting_preset_simple", 50, preset="simple")
+_boosting("boosting_preset_advanced", 200, preset="advanced")
+
+
+@query(
+    "boosting_catboost",
+    GROUP_METRICS_SQL + "SELECT round(r2, 2) AS group_r2, true AS near FROM m",
+)
+def boosting_catboost(spark, sf_dir):
+    """The three features as one text: its ordered statistic tells the groups apart, but for its first rows."""
+    text = F.concat_ws("-", *[F.col(f).cast("int").cast("string") for f in FLAG_FEATS])
+    train, test = (part.withColumn("group", text) for part in split_flags(spark, sf_dir))
+    fitted = M.fit_boosting(train, ["group"], "amount", booster="catboost", key=FLAG_KEY)
+    found = V.regression_metrics(fitted.predict(test), "amount", "prediction")
+    means = train.groupBy("group").agg(F.avg("amount").alias("guess"))
+    best = V.regression_metrics(test.join(F.broadcast(means), "group"), "amount", "guess").select(F.col("r2").alias("best"))
+    return found.join(best, F.lit(True)).select(F.round("best", 2).alias("group_r2"), (F.abs(F.col("best") - F.col("r2")) < 0.02).alias("near"))
+
+
 @query("adaboost")
 def adaboost(spark, sf_dir):
     """Twenty rounds."""
@@ -155,12 +196,23 @@ def hyperparameter_search(spark, sf_dir):
     return made.select("trial", F.round("alpha", 8).alias("alpha"), F.round("score", 6).alias("score"))
 
 
-@query("hyperparameter_search_trees")
+def _tree_search_sql():
+    sets = ", ".join(f"({i}, {p['max_depth']}, {p['min_split']})" for i, p in enumerate(M.draws("dt", 25)))
+    means = "\nUNION ALL ".join(f"SELECT {i} AS fold, big, cheap, late, avg(amount) AS guess FROM t WHERE fold <> {i} GROUP BY ALL" for i in range(3))
+    return f"""WITH a(trial, max_depth, min_split) AS (VALUES {sets}),
+    t AS MATERIALIZED (SELECT *, fold_hash % 3 AS fold FROM ({FLAGS_SQL}) WHERE NOT is_test), g AS ({means}),
+    r AS (SELECT avg(r2) AS r2 FROM (SELECT fold, {r2('amount', 'guess')} AS r2 FROM t JOIN g USING (fold, big, cheap, late) GROUP BY fold))
+    SELECT trial::BIGINT AS trial, max_depth::INTEGER AS max_depth, min_split::INTEGER AS min_split, round(r2, 6) AS score FROM a, r"""
+
+
+@query("hyperparameter_search_trees", _tree_search_sql())
 def hyperparameter_search_trees(spark, sf_dir):
-    train, _ = split_parts(spark, sf_dir)
-    found = M.search(train, PART_FEATS, "value", "dt", PART_KEY)
+    """Every setting drawn lets the tree reach the eight groups, so all settings score alike."""
+    train, _ = split_flags(spark, sf_dir)
+    found = M.search(train, FLAG_FEATS, "amount", "dt", ["l_orderkey"])
     rows = [(i, p["max_depth"], p["min_split"], s) for i, (p, s) in enumerate(found.trials)]
-    return spark.createDataFrame(rows, "trial bigint, max_depth int, min_split int, score double")
+    made = spark.createDataFrame(rows, "trial bigint, max_depth int, min_split int, score double")
+    return made.withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -187,26 +239,50 @@ def model_importance(spark, sf_dir):
     return M.importance(M.fit_linear(train, FEATS, "amount"), train, "amount")
 
 
-@query("model_importance_trees")
+def planted(train, test):
+    """A target that one of the features tells alone."""
+    return (part.withColumn("planted", F.col("big") * 100 + 7) for part in (train, test))
+
+
+@query("model_importance_trees", "SELECT unnest(['big', 'cheap', 'late']) AS feature, unnest([1.0, 0.0, 0.0])::DOUBLE AS importance FROM (SELECT 1 FROM lineitem LIMIT 1)")
 def model_importance_trees(spark, sf_dir):
-    train, _ = split_parts(spark, sf_dir)
-    return M.importance(M.fit_tree(train, PART_FEATS, "value"), train, "value")
+    train, _ = planted(*split_flags(spark, sf_dir))
+    return M.importance(M.fit_tree(train, FLAG_FEATS, "planted"), train, "planted")
 
 
-@query("first_pass_model")
+@query(
+    "first_pass_model",
+    "SELECT unnest(['big', 'cheap', 'late']) AS feature, unnest([1.0, 0.0, 0.0])::DOUBLE AS importance, 1.0::DOUBLE AS r2, 0.0::DOUBLE AS rmse,"
+    " 0.0::DOUBLE AS mae FROM (SELECT 1 FROM lineitem LIMIT 1)",
+)
 def first_pass_model(spark, sf_dir):
-    train, test = split_parts(spark, sf_dir)
-    metrics, ranked = M.first_pass(train, test, PART_FEATS, "value")
+    metrics, ranked = M.first_pass(*planted(*split_flags(spark, sf_dir)), FLAG_FEATS, "planted")
     row = metrics.first()
     return ranked.withColumns({k: F.lit(row[k]) for k in ("r2", "rmse", "mae")})
 
 
-@query("train_models")
+def _train_models_sql():
+    linear = f"""lb AS ({solved(f"SELECT {comoments(FLAG_FEATS, 'amount')} FROM t WHERE NOT is_test", 3)}),
+  l AS (SELECT {r2('amount', predicted(FLAG_FEATS))} AS r2 FROM t, lb WHERE is_test)"""
+    exact = "\nUNION ALL ".join(f"SELECT '{m}' AS model, round(round(r2, 4), 3) AS r2, true AS sound FROM m" for m in ("dt", "gbm", "xgboost", "lgbm", "catboost"))
+    loose = "\nUNION ALL ".join(f"SELECT '{m}' AS model, NULL::DOUBLE AS r2, true AS sound" for m in ("rf", "adaboost"))
+    return f"""{GROUP_METRICS_SQL}, {linear} {exact} UNION ALL {loose}
+  UNION ALL SELECT 'linear', round(round(r2, 4), 3), true FROM l UNION ALL SELECT 'ridge', round(round(r2, 4), 3), true FROM l"""
+
+
+@query("train_models", _train_models_sql())
 def train_models(spark, sf_dir):
-    train, test = split_parts(spark, sf_dir)
-    settings = M.TrainSettings(key=PART_KEY)
-    trained = M.train_models(train, test, PART_FEATS, "value", ["linear", "ridge", "dt", "rf"], settings)
-    return trained.metrics
+    """All models, ridge with tuned penalty, ensembles of five trees; forest and AdaBoost have no closed form."""
+    train, test = split_flags(spark, sf_dir)
+    few = {name: {"trees": 5} for name in ("rf", "gbm", "xgboost", "lgbm", "catboost", "adaboost")}
+    settings = M.TrainSettings(key=FLAG_KEY, cv_folds=3, params=few)
+    names = ["linear", "dt", "rf", "gbm", "xgboost", "lgbm", "catboost", "adaboost"]
+    done = M.train_models(train, test, FLAG_FEATS, "amount", names, settings).metrics
+    tuned = M.TrainSettings(key=FLAG_KEY, cv_folds=3, tune=True)
+    done = done.unionByName(M.train_models(train, test, FLAG_FEATS, "amount", ["ridge"], tuned).metrics)
+    sound = F.col("error").isNull() & (F.col("r2") > 0.5) & (F.col("cv_r2") > 0.5) & (F.col("ci_worst") <= F.col("accuracy_pct"))
+    shown = F.when(~F.col("model").isin("rf", "adaboost"), F.round("r2", 3))
+    return done.select("model", shown.alias("r2"), (sound & (F.col("accuracy_pct") <= F.col("ci_best"))).alias("sound"))
 
 
 SCORE_CONFIG = P.PrepareConfig(
@@ -251,6 +327,62 @@ def score_report(spark, sf_dir):
     return R.score_summary(scored, model="linear")
 
 
+PLAIN_CONFIG = P.PrepareConfig(target="amount", features=("l_quantity",), row_key=("l_orderkey",), choose_time=False)
+LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+def plain_scorer(spark, sf_dir):
+    """Amount by quantity, which every fifth order lacks, by two models that come to the same straight line."""
+    li = lines(spark, sf_dir).withColumn("l_quantity", F.when(F.col("l_orderkey") % 5 != 0, F.col("l_quantity")))
+    frame, state = P.fit_prepare(li.select("l_orderkey", "l_quantity", "amount"), PLAIN_CONFIG)
+    scaler = E.fit_scaler(frame, state.features, "zscore")
+    ready = scaler.apply(frame)
+    ridge = M.fit_ridge(ready, state.features, "amount", 0.0)
+    return li, R.Scorer(state, scaler, {"linear": M.fit_linear(ready, state.features, "amount"), "ridge": ridge}, "linear")
+
+
+# Gaps count as 0 for the fit and become the training mean in new rows.
+PLAIN_SQL = f"""t AS MATERIALIZED (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, amount,
+    CASE WHEN l_orderkey % 5 <> 0 THEN l_quantity END AS q FROM ({LINES_SQL})),
+  z AS (SELECT avg(q) AS mean, stddev_pop(q) AS dev FROM t),
+  f AS (SELECT regr_slope(amount, coalesce((q - mean) / dev, 0)) AS s, regr_intercept(amount, coalesce((q - mean) / dev, 0)) AS i FROM t, z),
+  p AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, i + s * coalesce((q - mean) / dev, 0) AS p FROM t, z, f)"""
+
+
+@query("score_rows_by_key", f"WITH {PLAIN_SQL} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(p, 2) AS prediction FROM p")
+def score_rows_by_key(spark, sf_dir):
+    """New rows with and without the feature."""
+    li, scorer = plain_scorer(spark, sf_dir)
+    return R.score(li.drop("amount"), scorer, keep=LINE_KEY).withColumn("prediction", F.round("prediction", 2))
+
+
+BATCH_SQL = f"""WITH {PLAIN_SQL}, b AS (SELECT quantile_cont(amount, 0.25) AS low, quantile_cont(amount, 0.75) AS high FROM t),
+  c AS (SELECT round(avg(p), 2) AS mean, round(stddev_pop(p), 2) AS std, round(min(p), 2) AS min, round(max(p), 2) AS max, count(p)::BIGINT AS count,
+    count(*) FILTER (WHERE p < low)::BIGINT AS poor, count(*) FILTER (WHERE p >= low AND p < high)::BIGINT AS at_risk,
+    count(*) FILTER (WHERE p >= high)::BIGINT AS good FROM p, b)
+  SELECT unnest(['linear', 'ridge']) AS model, *, round(100.0::DOUBLE * poor / count, 1) AS poor_pct, round(100.0::DOUBLE * at_risk / count, 1) AS at_risk_pct,
+    round(100.0::DOUBLE * good / count, 1) AS good_pct FROM c"""
+
+
+@query("score_batch_summary", BATCH_SQL)
+def score_batch_summary(spark, sf_dir):
+    """Population spread and tiers of each model's predictions."""
+    li, scorer = plain_scorer(spark, sf_dir)
+    done = R.batch_summary(li.drop("amount"), scorer, li, "amount")
+    return done.withColumns({c: F.round(c, 2) for c in ("mean", "std", "min", "max")})
+
+
+@query(
+    "score_batch_sample",
+    f"""WITH {PLAIN_SQL}, h AS (SELECT * FROM p ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 20)
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, unnest(['linear', 'ridge']) AS model, round(p, 2) AS prediction FROM h""",
+)
+def score_batch_sample(spark, sf_dir):
+    """The first twenty rows."""
+    li, scorer = plain_scorer(spark, sf_dir)
+    return R.batch_sample(li.drop("amount"), scorer, LINE_KEY).withColumn("prediction", F.round("prediction", 2))
+
+
 TRAIN_SQL = f"""WITH m AS (SELECT avg(CASE WHEN l_orderkey % 5 <> 0 THEN l_quantity END) AS mean FROM lineitem
     WHERE {hash_sql("l_orderkey")} % 100 >= 20),
   t AS (SELECT coalesce(CASE WHEN l_orderkey % 5 <> 0 THEN l_quantity END, mean) AS x,

@@ -59,13 +59,15 @@ def pearson_importance(spark, sf_dir):
     return S.pearson_importance(line_gaps(spark, sf_dir), FEATS, TARGET)
 
 
-def _walk_sql():
-    target = per_column(WIDE_FEATS, "SELECT '{c}' AS feature, abs(corr({c}, l_extendedprice)) AS target_r FROM t")
-    pairs = "\nUNION ALL ".join(
-        f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r FROM t" for a in WIDE_FEATS for b in WIDE_FEATS
+def _walk_sql(source=WIDE_SQL, feats=tuple(WIDE_FEATS), least=None):
+    """Features by |r| with the target, and which the walk keeps; with ``least``, of those with that variance only."""
+    target = per_column(
+        list(feats), "SELECT '{c}' AS feature, abs(corr({c}, l_extendedprice)) AS target_r, var_pop({c}) AS variance FROM t"
     )
-    return f"""WITH RECURSIVE t AS MATERIALIZED ({WIDE_SQL}), y AS ({target}), p AS MATERIALIZED ({pairs}),
-    o AS MATERIALIZED (SELECT feature, target_r, row_number() OVER (ORDER BY target_r DESC) AS place FROM y),
+    pairs = "\nUNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r FROM t" for a in feats for b in feats)
+    varied = "" if least is None else f" WHERE variance >= {least}"
+    return f"""WITH RECURSIVE t AS MATERIALIZED ({source}), y AS ({target}), p AS MATERIALIZED ({pairs}),
+    o AS MATERIALIZED (SELECT feature, target_r, row_number() OVER (ORDER BY target_r DESC) AS place FROM y{varied}),
     bad AS MATERIALIZED (SELECT f.place, list(g.place) AS clash FROM o f JOIN p ON p.a = f.feature AND p.r > 0.95
       JOIN o g ON g.feature = p.b AND g.place < f.place GROUP BY f.place),
     walk AS (SELECT 0::BIGINT AS place, []::BIGINT[] AS kept
@@ -137,11 +139,23 @@ def mi_select(spark, sf_dir):
     return done.select("feature", F.round("mi", 6).alias("mi"))
 
 
-@query("selection_report")
+REPORT_FEATS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _report_sql():
+    pairs = [(a, b) for i, a in enumerate(REPORT_FEATS) for b in REPORT_FEATS[i + 1 :]]
+    products = ", ".join(f"{a} * {b} AS {a}_x_{b}" for a, b in pairs)
+    source = f"SELECT {', '.join(REPORT_FEATS)}, {products}, l_extendedprice FROM lineitem"
+    walk = _walk_sql(source, tuple([*REPORT_FEATS, *[f"{a}_x_{b}" for a, b in pairs]]), 0.01)
+    return f"""WITH w AS ({walk}), c AS (SELECT count(*) AS varied, count(*) FILTER (WHERE kept) AS kept FROM w)
+    SELECT unnest(['stage0_original', 'stage1_generated', 'stage2_after_variance', 'stage3_after_correlation', 'stage4_after_mi', 'not_numeric']) AS stage,
+      unnest([5, {len(pairs)}, varied, kept, kept, 1])::BIGINT AS n FROM c"""
+
+
+@query("selection_report", _report_sql())
 def selection_report(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    feats = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_returnflag"]
-    return S.selection_report(df, S.run_selection(df, feats, TARGET))
+    return S.selection_report(df, S.run_selection(df, [*REPORT_FEATS, "l_returnflag"], TARGET))
 
 
 def _keep_sql(rule):

@@ -17,7 +17,7 @@ from tabloom.operators.models import fit_linear
 from tabloom.operators.ordered import WINDOW_LIMIT, Ordered
 
 RECENT = 10
-#: Autoregressive weights are kept within +/- this value, so that forecasts cannot grow without bound.
+#: Autoregressive weights are kept within +/- this value unless told otherwise, so that forecasts cannot grow without bound.
 STEADY = 0.99
 
 
@@ -68,8 +68,8 @@ def forecast_compound(base: DataFrame, value: str, steps: int = 10) -> DataFrame
     return stepped.select("step", F.round(grown, 4).alias("value"))
 
 
-def _steady(phi: Column) -> Column:
-    return F.greatest(F.lit(-STEADY), F.least(F.lit(STEADY), F.coalesce(phi, F.lit(0.0))))
+def _steady(phi: Column, most: float) -> Column:
+    return F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce(phi, F.lit(0.0))))
 
 
 def _rise(phi: Column, j: Column) -> Column:
@@ -77,7 +77,7 @@ def _rise(phi: Column, j: Column) -> Column:
     return (1 - F.pow(phi, j + 1)) / (1 - phi)
 
 
-def _ar_sums(ordered: Ordered, series: Sequence[str], change: str, before: str) -> DataFrame:
+def _ar_sums(ordered: Ordered, series: Sequence[str], change: str, before: str, steady: float) -> DataFrame:
     """phi and residual variance of a zero-mean AR(1) on ``change``, with the last value and change."""
     d, p = F.col(change), F.col(before)
     both = p.isNotNull() & d.isNotNull()
@@ -90,7 +90,7 @@ def _ar_sums(ordered: Ordered, series: Sequence[str], change: str, before: str)
         F.max_by("_y", place).alias("last"),
         F.coalesce(F.max_by(change, place), F.lit(0.0)).alias("last_change"),
     )
-    phi = _steady(safe_ratio(F.col("dp"), F.col("pp")))
+    phi = _steady(safe_ratio(F.col("dp"), F.col("pp")), steady)
     fitted = sums.withColumn("phi", phi)
     wrong = F.col("dd") - 2 * F.col("phi") * F.col("dp") + F.col("phi") * F.col("phi") * F.col("pp")
     return fitted.withColumn(
@@ -106,7 +106,7 @@ def _interval(df: DataFrame, alpha: float, variance: Column) -> DataFrame:
 
 def forecast_ar(
     df: DataFrame, series: Sequence[str], time: Sequence[str], y: str, horizon: int = 12, alpha: float = 0.05,
-    limit: int = WINDOW_LIMIT, largest: int | None = None,
+    limit: int = WINDOW_LIMIT, largest: int | None = None, steady: float = STEADY,
 ) -> DataFrame:
     """AR(1) on first differences per series, rolled forward."""
     frame = df.select(*[col(s) for s in series], *[col(t) for t in time], as_number(df, y).alias("_y"))
@@ -118,7 +118,7 @@ def forecast_ar(
             "_p": F.lag("_y", 1).over(w) - F.lag("_y", 2).over(w),
         },
     )
-    stepped = _steps(_ar_sums(ordered, series, "_d", "_p"), horizon)
+    stepped = _steps(_ar_sums(ordered, series, "_d", "_p", steady), horizon)
     phi, h = F.col("phi"), F.col("step")
     # phi + ... + phi^h
     value = F.col("last") + F.col("last_change") * (_rise(phi, h) - 1)
@@ -130,7 +130,7 @@ def forecast_ar(
 
 def forecast_seasonal_ar(
     df: DataFrame, series: Sequence[str], time: Sequence[str], y: str, horizon: int = 12, season: int = 12,
-    alpha: float = 0.05, limit: int = WINDOW_LIMIT, largest: int | None = None,
+    alpha: float = 0.05, limit: int = WINDOW_LIMIT, largest: int | None = None, steady: float = STEADY,
 ) -> DataFrame:
     """AR(1) on differences of differences one season apart, added back up.
 
@@ -145,7 +145,7 @@ def forecast_seasonal_ar(
         return {"_d": change(0), "_w": change(0) - change(season), "_p": change(1) - change(season + 1)}
 
     ordered.look_back(season + 2, make)
-    sums = _ar_sums(ordered, series, "_w", "_p")
+    sums = _ar_sums(ordered, series, "_w", "_p", steady)
     # Differences of the last season, oldest first; at most `season` per series.
     recent = recent_rows(ordered.df.where(F.col("_d").isNotNull()), series, time, season)
     place = F.struct(*[col(t) for t in time])
@@ -188,9 +188,12 @@ def forecast_seasonal_ar(
 
 def forecast_exog(
     df: DataFrame, series: Sequence[str], time: Sequence[str], y: str, features: Sequence[str], horizon: int = 12,
-    alpha: float = 0.05, limit: int = WINDOW_LIMIT, largest: int | None = None,
+    alpha: float = 0.05, limit: int = WINDOW_LIMIT, largest: int | None = None, steady: float = STEADY,
 ) -> DataFrame:
-    """Previous value plus outside features, fitted over all series; future features stay at their mean."""
+    """Previous value plus outside features, fitted over all series; future features stay at their mean.
+
+    A weight of the previous value beyond ``steady`` is set to it, and the rest is fitted again beside it.
+    """
     if not features:
         raise ValueError("an outside feature is needed: choose feature columns")
     slim = df.select(*[col(c) for c in dict.fromkeys([*series, *time, *features])], as_number(df, y).alias("_y"))
@@ -203,12 +206,16 @@ def forecast_exog(
     feats = ["target_lag_1", *features]
     fitted = fit_linear(train, feats, "_y")
     phi, *betas = [float(b) for b in fitted.model.coefficients]
+    if abs(phi) > steady:
+        phi = max(-steady, min(steady, phi))
+        train = train.withColumn("_y", F.col("_y") - F.lit(phi) * F.col("target_lag_1"))
+        fitted = fit_linear(train, list(features), "_y")
+        betas = [float(b) for b in fitted.model.coefficients]
     means = train.agg(*[F.avg(F.coalesce(as_number(train, f), F.lit(0.0))).alias(f"m{i}") for i, f in enumerate(features)]).first()
     drift = float(fitted.model.intercept) + sum(b * (means[f"m{i}"] or 0.0) for i, b in enumerate(betas))
     scored = fitted.predict(train, "_guess")
     error = F.col("_y") - F.col("_guess")
     variance = scored.agg(F.avg(error * error)).first()[0] or 0.0
-    phi = max(-STEADY, min(STEADY, phi))
     last = lagged.groupBy(*[col(s) for s in series]).agg(F.max_by("_y", place).alias("last"))
     stepped = _steps(last, horizon)
     power = F.pow(F.lit(phi), F.col("step"))

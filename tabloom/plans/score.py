@@ -61,3 +61,33 @@ def score_tiers(scored: DataFrame, train: DataFrame, target: str, pred: str = "p
     counts = scored.groupBy(V.tier_of(as_number(scored, pred), low, high).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
     total = scored.count()
     return counts.select("tier", "n", F.round(100 * F.col("n") / F.lit(max(total, 1)), 1).alias("pct"))
+
+
+def score_models(df: DataFrame, scorer: Scorer, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, model, prediction): every model's prediction for every row, prepared and scaled once."""
+    frame = scorer.scaler.apply(apply_prepare(df, scorer.prepared, scorer.pairs, keep))
+    names = list(scorer.models)
+    for i, name in enumerate(names):
+        frame = scorer.models[name].predict(frame, f"_p{i}")
+    rows = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_p{i}").alias("prediction")) for i, n in enumerate(names)])
+    return frame.select(*[col(k) for k in keep], F.inline(rows))
+
+
+def batch_summary(df: DataFrame, scorer: Scorer, basis: DataFrame, target: str) -> DataFrame:
+    """One row per model over new rows: mean, population deviation, min, max, count, and count and share of the
+    predictions in each tier by the quartiles of ``target`` in ``basis``."""
+    low, high = V.tier_bounds(basis, target)
+    value = F.col("prediction")
+    tier = V.tier_of(value, low, high)
+    rows = score_models(df, scorer)
+    aggs = [f(value).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
+    names = {"poor": "Poor", "at_risk": "At Risk", "good": "Good"}
+    counted = rows.groupBy("model").agg(*aggs, F.count(value).alias("count"), *[F.count_if(tier == t).alias(n) for n, t in names.items()])
+    shares = [F.round(100 * F.col(n) / F.greatest(F.col("count"), F.lit(1)), 1).alias(f"{n}_pct") for n in names]
+    return counted.select("model", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max")], "count", *names, *shares)
+
+
+def batch_sample(df: DataFrame, scorer: Scorer, order_by: Sequence[str], n: int = 20) -> DataFrame:
+    """(keys, model, prediction) of the first n rows in a stated order, 4 digits."""
+    first = df.orderBy(*[col(c) for c in order_by]).limit(n)
+    return score_models(first, scorer, order_by).withColumn("prediction", F.round("prediction", 4))
