@@ -29,6 +29,7 @@ from tabloom.llm.common import slices
 
 #: Entries of one generation of a task's memory for words, pre-tokens and fragments; two generations are kept.
 WORDS, PRETOKENS, FRAGMENTS = 250_000, 150_000, 60_000
+LIBRARY_WORDS = 100_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -162,6 +163,8 @@ class LibraryEncoder(Encoder):
 
         super().__init__(path)
         self.model = Tokenizer.from_file(path).model
+        # Words are kept as a whole; the library is quick enough for the pre-tokens of a new one.
+        self.pretokens = Direct(self._pretoken)
 
     def _pretoken(self, word: str) -> tuple[int, ...]:
         letters = "".join([self.vocabulary.letters[b] for b in word.encode("utf-8", "surrogatepass")])
@@ -236,12 +239,22 @@ class Generations(dict):
         return value
 
 
+class Direct:
+    """Values worked out whenever they are asked for."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __getitem__(self, key):
+        return self.make(key)
+
+
 class WordIds:
     """The ids of words as little-endian 32-bit bytes, each distinct word encoded once; bounded."""
 
-    def __init__(self, own: Encoder):
+    def __init__(self, own: Encoder, size: int = WORDS):
         self.own = own
-        self.known = Generations(lambda w: array("I", own.word(w)).tobytes(), WORDS)
+        self.known = Generations(lambda w: array("I", own.word(w)).tobytes(), size)
 
     def of(self, text: str | None) -> bytes:
         known = self.known
@@ -255,7 +268,7 @@ def word_ids(path: str) -> WordIds:
 
 @functools.lru_cache(maxsize=2)
 def library_word_ids(path: str) -> WordIds:
-    return WordIds(LibraryEncoder(path))
+    return WordIds(LibraryEncoder(path), LIBRARY_WORDS)
 
 
 def encoded(df: DataFrame, text: str = "text", name: str = "ids", path: str | None = None) -> DataFrame:
