@@ -1,9 +1,10 @@
 """Quality rules with verdicts on whole hosts, in DataFrame functions only.
 
 Every document is measured (words, symbols, repeated lines, repeated 8-word windows). A document that
-breaks a rule counts as a failure of its host. A host's failure rate is shrunk towards the corpus by a
-beta prior whose two parameters are estimated from the spread of all hosts' rates, and hosts whose shrunk
-rate is above ``host_limit`` are rejected as a whole.
+breaks a rule goes and counts as a failure of its host. A host's failure rate is shrunk towards the corpus by a
+beta prior whose two parameters are estimated from the spread of all hosts' rates. The shrunk rate then judges the
+host's other documents: over the prior's mean, it tightens every limit by as many times as it is higher, and hosts
+whose shrunk rate is above ``host_limit`` are rejected as a whole.
 
 Defined cases: a null text has no words and fails; null hosts form one host of their own; repeated rows
 count once each; an empty table gives an empty table; other columns pass through untouched. With one host
@@ -30,7 +31,7 @@ class Rules:
     max_repeat_pct: int = 30
     max_symbols_per_word: float = 0.5
     host_limit: float = 0.8
-    #: Rejected hosts up to this number are sent to all tasks, more are joined by shuffle.
+    #: Hosts above the prior's mean up to this number are sent to all tasks, more are joined by shuffle.
     broadcast_hosts: int = 100_000
 
 
@@ -89,31 +90,38 @@ def measures(text: Column) -> Column:
     )
 
 
+def fails(q: Column, rules: Rules, strictness: Column, symbols: bool = True) -> Column:
+    """Whether measures break a rule whose limits are ``strictness`` times as tight."""
+    few = q.n_words < rules.min_words * strictness
+    repeated = 100 * q.n_repeat_words * strictness > rules.max_repeat_pct * q.n_words
+    return few | repeated | (q.n_symbols * strictness > rules.max_symbols_per_word * q.n_words) if symbols else few | repeated
+
+
 def measured(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """``df`` with a struct column ``quality`` of measures, ``base_failed`` and ``failed`` (any rule)."""
     raw = df.withColumn("quality", measures(F.col(text)))
     q = F.col("quality")
-    n_words, repeats = q.w.n_words, q.w.n_repeat_words
-    base = (n_words < rules.min_words) | (100 * repeats > rules.max_repeat_pct * n_words)
-    symbols = q.n_symbols > rules.max_symbols_per_word * n_words
-    return raw.withColumn(
+    flat = raw.withColumn(
         "quality",
         F.struct(
-            n_words.alias("n_words"), q.w.word_chars.alias("word_chars"), q.n_symbols.alias("n_symbols"),
-            q.l.n_lines.alias("n_lines"), q.l.n_dup_lines.alias("n_dup_lines"), repeats.alias("n_repeat_words"),
-            base.alias("base_failed"), (base | symbols).alias("failed"),
+            q.w.n_words.alias("n_words"), q.w.word_chars.alias("word_chars"), q.n_symbols.alias("n_symbols"),
+            q.l.n_lines.alias("n_lines"), q.l.n_dup_lines.alias("n_dup_lines"), q.w.n_repeat_words.alias("n_repeat_words"),
         ),
     )
+    once = F.lit(1)
+    base = fails(q, rules, once, symbols=False).alias("base_failed")
+    return flat.withColumn("quality", F.struct("quality.*", base, fails(q, rules, once).alias("failed")))
 
 
 def host_rates(df: DataFrame, host: str, rules: Rules = Rules()) -> DataFrame:
-    """One row per host: documents, failures, shrunk failure rate, rejected. ``df`` comes from ``measured``."""
+    """One row per host: documents, failures, shrunk failure rate, strictness, rejected. ``df`` comes from ``measured``."""
     hosts = df.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("quality.failed").cast("bigint")).alias("n_failed")
     )
     alpha, beta = beta_prior(hosts)
     rate = (F.col("n_failed") + alpha) / (F.col("n_docs") + alpha + beta)
-    return hosts.withColumns({"rate": rate, "rejected": rate > rules.host_limit})
+    strictness = F.greatest(F.lit(1.0), rate / F.lit(alpha / (alpha + beta)))
+    return hosts.withColumns({"rate": rate, "strictness": strictness, "rejected": rate > rules.host_limit})
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
@@ -133,18 +141,20 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
 
 
 def judged_measured(df: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """``df`` from ``measured`` with ``kept``: neither failed itself nor from a rejected host.
+    """``df`` from ``measured`` with ``kept``: no rule broken, within the limits of its host, and no rejected host.
 
     The measured rows are stored once, since both the host rates and the result need them.
     """
     rows = stored(df.drop("kept"), "quality-measured")
-    verdict, mark = free_name(rows, "bad_host"), free_name(rows, "bad_mark")
-    bad = host_rates(rows, host, rules).filter("rejected")
-    bad = stored(bad.select(F.col("host").alias(verdict), F.lit(True).alias(mark)), "quality-hosts")
-    if bad.count() <= rules.broadcast_hosts:
-        bad = F.broadcast(bad)
-    joined = rows.join(bad, rows[host].eqNullSafe(bad[verdict]), "left")
-    return joined.withColumn("kept", ~F.col("quality.base_failed") & F.col(mark).isNull()).drop(verdict, mark)
+    verdict, times, out = free_name(rows, "host_name"), free_name(rows, "host_strictness"), free_name(rows, "host_out")
+    judged = host_rates(rows, host, rules).filter("rejected OR strictness > 1")
+    judged = judged.select(F.col("host").alias(verdict), F.col("strictness").alias(times), F.col("rejected").alias(out))
+    judged = stored(judged, "quality-hosts")
+    if judged.count() <= rules.broadcast_hosts:
+        judged = F.broadcast(judged)
+    joined = rows.join(judged, rows[host].eqNullSafe(judged[verdict]), "left")
+    broken = fails(F.col("quality"), rules, F.coalesce(F.col(times), F.lit(1.0)))
+    return joined.withColumn("kept", ~broken & ~F.coalesce(F.col(out), F.lit(False))).drop(verdict, times, out)
 
 
 def survivors(df: DataFrame, text: str = "text", host: str = "source", rules: Rules = Rules()) -> DataFrame:

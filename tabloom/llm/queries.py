@@ -45,9 +45,9 @@ QUALITY_SQL = r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text,
     mean * (1 - mean) * 1e-4) - 1, 1.0) AS strength FROM a),
   p AS (SELECT CASE WHEN k >= 2 AND f > 0 AND f < n THEN mean * strength ELSE 1 END AS alpha,
     CASE WHEN k >= 2 AND f > 0 AND f < n THEN (1 - mean) * strength ELSE 1 END AS beta FROM s),
-  v AS (SELECT source, (f + alpha) / (n + alpha + beta) > 0.8 AS rejected FROM h, p)
+  v AS (SELECT source, (f + alpha) / (n + alpha + beta) AS rate, greatest(1.0::DOUBLE, rate / (alpha / (alpha + beta))) AS s FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT rejected AS kept
+  NOT (n_words < 20 * s OR 100 * n_repeat_words * s > 30 * n_words OR n_symbols * s > 0.5 * n_words) AND rate <= 0.8 AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""
 
 

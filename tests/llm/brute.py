@@ -109,3 +109,41 @@ class Katz:
         t = self.tokens(text)
         base = sum(log10((self.uni[w] + 0.1) / (self.n + 0.1 * (self.v + 1))) for w in t)
         return len(t), sum(w in self.uni for w in t), base, sum(log10(self.p2(h, w)) for h, w in zip([None, *t], t))
+
+
+def repeat_words(text):
+    w = WORD.findall(text or "")
+    seen = {}
+    for i in range(len(w) - 7):
+        seen.setdefault(tuple(w[i : i + 8]), []).append(i)
+    return len({i + k for places in seen.values() if len(places) > 1 for i in places for k in range(8)})
+
+
+def quality_kept(docs, host_limit=0.8):
+    """Identifiers of the (id, text, host) rows that document and host rules keep."""
+    facts = {}
+    for d, text, host in docs:
+        facts[d] = (len(WORD.findall(text or "")), repeat_words(text), sum(c in "#*$%&|<>" for c in text or ""), host)
+
+    def broken(n, repeats, symbols, s=1.0):
+        return n < 20 * s or 100 * repeats * s > 30 * n or symbols * s > 0.5 * n
+
+    hosts = {}
+    for n, repeats, symbols, host in facts.values():
+        f, k = hosts.get(host, (0, 0))
+        hosts[host] = (f + broken(n, repeats, symbols), k + 1)
+    alpha = beta = 1.0
+    failed, every = sum(f for f, _ in hosts.values()), sum(k for _, k in hosts.values())
+    if len(hosts) > 1 and 0 < failed < every:
+        mean, rates = failed / every, [f / k for f, k in hosts.values()]
+        centre = sum(rates) / len(rates)
+        spread = sum((r - centre) ** 2 for r in rates) / (len(rates) - 1)
+        noise = mean * (1 - mean)
+        between = max(spread - noise * sum(1 / k for _, k in hosts.values()) / len(hosts), noise * 1e-4)
+        strength = max(noise / between - 1, 1.0)
+        alpha, beta = mean * strength, (1 - mean) * strength
+    rate = {h: (f + alpha) / (k + alpha + beta) for h, (f, k) in hosts.items()}
+    return {
+        d for d, (n, repeats, symbols, h) in facts.items()
+        if rate[h] <= host_limit and not broken(n, repeats, symbols, max(1.0, rate[h] / (alpha / (alpha + beta))))
+    }

@@ -2,7 +2,6 @@ import re
 
 import brute
 import corpus_pipeline as P
-from test_exact_and_quality import repeat_words
 from test_packing_bpe import check_packing
 from tokenizers import Tokenizer
 
@@ -18,11 +17,8 @@ def test_stages_against_brute_force(spark, sf_dir):
 
     out = P.quality_rules(spark, docs, sf_dir)
     assert out.columns == names
-    kept = {}
-    for d, r in rows.items():
-        n = len(brute.WORD.findall(r.text or ""))
-        if n >= 20 and 100 * repeat_words(r.text) <= 30 * n:
-            kept[d] = r
+    fine = brute.quality_kept([(r.doc_id, r.text, r.source) for r in rows.values()])
+    kept = {d: r for d, r in rows.items() if d in fine}
     assert {r.doc_id: r for r in out.collect()} == kept
 
     out = P.exact_duplicates(spark, out, sf_dir)
