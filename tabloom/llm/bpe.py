@@ -10,7 +10,7 @@ white space, so texts are first cut there, and each distinct word is worked out
 
 Defined cases: null texts count as empty and give no ids; special strings inside a text become their special
 token, as the file's library does by default; words of any length are whole; repeated rows give repeated results;
-other columns pass through.
+other columns pass through, one called like the result as ``own_<name>``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tabloom.llm.common import slices
+from tabloom.llm.common import put_aside, slices
 
 #: Entries of one generation of a task's memory for words, pre-tokens and fragments; two generations are kept.
 WORDS, PRETOKENS, FRAGMENTS = 250_000, 150_000, 60_000
@@ -274,6 +274,7 @@ def library_word_ids(path: str) -> WordIds:
 def encoded(df: DataFrame, text: str = "text", name: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with the ids of each text as an array of integers."""
     path = path or vocabulary_path("word_bpe_49k.json")
+    df = put_aside(df, (name.lower(),), (text,))
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,6 +298,7 @@ def decoded(df: DataFrame, ids: str = "ids", name: str = "decoded", path: str |
     Unknown and null ids are left out; a null array gives an empty text.
     """
     path = path or vocabulary_path("word_bpe_49k.json")
+    df = put_aside(df, (name.lower(),), (ids,))
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

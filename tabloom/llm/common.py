@@ -75,3 +75,8 @@ def shield(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str,
         if column.lower() in names:
             aside[column] = free_name(df, f"own_{column}")
     return df.withColumnsRenamed(aside), {new: old for old, new in aside.items()}
+
+
+def put_aside(df: DataFrame, names: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with its columns called like ``names`` renamed to ``own_<name>``, but for those of ``keep``."""
+    return shield(df, tuple(n for n in names if n not in {k.lower() for k in keep}))[0]

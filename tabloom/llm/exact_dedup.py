@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import ascii_lower, shield, stored
+from tabloom.llm.common import put_aside, ascii_lower, shield, stored
 
 RADIX = 8
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
@@ -90,9 +90,11 @@ def deduplicated(
 ) -> DataFrame:
     """Every row with keep_id, group_size, kept and text_sha256 (hex, of the normalised text).
 
-    ``carry=False`` returns the identifier and the results alone and moves no text.
+    ``carry=False`` returns the identifier and the results alone and moves no text. Other columns called like a result
+    or a helper come back as ``own_<name>``.
     """
-    rows = df.drop(*RESULTS) if carry else df.select(id_col, text)
+    helpers = ("group_sha", "group_keep", "group_rows")
+    rows = put_aside(df, (*RESULTS, *helpers), (id_col, text)) if carry else df.select(id_col, text)
     rows = rows.withColumn("text_sha256", F.sha2(normalised(F.col(text)), 256))
     if not carry:
         rows = stored(rows.drop(text), "digests")

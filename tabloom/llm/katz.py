@@ -4,8 +4,8 @@
              = alpha(h) P(w)               otherwise; P(w | h) = P(w) where h is unknown
     P(w)     = discounted c(w) / N         for known words, and the mass that is left for any unknown word
 
-Counts up to ``K`` are discounted as Katz does with Good-Turing estimates, higher ones by half a count, so every
-context keeps some mass. alpha(h) is that mass over the unigram mass of all words not seen after h, so that each
+Counts up to ``K`` are discounted as Katz does with Good-Turing estimates, from counts of counts that are smoothed by a
+line over logarithms and so are valid for every corpus; higher counts lose half a count, so every context keeps mass. alpha(h) is that mass over the unigram mass of all words not seen after h, so that each
 P(. | h) sums to one exactly over the known words, the end mark and one unknown word.
 
 How it runs. Words are 64-bit XXH64 numbers from here on. One pass counts unigrams. Tasks then send the pairs of
@@ -23,7 +23,7 @@ Stored tables: unigrams (word, c), the buckets' packed results, contexts (word,
 Defined cases: a null text is empty and has the end mark alone; null identifiers are texts 'null' for the choice of
 training documents; rows that repeat identifier and text count once each and get equal scores; an empty table
 gives an empty table, and without training documents every word is unknown and scores by N = V = 0; other columns
-pass through, columns called like a result are replaced.
+pass through, those called like a result or a helper as ``own_<name>``.
 """
 
 from __future__ import annotations
@@ -39,10 +39,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import col
-from tabloom.llm.common import slices, stored
+from tabloom.llm.common import put_aside, slices, stored
 
-#: Counts up to this one are discounted by Good-Turing.
-K = 5
+#: Counts up to this one are discounted by Good-Turing; the slope of the smoothed counts of counts is at most STEEP.
+K, STEEP = 5, -1.1
 #: Tokens of one packed group of documents, and about how many of a bucket: what a task holds at once.
 GROUP_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -154,17 +154,23 @@ def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def discounted(counts_of_counts: np.ndarray) -> np.ndarray:
-    """Discounted counts of 0..K from counts of counts 0..K+1: Katz's Good-Turing, or half a count where it fails."""
-    n = counts_of_counts.astype(float)
-    r = np.arange(K + 1)
-    with np.errstate(all="ignore"):
-        cut = (K + 1) * n[K + 1] / n[1]
-        star = (r + 1) * n[r + 1] / n[r]
-        d = (star / r - cut) / (1 - cut)
-    good = np.isfinite(d[1:]).all() and (d[1:] > 0).all() and (d[1:] < 1).all()
-    out = r * d if good else r - 0.5
-    out[0] = 0.0
-    return out
+    """Discounted counts of 0..K from counts of counts 0..K+1: Katz's Good-Turing on smoothed counts of counts.
+
+    log n_r is fitted by a line over log r (slope -2 with fewer than two different counts). With slope b, Good-Turing's
+    (r + 1) n_(r+1) / n_r is r ((r + 1) / r)^(b + 1), below r for every slope under -1; the slope is held under `STEEP`,
+    so that the discounts are valid whatever the corpus is.
+    """
+    n = counts_of_counts[1 : K + 2].astype(float)
+    seen = np.flatnonzero(n)
+    slope = -2.0
+    if len(seen) > 1:
+        x, y = np.log(seen + 1.0), np.log(n[seen])
+        slope = float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+    power = min(slope, STEEP) + 1
+    r = np.arange(1, K + 1)
+    cut = (K + 1.0) ** power
+    ratio = (((r + 1) / r) ** power - cut) / (1 - cut)
+    return np.concatenate([[0.0], r * ratio])
 
 
 @dataclass
@@ -437,7 +443,7 @@ def _per_target(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[t
 def scored(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = df.sparkSession
-    plain = df.drop(*RESULTS)
+    plain = put_aside(df, (*RESULTS, "ref", "ref_"), (id_col, text))
     ref = F.xxhash64(F.coalesce(col(id_col).cast("string"), F.lit("null")), F.coalesce(col(text), F.lit("")))
     rows = plain.select(F.coalesce(col(text), F.lit("")).alias("text"), ref.alias("ref"), (~held_out(col(id_col))).alias("train"))
     known = learn(rows)

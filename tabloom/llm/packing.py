@@ -14,7 +14,7 @@ third of all pieces is counted in many buckets, and offsets between buckets come
 
 Defined cases: a null text is an empty document of one token, the separator; longer documents than the capacity are
 cut, only the last piece may be shorter; repeated rows are packed once each; an empty table gives an empty table;
-null identifiers are kept; other columns pass through ``pieces`` unless they are called like its results.
+null identifiers are kept; other columns pass through, those called like a result or a helper as ``own_<name>``.
 """
 
 from __future__ import annotations
@@ -31,9 +31,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabloom.llm.bpe import library_word_ids, vocabulary_path
-from tabloom.llm.common import slices, stored
+from tabloom.llm.common import put_aside, slices, stored
 
 CAPACITY = 4096
+_NAMES = (
+    "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset", "length_", "buckets_", "bucket_", "rank_", "start_", "n_",
+)
 #: A bucket of pieces of one length holds about this many of them, or this share of all pieces if that is more.
 BUCKET_ROWS, BUCKET_SHARE = 500, 1 / 10_000
 
@@ -43,8 +46,8 @@ def pieces(
 ) -> DataFrame:
     """One row per piece: the other columns of ``df``, piece, start, length, ids_crc32 and, if asked for, ids."""
     path = path or vocabulary_path("word_bpe_49k.json")
-    results = ("piece", "start", "length", "ids_crc32", "ids", text)
-    kept = [c for c in df.columns if c not in results]
+    df = put_aside(df, ("piece", "start", "length", "ids_crc32", "ids"), (text,))
+    kept = [c for c in df.columns if c != text]
     added = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
     added += [("ids", T.ArrayType(T.IntegerType()))] if ids else []
     schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, t) for n, t in added]])
@@ -284,6 +287,7 @@ def packed(rows: DataFrame, length: str = "length", order: tuple[str, ...] = (),
 
 def packed_documents(df: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Documents cut, and their pieces packed: the columns beside the text, and those of ``pieces`` and ``packed``."""
+    df = put_aside(df, _NAMES, ("text",))
     rows = stored(pieces(df, "text", capacity, ids=keep_ids), "pieces")
     order = tuple(c for c in ("doc_id", "piece", "ids_crc32", "start") if c in rows.columns)
     return packed(rows, order=order, capacity=capacity)

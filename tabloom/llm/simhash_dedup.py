@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import BLANK_CHARS, UPPER, free_name, shield, slices, stored
+from tabloom.llm.common import BLANK_CHARS, UPPER, free_name, put_aside, shield, slices, stored
 
 SEED = 42
 BITS = 64
@@ -356,8 +356,10 @@ def with_components(
 ) -> DataFrame:
     """``rows`` (a stored table with fingerprints) with ``component_id``, the smallest identifier reachable.
 
-    ``edges`` are links (a, b) between fingerprints found in another way than by ``search``.
+    ``edges`` are links (a, b) between fingerprints found in another way than by ``search``. Columns called like a
+    result or a helper come back as ``own_<name>``.
     """
+    rows = put_aside(rows, ("component_id", "component_root", "fp_", "root_", "name_"), (id_col, fingerprint))
     groups = rows.groupBy(F.col(fingerprint).alias("fp")).agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n"))
     groups = stored(groups, "fingerprints")
     labels = components(links(groups, search) if edges is None else edges)

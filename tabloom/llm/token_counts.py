@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tabloom.llm.bpe import Vocabulary, vocabulary_path
-from tabloom.llm.common import slices
+from tabloom.llm.common import put_aside, slices
 
 #: Distinct words kept in one generation of a task's memory.
 MEMORY = 400_000
@@ -190,8 +190,9 @@ def counter(path: str) -> Counter:
 
 
 def counted(df: DataFrame, text: str = "text", name: str = "n_tokens", path: str | None = None) -> DataFrame:
-    """``df`` with the number of tokens of each text as a bigint."""
+    """``df`` with the number of tokens of each text as a bigint; a column of that name comes back as ``own_<name>``."""
     path = path or vocabulary_path("byte_bpe_50k.json")
+    df = put_aside(df, (name.lower(),), (text,))
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

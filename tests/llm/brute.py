@@ -78,17 +78,20 @@ class Katz:
         return [*WORD.findall(lower(text)), 0]
 
     def discounts(self, counts):
+        """Good-Turing from a straight line through the logarithms of the counts of counts."""
+        import math
         from collections import Counter
 
         n, k = Counter(counts.values()), self.k
-        try:
-            cut = (k + 1) * n[k + 1] / n[1]
-            d = [((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut) for r in range(1, k + 1)]
-        except ZeroDivisionError:
-            d = [2]
-        if all(0 < x < 1 for x in d):
-            return [0, *[r * x for r, x in enumerate(d, 1)]]
-        return [0, *[r - 0.5 for r in range(1, k + 1)]]
+        points = [(math.log(r), math.log(n[r])) for r in range(1, k + 2) if n[r]]
+        b = -2.0
+        if len(points) > 1:
+            mx, my = (sum(p[i] for p in points) / len(points) for i in (0, 1))
+            b = sum((x - mx) * (y - my) for x, y in points) / sum((x - mx) ** 2 for x, _ in points)
+        smooth = [0, *[r ** min(b, -1.1) for r in range(1, k + 2)]]
+        cut = (k + 1) * smooth[k + 1] / smooth[1]
+        star = [(r + 1) * smooth[r + 1] / smooth[r] for r in range(1, k + 1)]
+        return [0, *[r * (s / r - cut) / (1 - cut) for r, s in enumerate(star, 1)]]
 
     def cut(self, c, low):
         return low[c] if c <= self.k else c - 0.5

@@ -51,3 +51,21 @@ def test_held_out_texts_score_above_the_base(spark, sf_dir):
 
     rows = op5_katz_scores(spark, sf_dir).filter("held_out").collect()
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+@pytest.mark.parametrize("n", [[0, 10, 5, 3, 2, 1, 1], [0, 1, 2, 3, 4, 5, 6], [0, 7, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 0, 0], [0, 9, 9, 9, 9, 9, 9], [0, 0, 3, 0, 8, 0, 1]])
+def test_discounts_are_valid_on_every_corpus(n):
+    import numpy as np
+
+    low = katz.discounted(np.array(n))
+    assert low[0] == 0 and all(0 < low[r] < r for r in range(1, 6)) and (np.diff(low) > 0).all()
+
+
+def test_discounts_follow_the_counts_of_counts():
+    """Exactly falling counts of counts are their own line: Good-Turing without any smoothing."""
+    import numpy as np
+
+    n = np.array([0, *[1e6 / r**2 for r in range(1, 7)]])
+    cut = 6 * n[6] / n[1]
+    want = [((r + 1) * n[r + 1] / n[r] - r * cut) / (1 - cut) for r in range(1, 6)]
+    assert katz.discounted(n)[1:] == pytest.approx(want)
