@@ -113,9 +113,12 @@ def test_time_order(spark):
 def test_many_classes_and_categories(spark):
     kind = F.col("id") % 150
     df = spark.range(3000).select(
-        F.concat(F.lit("c"), kind).alias("kind"), (kind * 10).alias("a"), F.concat(F.lit("t"), F.col("id")).alias("name_text")
+        F.concat(F.lit("c"), kind).alias("kind"), (kind * 10).alias("a"), F.concat(F.lit("t"), F.col("id") % 500).alias("name_text")
     )
     score, skipped, reason = T.dependency(df, "kind", "classification", 1.0)
     assert score > 0.05 and not skipped and reason is None
     slots = D.frequent_slots(df, "name_text", "slot", 128)
     assert slots.select("slot").distinct().count() == 128 and slots.count() == 3000
+    # A text of fewer rows than folds cannot be learned from and shares the last slot.
+    rare = D.frequent_slots(df.withColumn("name_text", F.col("id").cast("string")), "name_text", "slot", 128)
+    assert rare.select("slot").distinct().count() == 1
