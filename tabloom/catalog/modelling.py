@@ -349,7 +349,7 @@ PLAIN_SQL = f"""t AS MATERIALIZED (SELECT l_orderkey, l_partkey, l_suppkey, l_li
   p AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, i + s * coalesce((q - mean) / dev, 0) AS p FROM t, z, f)"""
 
 
-@query("score_rows_by_key", f"WITH {PLAIN_SQL} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(p, 2) AS prediction FROM p")
+@query("score_rows_by_key", f"WITH {PLAIN_SQL} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(round(p, 4), 2) AS prediction FROM p")
 def score_rows_by_key(spark, sf_dir):
     """New rows with and without the feature."""
     li, scorer = plain_scorer(spark, sf_dir)
@@ -357,7 +357,7 @@ def score_rows_by_key(spark, sf_dir):
 
 
 BATCH_SQL = f"""WITH {PLAIN_SQL}, b AS (SELECT quantile_cont(amount, 0.25) AS low, quantile_cont(amount, 0.75) AS high FROM t),
-  c AS (SELECT round(avg(p), 2) AS mean, round(stddev_pop(p), 2) AS std, round(min(p), 2) AS min, round(max(p), 2) AS max, count(p)::BIGINT AS count,
+  c AS (SELECT round(round(avg(p), 4), 2) AS mean, round(round(stddev_pop(p), 4), 2) AS std, round(round(min(p), 4), 2) AS min, round(round(max(p), 4), 2) AS max, count(p)::BIGINT AS count,
     count(*) FILTER (WHERE p < low)::BIGINT AS poor, count(*) FILTER (WHERE p >= low AND p < high)::BIGINT AS at_risk,
     count(*) FILTER (WHERE p >= high)::BIGINT AS good FROM p, b)
   SELECT unnest(['linear', 'ridge']) AS model, *, round(100.0::DOUBLE * poor / count, 1) AS poor_pct, round(100.0::DOUBLE * at_risk / count, 1) AS at_risk_pct,
@@ -375,7 +375,7 @@ def score_batch_summary(spark, sf_dir):
 @query(
     "score_batch_sample",
     f"""WITH {PLAIN_SQL}, h AS (SELECT * FROM p ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 20)
-    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, unnest(['linear', 'ridge']) AS model, round(p, 2) AS prediction FROM h""",
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, unnest(['linear', 'ridge']) AS model, round(round(p, 4), 2) AS prediction FROM h""",
 )
 def score_batch_sample(spark, sf_dir):
     """The first twenty rows."""
