@@ -29,6 +29,7 @@ from tabloom.llm.common import put_aside, slices
 
 #: Entries of one generation of a task's memory for words, pre-tokens and fragments; two generations are kept.
 WORDS, PRETOKENS, FRAGMENTS = 250_000, 150_000, 60_000
+#: The same for the library's words, unless a caller has room for more.
 LIBRARY_WORDS = 100_000
 
 
@@ -267,8 +268,8 @@ def word_ids(path: str) -> WordIds:
 
 
 @functools.lru_cache(maxsize=2)
-def library_word_ids(path: str) -> WordIds:
-    return WordIds(LibraryEncoder(path), LIBRARY_WORDS)
+def library_word_ids(path: str, size: int = LIBRARY_WORDS) -> WordIds:
+    return WordIds(LibraryEncoder(path), size)
 
 
 def encoded(df: DataFrame, text: str = "text", name: str = "ids", path: str | None = None) -> DataFrame:

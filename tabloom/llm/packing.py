@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabloom.llm.bpe import library_word_ids, vocabulary_path
+from tabloom.llm.bpe import LIBRARY_WORDS, library_word_ids, vocabulary_path
 from tabloom.llm.common import put_aside, slices, stored
 
 CAPACITY = 4096
@@ -42,9 +42,13 @@ BUCKET_ROWS, BUCKET_SHARE = 500, 1 / 10_000
 
 
 def pieces(
-    df: DataFrame, text: str = "text", capacity: int = CAPACITY, separator: int = 1, path: str | None = None, ids: bool = True
+    df: DataFrame, text: str = "text", capacity: int = CAPACITY, separator: int = 1, path: str | None = None, ids: bool = True,
+    words: int = LIBRARY_WORDS,
 ) -> DataFrame:
-    """One row per piece: the other columns of ``df``, piece, start, length, ids_crc32 and, if asked for, ids."""
+    """One row per piece: the other columns of ``df``, piece, start, length, ids_crc32 and, if asked for, ids.
+
+    A Python worker keeps the ids of up to twice ``words`` words, also after its task; more of them save time.
+    """
     path = path or vocabulary_path("word_bpe_49k.json")
     df = put_aside(df, ("piece", "start", "length", "ids_crc32", "ids"), (text,))
     kept = [c for c in df.columns if c != text]
@@ -54,7 +58,7 @@ def pieces(
     end = np.array([separator], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = library_word_ids(path)
+        memory = library_word_ids(path, words)
         for batch in slices(batches, text, 2_000_000):
             rows, numbers, parts = [], [], []
             for row, value in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
@@ -285,9 +289,11 @@ def packed(rows: DataFrame, length: str = "length", order: tuple[str, ...] = (),
     return ranked.mapInArrow(run, schema)
 
 
-def packed_documents(df: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def packed_documents(
+    df: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False, words: int = LIBRARY_WORDS
+) -> DataFrame:
     """Documents cut, and their pieces packed: the columns beside the text, and those of ``pieces`` and ``packed``."""
     df = put_aside(df, _NAMES, ("text",))
-    rows = stored(pieces(df, "text", capacity, ids=keep_ids), "pieces")
+    rows = stored(pieces(df, "text", capacity, ids=keep_ids, words=words), "pieces")
     order = tuple(c for c in ("doc_id", "piece", "ids_crc32", "start") if c in rows.columns)
     return packed(rows, order=order, capacity=capacity)
