@@ -44,7 +44,7 @@ from tabloom.llm.common import put_aside, slices, stored
 #: Counts up to this one are discounted by Good-Turing; the slope of the smoothed counts of counts is at most STEEP.
 K, STEEP = 5, -1.1
 #: Tokens of one packed group of documents, and about how many of a bucket: what a task holds at once.
-GROUP_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
+GROUP_TOKENS, BUCKET_TOKENS = 1_000_000, 1_200_000
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 RESULTS = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 U64 = np.uint64
