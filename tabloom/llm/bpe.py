@@ -31,6 +31,8 @@ from tabloom.llm.common import put_aside, slices
 WORDS, PRETOKENS, FRAGMENTS = 250_000, 150_000, 60_000
 #: The same for the library's words, unless a caller has room for more.
 LIBRARY_WORDS = 100_000
+#: Words kept with their ids and their decoded text.
+PAIRED_WORDS = 150_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -317,3 +319,46 @@ def decoded(df: DataFrame, ids: str = "ids", name: str = "decoded", path: str |
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+@functools.lru_cache(maxsize=1)
+def word_pairs(path: str) -> Generations:
+    """Ids (as bytes) and decoded text of each distinct word, bounded."""
+    own = encoder(path)
+    tokens = own.vocabulary.tokens
+
+    def pair(word: str) -> tuple[bytes, str]:
+        ids = own.word(word)
+        return array("I", ids).tobytes(), " ".join([tokens[i] for i in ids])
+
+    return Generations(pair, PAIRED_WORDS)
+
+
+def round_trip(
+    df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None
+) -> DataFrame:
+    """``df`` with the ids of each text and the text that they decode to, in one pass.
+
+    Ids are decoded where they are made, word by word: a text's ids are those of its words one after the other, and its
+    decoded text is theirs, joined by blanks. Words without ids add nothing.
+    """
+    path = path or vocabulary_path("word_bpe_49k.json")
+    df = put_aside(df, (ids.lower(), decoded.lower()), (text,))
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]
+    schema = T.StructType([*df.schema.fields, *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, own = word_pairs(path), encoder(path)
+        for batch in slices(batches, text, 2_000_000):
+            numbers, texts, ends = [], [], [0]
+            for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
+                pairs = [known[w] for w in own.words(value)]
+                found = b"".join([p[0] for p in pairs])
+                numbers.append(found)
+                ends.append(ends[-1] + len(found) // 4)
+                texts.append(" ".join([p[1] for p in pairs if p[1]]))
+            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(numbers))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(texts, pa.string())], names=schema.names)
+
+    return df.mapInArrow(run, schema)

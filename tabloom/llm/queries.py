@@ -83,8 +83,7 @@ def op1_bestfit_packing(spark, sf_dir):
 
 @query("op2_bpe_round_trip")
 def op2_bpe_round_trip(spark, sf_dir):
-    ids = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    both = bpe.decoded(ids)
+    both = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -121,6 +121,10 @@ def test_encoding_of_odd_texts(spark, library):
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
     assert bpe.encoded(df.limit(0)).count() == 0
+    # One pass gives what the two passes give.
+    assert [tuple(r) for r in bpe.round_trip(df).collect()] == [tuple(r) for r in out]
+    assert bpe.round_trip(df.limit(0)).count() == 0
+    assert "own_ids" in bpe.round_trip(df.withColumn("ids", df["text"])).columns
 
 
 def test_cuts_lie_where_no_token_reaches():
