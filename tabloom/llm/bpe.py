@@ -165,13 +165,20 @@ class LibraryEncoder(Encoder):
         from tokenizers import Tokenizer
 
         super().__init__(path)
-        self.model = Tokenizer.from_file(path).model
+        self.tokenize = Tokenizer.from_file(path).model.tokenize
         # Words are kept as a whole; the library is quick enough for the pre-tokens of a new one.
         self.pretokens = Direct(self._pretoken)
 
-    def _pretoken(self, word: str) -> tuple[int, ...]:
-        letters = "".join([self.vocabulary.letters[b] for b in word.encode("utf-8", "surrogatepass")])
-        return tuple([t.id for t in self.model.tokenize(letters)])
+    def word(self, raw: str) -> Sequence[int]:
+        if raw.isascii() and raw.isalpha():
+            return [t.id for t in self.tokenize(raw.lower())]
+        return super().word(raw)
+
+    def _pretoken(self, word: str) -> list[int]:
+        letters = word
+        if not (word.isascii() and word.isalnum()):
+            letters = "".join([self.vocabulary.letters[b] for b in word.encode("utf-8", "surrogatepass")])
+        return [t.id for t in self.tokenize(letters)]
 
 
 def merged(symbols: list[str], rank: dict[tuple[str, str], int]) -> list[str]:
