@@ -32,7 +32,7 @@ WORDS, PRETOKENS, FRAGMENTS = 250_000, 150_000, 60_000
 #: The same for the library's words, unless a caller has room for more.
 LIBRARY_WORDS = 100_000
 #: Words kept with their ids and their decoded text.
-PAIRED_WORDS = 150_000
+PAIRED_WORDS = 300_000
 
 
 def vocabulary_path(name: str) -> str:
