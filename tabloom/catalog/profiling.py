@@ -194,7 +194,7 @@ QUANTILE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_l
     ),
 )
 def column_quantiles(spark, sf_dir):
-    """Exact quantiles of six columns at once, each by narrowing brackets down to 1,000 values."""
+    """Exact quantiles of six columns at once, read digit by digit beyond 1,000 values."""
     li = table(spark, sf_dir, "lineitem")
     found = quantiles(li, {c: F.col(c) for c in QUANTILE_COLUMNS}, [0.01, 0.25, 0.5, 0.99], limit=1000)
     rows = [(c, *[round(v, 4) for v in found[c]]) for c in QUANTILE_COLUMNS]
