@@ -81,3 +81,12 @@ def test_r2_of_cells(data):
 def test_rows_that_hardly_repeat_stay_rows(spark):
     df = spark.range(3000).select(F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y"))
     assert C.cells(df, ["x"], "y") is None
+
+
+def test_texts_and_categories_stay_rows(data):
+    """A text may be told by its statistic, in every fold; as a number it would tell nothing."""
+    texts = data.withColumn("t", F.when(F.col("a") > 2, "high").otherwise("low"))
+    assert C.cells(texts, ["t", "b"], "y") is None
+    assert min(M.fold_scores(texts, ["t"], "y", "catboost", params={"trees": 3})) > 0.2
+    known = data.withColumn("a", F.col("a").alias("a", metadata={"ml_attr": {"type": "nominal", "vals": list("abcdefgh")}}))
+    assert C.cells(known, FEATS, "y") is None
