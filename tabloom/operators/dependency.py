@@ -12,16 +12,21 @@ rows outside the folds they are used for:
 
 Each text costs one aggregate by (value, fold) and one join; a row's own fold and the held-out fold choose which sums
 count, so one table serves all folds.
+
+Beyond `BINNED_ROWS` rows, from where Spark draws a sample for the borders that trees try, numbers are put into `SLOTS`
+equal-frequency bins first. Rows of equal features then are one weighted row, and trees read those cells instead of the
+rows, where there are far fewer of them (`cells`).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import names
 from tabloom.functions.columns import as_number, as_text, col, is_datetime, is_flat, is_numeric
 from tabloom.functions.hashing import key_hash
+from tabloom.operators import cells as C
 from tabloom.operators import evaluate as V
 
 GATE = 0.3
@@ -38,6 +44,12 @@ SLOTS = 128
 BINS = 64
 TRUST = 2
 FOLDS = 3
+#: Rows up to which trees read the rows themselves, the most cells, and the least mean number of rows of a cell.
+BINNED_ROWS, MOST_CELLS, LEAST_ROWS = 16_384, 400_000, 4
+#: Pieces that the rows of all cells are cut into; a forest's resamples draw pieces.
+MOST_PIECES = 200_000
+#: Rows of a task where trees read rows.
+_TASK_ROWS = 50_000
 #: The sets of folds that a statistic can be taken from.
 _SETS = ((0,), (1,), (2,), (0, 1), (0, 2), (1, 2))
 
@@ -104,8 +116,11 @@ def _mean_feature(name: str, held: int, totals: list[tuple[float, int]]) -> Colu
     return _by_fold(held, of)
 
 
-def class_statistics(frame: DataFrame, column: str, name: str) -> DataFrame:
-    """``frame`` with, per set of folds, the commonest class of the rows of the same value, its rows and all rows."""
+def class_statistics(frame: DataFrame, column: str, name: str, known: Sequence[str]) -> DataFrame:
+    """``frame`` with, per set of folds, the commonest class of the rows of the same value, its rows and all rows.
+
+    A second array has that class's place in ``known``.
+    """
     counts = frame.groupBy(F.col(column).alias("_value"), "_y").agg(
         *[F.count_if(F.col("_fold") == g).alias(f"_c{g}") for g in range(FOLDS)]
     )
@@ -114,12 +129,17 @@ def class_statistics(frame: DataFrame, column: str, name: str) -> DataFrame:
         n = sum((F.col(f"_c{g}") for g in folds[1:]), F.col(f"_c{folds[0]}"))
         best = F.max(F.struct(n.alias("n"), F.col("_y").alias("y")))
         made.append(F.struct(best["n"].alias("n"), best["y"].alias("y"), F.sum(n).alias("all")))
-    return _join_back(frame, counts.groupBy("_value").agg(F.array(*made).alias(f"b_{name}")), column)
+    found = counts.groupBy("_value").agg(F.array(*made).alias(f"b_{name}"))
+    best = [F.col(f"b_{name}")[k] for k in range(len(_SETS))]
+    slots = F.array(*[_slot_of(F.when(b["n"] > 0, b["y"]), known, "_slot") for b in best])
+    return _join_back(frame, found.withColumn(f"k_{name}", slots), column)
 
 
-def _looked_up(name: str, held: int) -> Column:
-    """(share, rows, class) of the commonest class for held-out rows; share 0 where the value is new."""
-    found = F.col(f"b_{name}")[_used(held, held)]
+def _looked_up(name: str) -> Column:
+    """(share, rows, class) of the commonest class among the rows of other folds; share 0 where the value is new."""
+    found = F.when(F.col("_fold") == 0, F.col(f"b_{name}")[_used(0, 0)])
+    for fold in range(1, FOLDS):
+        found = found.when(F.col("_fold") == fold, F.col(f"b_{name}")[_used(fold, fold)])
     share = F.coalesce(found["n"] / (found["all"] + TRUST), F.lit(0.0))
     return F.struct(share.alias("share"), F.coalesce(found["n"], F.lit(0)).alias("n"), found["y"].alias("y"))
 
@@ -161,9 +181,14 @@ def dependency(
     frame = rows.select(*values, label.alias("_y"), F.pmod(spread, F.lit(FOLDS)).cast("int").alias("_fold"))
     texts = [c for c in frame.columns if c[0] == "t"]
     numbers = [c for c in frame.columns if c[0] == "x"]
-    for t in texts:
-        frame = frequent_slots(frame, t, f"i_{t}", SLOTS)
-    return (_class_score if classes else _number_score)(frame, texts, numbers), False, None
+    # Several aggregates read the rows before the trees do; what makes them, joins included, runs once.
+    read = frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for t in texts:
+            frame = frequent_slots(frame, t, f"i_{t}", SLOTS)
+        return (_class_score if classes else _number_score)(frame, texts, numbers), False, None
+    finally:
+        read.unpersist()
 
 
 def _mean_over_folds(score) -> float:
@@ -177,6 +202,46 @@ def _trees(features: str = "_v") -> dict:
     return {"featuresCol": features, "maxDepth": 4, "seed": 42, "maxBins": SLOTS}
 
 
+def _cells_of(made: DataFrame, used: Sequence[str], y: str, by: Sequence[str], rows: int) -> tuple[DataFrame, DataFrame] | None:
+    """``made`` with binned numbers, and its cells; None where trees shall read the rows."""
+    if rows <= BINNED_ROWS:
+        return None
+    nominal = {c: made.schema[c].metadata for c in used if made.schema[c].metadata}
+    binned = _tree_bins(made, [c for c in used if c not in nominal])
+    # Numbers of slots are plain numbers to the cells.
+    plain = binned.withColumns({c: F.col(c).alias(c, metadata={}) for c in nominal})
+    found = C.cells(plain.where(F.col(y).isNotNull()), used, y, by, MOST_CELLS, LEAST_ROWS)
+    return found and (binned, found.withColumns({c: F.col(c).alias(c, metadata=m) for c, m in nominal.items()}))
+
+
+def _tree_bins(frame: DataFrame, numbers: Sequence[str]) -> DataFrame:
+    """Numbers of more than `SLOTS` values as the numbers of their equal-frequency bins, by sketched cut points."""
+    if not numbers:
+        return frame
+    steps = [i / SLOTS for i in range(1, SLOTS)]
+    facts = []
+    for i, x in enumerate(numbers):
+        facts += [F.percentile_approx(x, steps, 10_000).alias(f"c{i}"), F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(x))).alias(f"u{i}")]
+    row = frame.agg(*facts).first()
+    many = {x: sorted({c for c in row[f"c{i}"] or [] if math.isfinite(c)}) for i, x in enumerate(numbers) if row[f"u{i}"] > SLOTS}
+    split = {x: [-math.inf, *cuts, math.inf] for x, cuts in many.items() if cuts}
+    if not split:
+        return frame
+    outs = [f"_bin_{x}" for x in split]
+    made = Bucketizer(inputCols=list(split), outputCols=outs, splitsArray=list(split.values())).transform(frame)
+    return made.withColumns({x: F.col(b).alias(x, metadata={}) for x, b in zip(split, outs, strict=True)}).drop(*outs)
+
+
+def _vectors(frame: DataFrame, used: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(used), outputCol="_v", handleInvalid="keep").transform(frame)
+
+
+def _dealt(frame: DataFrame, rows: int) -> DataFrame:
+    """Rows over enough tasks: few bytes are much work for trees."""
+    tasks = min(4 * frame.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / _TASK_ROWS))
+    return frame.repartition(tasks) if rows > BINNED_ROWS else frame
+
+
 def _number_score(frame: DataFrame, texts: list[str], numbers: list[str]) -> float:
     for t in texts:
         frame = mean_statistics(frame, t, t)
@@ -184,18 +249,25 @@ def _number_score(frame: DataFrame, texts: list[str], numbers: list[str]) -> flo
     try:
         found = {r["_fold"]: (r["s"], r["n"]) for r in ready.groupBy("_fold").agg(F.sum("_y").alias("s"), F.count("_y").alias("n")).collect()}
         totals = [found.get(g, (0.0, 0)) for g in range(FOLDS)]
+        rows = sum(n for _, n in totals)
 
         def score(held: int) -> float | None:
-            if not totals[held][1] or sum(n for _, n in totals) == totals[held][1]:
+            if not totals[held][1] or rows == totals[held][1]:
                 return None
             made = ready.withColumns({f"m_{t}": _mean_feature(t, held, totals) for t in texts})
             used = [*[f"i_{t}" for t in texts], *[f"m_{t}" for t in texts], *numbers]
-            made = VectorAssembler(inputCols=used, outputCol="_v", handleInvalid="keep").transform(made).select("_v", "_y", "_fold")
+            slim = made.select(*used, "_y", "_fold")
             # Twenty rounds are a short lineage: no checkpoints in between.
-            trees = GBTRegressor(labelCol="_y", maxIter=20, stepSize=0.2, checkpointInterval=-1, **_trees())
-            model = trees.fit(made.where(F.col("_fold") != held))
-            scored = model.transform(made.where(F.col("_fold") == held))
-            return max(0.0, V.regression_metrics(scored, "_y", "prediction", 15).first()["r2"])
+            trees = GBTRegressor(maxIter=20, stepSize=0.2, checkpointInterval=-1, **_trees())
+            held_out, others = F.col("_fold") == held, F.col("_fold") != held
+            counted = _cells_of(slim, used, "_y", ["_fold"], rows)
+            if counted:
+                cells = _vectors(counted[1], used)
+                model = trees.setLabelCol("_cell_mean").setWeightCol("_cell_rows").fit(cells.where(others))
+                return max(0.0, C.r2(model.transform(cells.where(held_out)), "prediction"))
+            dealt = _vectors(slim, used).select("_v", "_y", "_fold")
+            model = trees.setLabelCol("_y").fit(_dealt(dealt.where(others), rows))
+            return max(0.0, V.regression_metrics(model.transform(dealt.where(held_out)), "_y", "prediction", 15).first()["r2"])
 
         return _mean_over_folds(score)
     finally:
@@ -211,24 +283,30 @@ def _class_score(frame: DataFrame, texts: list[str], numbers: list[str]) -> floa
         frame = _binned(frame, numbers)
         sources += [*numbers, *[f"q_{x}" for x in numbers]]
     for name in sources:
-        frame = class_statistics(frame, name, name)
-    frame = frame.withColumn("_label", _slot_of(F.col("_y"), known, "_label"))
-    ready = frame.drop(*texts).persist(StorageLevel.MEMORY_AND_DISK)
+        frame = class_statistics(frame, name, name, known)
+    looked = [_looked_up(name) for name in sources]
+    best = F.greatest(*looked) if len(looked) > 1 else looked[0] if looked else None
+    share = best["share"] if looked else F.lit(0.0)
+    hit = F.coalesce((best["y"] == F.col("_y")).cast("double"), F.lit(0.0)) if looked else F.lit(0.0)
+    # From here on classes are places in `known`.
+    frame = frame.select(
+        "_fold", _slot_of(F.col("_y"), known, "_label"), share.alias("_share"), hit.alias("_hit"), *numbers,
+        *[f"i_{t}" for t in texts], *[f"k_{t}" for t in texts],
+    )
+    ready = frame.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        folds = {r["_fold"] for r in ready.select("_fold").distinct().collect()}
+        folds = {r["_fold"]: r["count"] for r in ready.groupBy("_fold").count().collect()}
 
         def score(held: int) -> float | None:
             if held not in folds or len(folds) < 2:
                 return None
             scored = ready.where(F.col("_fold") == held)
-            answer, chance = F.lit(None).cast("string"), F.lit(0.0)
+            answer, chance = F.lit(None).cast("double"), F.lit(0.0)
             if len(known) > 1:
-                scored, answer, chance = _forest_answers(ready, held, texts, numbers, known)
-            if sources:
-                looked = [_looked_up(name, held) for name in sources]
-                scored = scored.withColumn("_best", F.greatest(*looked) if len(looked) > 1 else looked[0])
-                answer = F.when(F.col("_best.share") > chance, F.col("_best.y")).otherwise(answer)
-            return scored.agg(F.avg(F.coalesce((answer == F.col("_y")).cast("double"), F.lit(0.0)))).first()[0]
+                scored = _forest_answers(ready, held, texts, numbers, known, sum(folds.values()))
+                answer, chance = F.col("_answer"), F.col("_chance")
+            right = F.when(F.col("_share") > chance, F.col("_hit")).otherwise((answer == F.col("_label")).cast("double"))
+            return scored.agg(F.avg(F.coalesce(right, F.lit(0.0)))).first()[0]
 
         return _mean_over_folds(score)
     finally:
@@ -236,19 +314,31 @@ def _class_score(frame: DataFrame, texts: list[str], numbers: list[str]) -> floa
 
 
 def _forest_answers(
-    ready: DataFrame, held: int, texts: list[str], numbers: list[str], known: list[str]
-) -> tuple[DataFrame, Column, Column]:
-    """The held-out rows, the class that a forest of the other rows gives them, and its probability."""
-    made = ready
-    for t in texts:
-        commonest = _by_fold(held, lambda k, t=t: F.when(F.col(f"b_{t}")[k]["n"] > 0, F.col(f"b_{t}")[k]["y"]))
-        made = made.withColumn(f"m_{t}", _slot_of(commonest, known, f"m_{t}"))
-    used = [*[f"i_{t}" for t in texts], *[f"m_{t}" for t in texts], *numbers]
-    made = VectorAssembler(inputCols=used, outputCol="_v", handleInvalid="keep").transform(made)
+    ready: DataFrame, held: int, texts: list[str], numbers: list[str], known: list[str], rows: int
+) -> DataFrame:
+    """The held-out rows, the place of the class that a forest of the other rows gives them, and its probability."""
+    slots = [str(i) for i in range(len(known) + 1)]
+    commonest = {
+        f"m_{t}": _by_fold(held, lambda k, t=t: F.col(f"k_{t}")[k]).alias(f"m_{t}", metadata={"ml_attr": {"type": "nominal", "vals": slots}})
+        for t in texts
+    }
+    used = [*[f"i_{t}" for t in texts], *commonest, *numbers]
+    made = ready.withColumns(commonest).drop(*[f"k_{t}" for t in texts])
     trees = RandomForestClassifier(labelCol="_label", numTrees=20, **_trees())
-    model = trees.fit(made.where(F.col("_fold") != held).select("_v", "_label"))
+    held_out, others = F.col("_fold") == held, F.col("_fold") != held
+    counted = _cells_of(made, used, "_label", ["_fold", "_label"], rows)
     # The slot that rare classes share is no class and is never the answer.
     chances = F.slice(vector_to_array("probability"), 1, len(known))
-    top = F.array_max(chances)
-    answer = F.element_at(F.array(*[F.lit(k) for k in known]), F.array_position(chances, top).cast("int"))
-    return model.transform(made.where(F.col("_fold") == held)), answer, top
+    answers = {"_chance": F.array_max(chances), "_answer": F.array_position(chances, F.array_max(chances)).cast("double") - 1}
+    if not counted:
+        dealt = _vectors(made, used)
+        model = trees.fit(_dealt(dealt.where(others).select("_v", "_label"), rows))
+        return model.transform(dealt.where(held_out)).withColumns(answers)
+    binned, cells = counted
+    weight = F.col("_cell_rows")
+    pieces = F.ceil(weight / max(1.0, rows / MOST_PIECES))
+    cut = _vectors(cells.where(others), used).select("_v", "_label", (weight / pieces).alias("_n"), F.explode(F.sequence(F.lit(1), pieces)))
+    model = trees.setWeightCol("_n").fit(_dealt(cut.select("_v", "_label", "_n"), min(rows, MOST_PIECES)))
+    # A bounded table: one row per cell of the held-out rows.
+    told = model.transform(_vectors(cells.where(held_out).select(*used).distinct(), used)).withColumns(answers).select(*used, *answers)
+    return binned.where(held_out).join(F.broadcast(told), used)
