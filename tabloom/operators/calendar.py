@@ -107,7 +107,6 @@ def _simple(method: str, value: Column) -> Column:
         "count": F.count,
         "std": F.stddev_samp,
         "var": F.var_samp,
-        "nunique": F.count_distinct,
     }
     if method == "sum":
         return F.coalesce(F.sum(value), F.lit(0.0))
@@ -116,6 +115,25 @@ def _simple(method: str, value: Column) -> Column:
     return known[method](value)
 
 
+def _is_fixed(kind: T.DataType) -> bool:
+    """Whether values have a fixed size: rows are sorted, not hashed, for picks of others."""
+    return is_numeric(kind) or is_datetime(kind)
+
+
+def _picked(value: Column, how: str, order_by: Sequence[str]) -> Column:
+    """The first or last non-null value in an order, null order keys first."""
+    place = F.when(value.isNotNull(), F.struct(*[col(c) for c in order_by]))
+    return F.min_by(value, place) if how == "first" else F.max_by(value, place)
+
+
+def _picked_by_one(value: Column, how: str, order_by: Sequence[str]) -> Column:
+    """The same for one order column, without putting it into a struct."""
+    at = col(order_by[0])
+    place = F.when(value.isNotNull(), at)
+    unplaced = F.any_value(F.when(at.isNull(), value), F.lit(True))
+    return F.coalesce(unplaced, F.min_by(value, place)) if how == "first" else F.coalesce(F.max_by(value, place), unplaced)
+
+
 def aggregate(
     df: DataFrame,
     keys: Sequence[str],
@@ -128,7 +146,8 @@ def aggregate(
 
     Rows with a null key are left out. 'first' and 'last' are taken by the order columns, so
     the result does not depend on the partitioning. All methods but the median of very large
-    groups combine before the shuffle, so a hot key costs one row per task.
+    groups combine before the shuffle, so a hot key costs one row per task. Distinct values are
+    counted apart: beside the other methods, every task would keep all of them per distinct value.
     """
     keys = [k for k in keys if k in df.columns]
     if not keys:
@@ -144,15 +163,16 @@ def aggregate(
         present = present & col(k).isNotNull()
     rows = df.where(present)
     heavy = "median" in chosen.values() and largest_group(rows, keys) > limit
-    aggs, medians = [], []
+    aggs, medians, distinct = [], [], []
     for name, how in chosen.items():
         value = as_number(df, name) if is_numeric(df.schema[name].dataType) else col(name)
         if how in ("first", "last"):
             if not order_by:
                 raise ValueError(f"column {name!r} needs order_by for {how!r}")
-            place = F.when(value.isNotNull(), F.struct(*[col(c) for c in order_by]))
-            picked = F.min_by(value, place) if how == "first" else F.max_by(value, place)
-            aggs.append(picked.alias(name))
+            plain = len(order_by) == 1 and all(_is_fixed(t) for t in (df.select(value).schema[0].dataType, df.schema[order_by[0]].dataType))
+            aggs.append((_picked_by_one if plain else _picked)(value, how, order_by).alias(name))
+        elif how == "nunique":
+            distinct.append((name, value))
         elif how == "median":
             if heavy:
                 medians.append(name)
@@ -162,6 +182,11 @@ def aggregate(
             aggs.append(_simple(how, value).alias(name))
     groups = [col(k) for k in keys]
     out = rows.groupBy(*groups).agg(*aggs) if aggs else rows.select(*groups).distinct()
+    for name, value in distinct:
+        pairs = rows.select(*[g.alias(f"_k{i}") for i, g in enumerate(groups)], value.alias("_v")).distinct()
+        found = pairs.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.count("_v").alias(name))
+        same = [g == F.col(f"_k{i}") for i, g in enumerate(groups)]
+        out = out.join(found, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
     for name in medians:
         out = out.join(grouped_median(rows, keys, as_number(df, name), name, limit), list(keys), "left")
     return out.select(*groups, *[col(c) for c in chosen])
