@@ -97,3 +97,54 @@ def test_catboost_setting_learns_from_texts(spark):
     assert scored.columns == [*test.columns, "prediction"]
     assert V.regression_metrics(scored, "y", "prediction").first()["r2"] > 0.6
     assert fitted.predict(test.withColumn("kind", F.lit("new"))).count() == test.count()
+
+
+def test_catboost_trees_read_cells_of_bins(spark, monkeypatch):
+    """Trees over a text's statistic are given one weighted row per bin, and come out as those of the binned rows."""
+    n = 4000
+    rows = spark.range(n).select(
+        "id", F.concat(F.lit("c"), F.col("id") % 3).alias("kind"),
+        (F.when(F.col("id") % 17 != 0, F.col("id") % 3 * 10) + F.col("id") % 7).cast("double").alias("y"),
+    ).repartition(3)
+    given, fit = [], M.GBTRegressor.fit
+    monkeypatch.setattr(M.GBTRegressor, "fit", lambda self, frame: given.append(frame) or fit(self, frame))
+    fitted = M.fit_boosting(rows, ["kind"], "y", booster="catboost", key=["id"], trees=4, max_depth=5)
+    assert given[0].count() <= 32 and given[0].agg(F.sum("_n")).first()[0] == n
+    assert len(fitted.cuts["kind_stat"]) <= 31
+
+    known, statistics = B.ordered_statistics(rows, "kind", "y", ["id"])
+    cuts = fitted.cuts["kind_stat"]
+    bins = F.udf(lambda v: float(sum(v > c for c in cuts)), "double")
+    told = known.withColumn("bin", bins("kind_stat")).cache()
+    monkeypatch.setattr(M.C, "cells", lambda *_, **__: None)
+    plain = M.fit_boosting(told, ["bin"], "y", booster="xgboost", trees=4, max_depth=5)
+    assert given[1].count() == n
+    fresh = spark.createDataFrame([("c0",), ("c1",), ("c2",), ("new",), (None,)], "kind string")
+    quick = fitted.predict(fresh)
+    assert quick.columns == ["kind", "prediction"]
+    want = plain.predict(statistics.apply(fresh).withColumn("bin", bins("kind_stat")))
+    want = {r.kind: pytest.approx(r.prediction, rel=1e-9) for r in want.collect()}
+    assert {r.kind: r.prediction for r in quick.collect()} == want
+
+
+def test_statistics_of_a_large_text_are_put_in_order_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(B, "SORTED_ROWS", 100)
+    rows = spark.range(3000).select("id", F.lit("one").alias("kind"), (F.col("id") % 13).alias("y"))
+    made, known = B.ordered_statistics(rows, "kind", "y", ["id"], limit=50, block_rows=50)
+    held = made.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert len(held) > 10 and max(r["count"] for r in held) < 600
+    ids = [r.id for r in rows.withColumn("h", key_hash(["id"], "order")).orderBy("h", "id").collect()]
+    y = np.array([i % 13 for i in ids], float)
+    want = (np.concatenate(([0.0], np.cumsum(y)[:-1])) + y.mean()) / np.arange(1, 3001)
+    got = {r.id: r.kind_stat for r in made.collect()}
+    np.testing.assert_allclose([got[i] for i in ids], want, rtol=1e-9)
+    assert known.small
+
+
+@pytest.mark.parametrize("change", ["nulls", "empty"])
+def test_statistics_of_gaps(spark, change):
+    rows = spark.createDataFrame([(None, None, None), (None, "a", 2.0), (3, "a", None), (4, None, 6.0)], "id int, kind string, y double")
+    rows = rows.where("id > 9") if change == "empty" else rows
+    made, known = B.ordered_statistics(rows, "kind", "y", ["id"], limit=1, block_rows=1)
+    assert made.columns == ["id", "kind", "y", "kind_stat"] and made.count() == rows.count()
+    assert made.where("kind_stat IS NULL").count() == 0 and known.prior == (0.0 if change == "empty" else 2.0)

@@ -90,3 +90,18 @@ def test_texts_and_categories_stay_rows(data):
     assert min(M.fold_scores(texts, ["t"], "y", "catboost", params={"trees": 3})) > 0.2
     known = data.withColumn("a", F.col("a").alias("a", metadata={"ml_attr": {"type": "nominal", "vals": list("abcdefgh")}}))
     assert C.cells(known, FEATS, "y") is None
+
+
+def test_cut_points(spark):
+    """As many as Spark's trees use: between all values where they are few, else at quantiles."""
+    x = [float(i % 5) if i % 100 else 70.0 for i in range(2000)]
+    rows = [(x[i], float(i), None if i % 4 else float(i % 40)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "few double, many double, gaps double")
+    cuts = C.cut_points(df, df.columns, 32)
+    assert cuts["few"] == [0.5, 1.5, 2.5, 3.5, 37.0]
+    np.testing.assert_allclose(cuts["many"], [2000 * i / 32 for i in range(1, 32)], atol=3)
+    assert cuts["gaps"] == [2.0 + 4 * i for i in range(9)]
+    told, names = C.binned(df, ["many", "few", "gaps"], {"few": cuts["few"], "gaps": cuts["gaps"]})
+    assert names == ["many", "_bin1", "_bin2"] and told.columns == [*df.columns, "_bin1", "_bin2"]
+    assert {(r.few, r._bin1) for r in told.collect()} == {(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (3.0, 3.0), (4.0, 4.0), (70.0, 5.0)}
+    assert C.cut_points(df.where("few > 99"), ["few"], 32) == {"few": []}
